@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.util import entity_columns, entity_key, partitions_for
+from tidebook.util import entity_columns, entity_key, materialise, partitions_for
 
 BITS = 16
 LEVELS = 4
@@ -174,13 +174,14 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str, end: str
     Runs are stitched within stretches of 2**20 units; what reaches into a stretch from before is
     known from the greatest ends of earlier stretches, so one entity's runs need not be in one task.
     """
-    runs = set_runs(run_bitmaps(intervals, keys, start, end)).select("e", "a", "b", F.shiftright("a", STRETCH_BITS).alias("w"))
+    bitmaps = materialise(run_bitmaps(intervals, keys, start, end), "run-bitmaps")
+    runs = set_runs(bitmaps).select("e", "a", "b", F.shiftright("a", STRETCH_BITS).alias("w"))
     ends = runs.groupBy("e", "w").agg(F.max("b").alias("top"))
     by = Window.partitionBy("e").orderBy("w")
     ends = ends.select("e", "w", F.max("top").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"), F.max("top").over(Window.partitionBy("e")).alias("last"))
     within = Window.partitionBy("e", "w").orderBy("a", "b")
     seen = runs.join(ends, ["e", "w"]).select("e", "w", "a", "last", F.greatest("reach", F.max("b").over(within.rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    heads = seen.filter(F.col("before").isNull() | (F.col("a") > F.col("before")))
+    heads = materialise(seen.filter(F.col("before").isNull() | (F.col("a") > F.col("before"))), "period-heads")
     # a period ends where the next head's clear run begins; the next head may lie in a later stretch
     nexts = heads.groupBy("e", "w").agg(F.min_by("before", "a").alias("first_before"))
     nexts = nexts.select("e", "w", F.lead("first_before").over(by).alias("later"))

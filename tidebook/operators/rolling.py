@@ -41,11 +41,11 @@ def rolling_totals(daily: DataFrame, keys: list[str], day: str, amounts: list[st
     # one delta row at the date, one w days later for each w, and empty ones for all days up to the next of the entity
     after = F.lead("d").over(Window.partitionBy(*entity).orderBy("d"))
     filler = per_day.select("*", F.coalesce(F.date_sub(after, 1), F.col("last")).alias("until"))
-    cells = lambda sign, w: [(F.lit(sign) * F.col(f"{c}{i}")).cast(EXACT if c == "x" else "int").alias(f"{c}{i}_{v}") if v == w else F.lit(0).cast(EXACT if c == "x" else "int").alias(f"{c}{i}_{v}") for i in range(len(amounts)) for c in "xk" for v in windows]
+    leaves = lambda w: [(-F.col(f"{c}{i}")).cast(EXACT if c == "x" else "int").alias(f"{c}{i}_{v}") if v == w else F.lit(0).cast(EXACT if c == "x" else "int").alias(f"{c}{i}_{v}") for i in range(len(amounts)) for c in "xk" for v in windows]
     empty = [F.lit(0).cast(EXACT if c == "x" else "int").alias(f"{c}{i}_{v}") for i in range(len(amounts)) for c in "xk" for v in windows]
     enters = [F.col(f"{c}{i}").cast(EXACT if c == "x" else "int").alias(f"{c}{i}_{v}") for i in range(len(amounts)) for c in "xk" for v in windows]
     arrays = [F.array(F.struct(F.col("d").alias("d"), *enters))]
-    arrays += [F.array(F.struct(F.date_add("d", w).alias("d"), *cells(-1, w))) for w in windows]
+    arrays += [F.array(F.struct(F.date_add("d", w).alias("d"), *leaves(w))) for w in windows]
     arrays += [F.transform(F.when(F.col("until") > F.col("d"), F.sequence(F.date_add("d", 1), "until")).otherwise(F.array().cast("array<date>")), lambda x: F.struct(x.alias("d"), *empty))]
     deltas = filler.select(*entity, "first", "last", F.explode(F.concat(*arrays)).alias("r")).select(*entity, "first", "last", "r.*").filter(F.col("d") <= F.col("last"))
     names = [f"{c}{i}_{v}" for i in range(len(amounts)) for c in "xk" for v in windows]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = 64
 
@@ -30,7 +31,7 @@ def _limb(word: Column, at: int, digits: int) -> Column:
 def unsigned_text(word: Column) -> Column:
     """Decimal text of an unsigned word below 2**122; null for wider ones, which need ``wide_text``."""
     high = _limb(word, 33, 16)
-    value = high.cast("decimal(38,0)") * F.lit(2**64).cast("decimal(20,0)") + _limb(word, 49, 16)
+    value = high.cast("decimal(38,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + _limb(word, 49, 16)
     fits = F.substring(word, 1, 32).rlike("^0*$") & (F.substring(word, 33, 2) <= "03")
     return F.when(fits, value.cast("decimal(38,0)").cast("string"))
 
@@ -49,7 +50,7 @@ def signed_text(word: Column) -> Column:
     return F.when(negative, F.concat(F.lit("-"), magnitude.cast("decimal(38,0)").cast("string"))).otherwise(unsigned_text(word))
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def wide_text(word: str | None, signed: bool) -> str | None:
     """Decimal text of any word, for the few that no decimal column holds."""
     if word is None:

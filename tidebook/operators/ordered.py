@@ -25,7 +25,8 @@ def order_key(block: str, transaction: str, log: str) -> Column:
 def stretch_of(column: str | Column, width: int) -> Column:
     """Number of the stretch of ``width`` units that a whole number lies in."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.floor(c / F.lit(width)) if width < 2**31 else F.floor(c.cast("decimal(20,0)") / F.lit(width).cast("decimal(20,0)")).cast("bigint")
+    w = F.lit(width).cast("bigint")
+    return F.call_function("div", c.cast("bigint") - F.pmod(c.cast("bigint"), w), w)
 
 
 def running_sums(df: DataFrame, order: str, ties: list[str], sums: dict[str, Column], width: int, by: list[str] | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, va
     time or a null ``by`` column keep null values. Adds the values and ``{right_at}_matched``.
     """
     by = by or []
-    found = F.struct(F.col(right_at).alias("at"), *[F.col(tie).alias("tie")] * bool(tie), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    found = F.struct(F.col(right_at).alias("at"), *([F.col(tie).alias("tie")] if tie else []), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
     names = left.columns
     prices = right.filter(F.col(right_at).isNotNull()).select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], F.col(right_at).cast("bigint").alias("__t"), F.lit(1 if strict else 0).alias("__side"), found.alias("__r"))
     probes = left.select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], F.col(left_at).cast("bigint").alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.struct(*names).alias("__l"))

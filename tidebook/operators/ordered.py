@@ -49,7 +49,8 @@ def running_sums(df: DataFrame, order: str, ties: list[str], sums: dict[str, Col
 def asof_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, values: list[str], width: int, by: list[str] | None = None, strict: bool = True, tolerance: int | None = None, tie: str | None = None) -> DataFrame:
     """Left rows with the values of the last right row before them (or at them, if not strict).
 
-    Times are whole numbers. ``tie`` orders right rows of the same time; without it the greatest
+    Times are whole numbers; the right side's span should be at most some million stretches of
+    ``width``. ``tie`` orders right rows of the same time; without it the greatest
     values win. A match older than ``tolerance`` counts as none. Rows without a match, with a null
     time or a null ``by`` column keep null values. Adds the values and ``{right_at}_matched``.
     """
@@ -59,14 +60,21 @@ def asof_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, va
     prices = right.filter(F.col(right_at).isNotNull()).select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], F.col(right_at).cast("bigint").alias("__t"), F.lit(1 if strict else 0).alias("__side"), found.alias("__r"))
     probes = left.select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], F.col(left_at).cast("bigint").alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.struct(*names).alias("__l"))
     keys = [f"__b{i}" for i in range(len(by))]
-    rows = probes.unionByName(prices, allowMissingColumns=True).withColumn("__w", stretch_of("__t", width))
-    lasts = rows.filter(F.col("__r").isNotNull()).groupBy(*keys, "__w").agg(F.max("__r").alias("__c"))
-    every = rows.select(*keys, "__w").distinct().join(lasts, [*keys, "__w"], "left")
-    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__w").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select(*keys, "__w", F.last("__c", True).over(earlier).alias("__c"))
+    prices = prices.withColumn("__w", stretch_of("__t", width))
+    probes = probes.withColumn("__w", stretch_of("__t", width))
+    # what a stretch inherits comes from the right side alone, so the left side is computed once
+    lasts = prices.groupBy(*keys, "__w").agg(F.max("__r").alias("__c"))
+    series = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    lasts = lasts.withColumn("__next", F.lead("__w").over(series.orderBy("__w")))
+    carried = lasts.filter(F.col("__next").isNotNull()).select(*keys, F.explode(F.sequence(F.col("__w") + 1, "__next")).alias("__w"), "__c")
+    tails = lasts.filter(F.col("__next").isNull()).select(*keys, F.col("__w").alias("__tw"), F.col("__c").alias("__tc"))
     within = Window.partitionBy(*keys, "__w").orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
+    rows = probes.unionByName(prices, allowMissingColumns=True)
     local = rows.select(*keys, "__w", "__t", "__l", F.last("__r", True).over(within).alias("__m")).filter(F.col("__l").isNotNull())
     out = local.join(carried, [*keys, "__w"], "left")
+    # without keys the tail is one row
+    out = out.join(tails, keys, "left") if keys else out.join(F.broadcast(tails), F.lit(True), "left")
+    out = out.withColumn("__c", F.coalesce("__c", F.when(F.col("__w") > F.col("__tw"), F.col("__tc"))))
     match = F.coalesce("__m", "__c")
     usable = F.col("__t").isNotNull()
     for k in keys:

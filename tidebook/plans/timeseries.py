@@ -186,7 +186,7 @@ SQL = {
     "partition_faults": f"WITH {L}, p AS (SELECT sec // 86400 AS day_number, min(sec) AS first, max(sec) AS last FROM l WHERE kind = 'Swap' GROUP BY 1), j AS (SELECT *, first - lag(last) OVER (ORDER BY day_number) AS size FROM p) SELECT day_number, CASE WHEN last < first THEN 'reversed' WHEN size <= 0 THEN 'overlap' ELSE 'hole' END AS fault, size FROM j WHERE last < first OR size <= 0 OR size > 600",
     "asof_strict": f"WITH {_EV} SELECT log_index, p.price, p.sec AS sec_matched FROM ev ASOF LEFT JOIN lasts p ON ev.sec > p.sec",
     "asof_tolerance": f"WITH {_EV} SELECT log_index, CASE WHEN ev.sec - p.sec <= 300 THEN p.price END AS price, CASE WHEN ev.sec - p.sec <= 300 THEN p.sec END AS sec_matched FROM ev ASOF LEFT JOIN lasts p ON ev.sec > p.sec",
-    "asof_by_source": "WITH r AS (SELECT feed_id, epoch_us(timestamp) AS t, max(price) AS price, max(volume) AS volume FROM oracle WHERE price > 0 AND price < 1e12 GROUP BY 1, 2) SELECT r.feed_id, r.t, r.price, b.price AS big_price, b.t AS t_matched FROM r ASOF LEFT JOIN (SELECT * FROM r WHERE volume > 1000) b ON r.feed_id = b.feed_id AND r.t >= b.t",
+    "asof_by_source": "WITH r AS (SELECT feed_id, epoch_us(timestamp) AS t, max(price) AS price, max(volume) AS volume FROM oracle WHERE isfinite(price) AND price > 0 GROUP BY 1, 2) SELECT r.feed_id, r.t, r.price, b.price AS big_price, b.t AS t_matched FROM r ASOF LEFT JOIN (SELECT * FROM r WHERE volume > 1000) b ON r.feed_id = b.feed_id AND r.t >= b.t",
     "exact_prior": f"WITH {_GRID} SELECT log_index, l.sec // 60 * 60 AS minute, m.price FROM l LEFT JOIN minutes m ON m.sec + 60 = l.sec // 60 * 60 WHERE kind <> 'Swap'",
     "state_before": f"WITH {_EV} SELECT log_index, coalesce(sw.price, 50.0) AS price FROM ev ASOF LEFT JOIN sw ON ev.order_key > sw.order_key",
     "interval_trade_sums": f"WITH {M} SELECT wallet, tick_lower, tick_upper, depth, pair_number, count(s.order_key) AS trades, coalesce(sum(s.cents), 0)::BIGINT AS cents FROM pairs p LEFT JOIN swaps s ON s.order_key > p.entry_order_key AND s.order_key < p.exit_order_key GROUP BY wallet, tick_lower, tick_upper, depth, pair_number",

@@ -11,7 +11,8 @@ from tidebook.functions.formulas import convexity_cost, human_liquidity, invento
 from tidebook.operators.ordered import asof_join, interval_join
 from tidebook.operators.pathmetrics import lag_in_path, medoids, move_convexity, range_sums, rate_curve, rebalancing_cost, with_growth
 from tidebook.plans.ledger import KEY_WIDTH, SECONDS_WIDTH, M, pairs, swaps
-from tidebook.plans.timeseries import _CLOSE, _GRID, PAIR, STEP, _daily_close, minute_grid
+from tidebook.plans.timeseries import _GRID, PAIR, STEP, _daily_close, minute_grid
+from tidebook.util import materialise
 
 FIRST_PRICE = 50.0
 r6 = lambda c: F.round(c, 6)
@@ -22,7 +23,8 @@ def path(spark: SparkSession, d: str) -> DataFrame:
     moves = lag_in_path(swaps(spark, d), "order_key", {"price": "before"}, KEY_WIDTH)
     grid = minute_grid(spark, d).select((F.col("sec") + STEP).alias("minute"), F.col("price").alias("outside"))
     moves = moves.withColumn("before", F.coalesce("before", F.lit(FIRST_PRICE))).withColumn("minute", F.expr(f"sec div {STEP} * {STEP}"))
-    return moves.join(grid, "minute", "left").withColumn("outside", F.coalesce("outside", "before")).drop("minute")
+    # a table, as running sums read it twice
+    return materialise(moves.join(grid, "minute", "left").withColumn("outside", F.coalesce("outside", "before")).drop("minute"), "price-path")
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +74,8 @@ def block_mesh_cost(spark: SparkSession, d: str) -> DataFrame:
     price and the last may end inside the exit's block, so these two are added by hand.
     """
     ends = swaps(spark, d).groupBy("block_number").agg(F.max_by("price", "order_key").alias("price"), F.max("order_key").alias("order_key"))
-    ends = lag_in_path(ends, "order_key", {"price": "before"}, KEY_WIDTH)
-    p = pairs(spark, d).select(*PAIR, "entry_order_key", "exit_order_key", "low", "high", "liquidity")
+    ends = materialise(lag_in_path(ends, "order_key", {"price": "before"}, KEY_WIDTH), "block-ends")
+    p = materialise(pairs(spark, d).select(*PAIR, "entry_order_key", "exit_order_key", "low", "high", "liquidity"), "pairs")
     bounds = F.col("low"), F.col("high"), F.col("liquidity")
     sums = range_sums(p, ends.filter("before is not null"), "order_key", {"inner": move_convexity()}, "entry_order_key", "exit_order_key", KEY_WIDTH)
     # the first block end after the entry: the as-of lookup on negated keys
@@ -109,10 +111,10 @@ def portfolio_days(spark: SparkSession, d: str) -> DataFrame:
 
 def quadratic_variation(spark: SparkSession, d: str) -> DataFrame:
     """Variance cost of each pair from grid moves while the price before a move is in its range, at 1 and 5 minutes."""
-    p = pairs(spark, d).select(*PAIR, "entry_sec", "exit_sec", "low", "high", "liquidity")
-    out = None
+    p = materialise(pairs(spark, d).select(*PAIR, "entry_sec", "exit_sec", "low", "high", "liquidity"), "pairs")
+    every, out = materialise(minute_grid(spark, d), "minutes"), None
     for minutes in (1, 5):
-        grid = minute_grid(spark, d).filter(F.col("sec") % (60 * minutes) == 0).select("sec", "price")
+        grid = every.filter(F.col("sec") % (60 * minutes) == 0).select("sec", "price")
         moves = lag_in_path(grid, "sec", {"price": "before"}, SECONDS_WIDTH)
         step = F.pow(F.col("price") - F.col("before"), 2) / (4 * F.pow("before", F.lit(1.5)))
         inside = (F.col("before") >= F.col("low")) & (F.col("before") < F.col("high"))
@@ -164,7 +166,8 @@ def representatives(spark: SparkSession, d: str) -> DataFrame:
 
 def representative_paths(spark: SparkSession, d: str) -> DataFrame:
     """Entry, trades, grid points and exit of the representatives, with the number of trades so far."""
-    p = representatives(spark, d).select("market", "length", *PAIR).join(pairs(spark, d).select(*PAIR, "entry_sec", "exit_sec", "entry_order_key", "exit_order_key"), PAIR)
+    few = materialise(representatives(spark, d).select("market", "length", *PAIR), "representatives")
+    p = few.join(pairs(spark, d).select(*PAIR, "entry_sec", "exit_sec", "entry_order_key", "exit_order_key"), PAIR)
     cell = ["market", "length"]
     trades = interval_join(p, swaps(spark, d).select("order_key", F.col("sec").alias("swap_sec"), "price"), "entry_order_key", "exit_order_key", "order_key", KEY_WIDTH * 4)
     trades = trades.select(*cell, F.col("swap_sec").alias("sec"), F.lit("swap").alias("row_kind"), "order_key", "price")

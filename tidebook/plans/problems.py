@@ -21,12 +21,16 @@ METRICS = ["lp_total_return_realized_fee", "initial_wealth_usdt"]
 RANGE = ["pool_address", "manager_address", "tick_lower", "tick_upper"]
 
 
-def current_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of every log after all messages, tombstones included."""
-    messages = table(spark, sf_dir, "pool_events")
+def log_feed(messages: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Messages about logs with cleaned columns, and the names of the payload."""
     kind = F.lower(F.trim("event_type"))
     feed = messages.select("block_number", hex_text("transaction_hash").alias("transaction_hash"), "log_index", "transaction_index", hex_text("address").alias("address"), kind.alias("kind"), hex_text("owner").alias("owner"), "tick_lower", "tick_upper", digits(F.col("liquidity_delta_raw")).alias("magnitude"), "removed", "ingested_at")
-    payload = ["transaction_index", "address", "kind", "owner", "tick_lower", "tick_upper", "magnitude"]
+    return feed, ["transaction_index", "address", "kind", "owner", "tick_lower", "tick_upper", "magnitude"]
+
+
+def current_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every log after all messages, tombstones included."""
+    feed, payload = log_feed(table(spark, sf_dir, "pool_events"))
     return apply_changes(feed, LOG_KEY, "ingested_at", F.col("removed"), payload)
 
 

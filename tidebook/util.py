@@ -60,8 +60,14 @@ def entity_columns(column: str, columns: list[str], schema: T.StructType) -> lis
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; for a plain scan the size of its files. No job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables that a plan reads, as the optimizer knows them; no job is run.
+
+    Leaves are added up, since estimates above joins are products. A leaf of unknown size (an RDD
+    made by hand) counts as 0.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 2**60)
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:

@@ -54,26 +54,38 @@ def test_sketches_of_separate_days_combine(spark):
     assert r["n"] == 40_000 and r["quantiles"][0] == pytest.approx(5_000, abs=10_007 * (r["rank_error"] + 0.005))
 
 
-def dense_smoother(times, logs, ns, at, q, r, prior):
-    """Smoothed level and variance at times by one Gaussian conditioning over all readings."""
+def plain_smoother(times, logs, at, q, r, prior):
+    """Filter and backward pass over one sorted series, reading by reading."""
+    events = sorted([(t, 1, z) for t, z in zip(times, logs)] + [(t, 0, None) for t in at])
+    mean, cov, now, kept = np.array([prior, 0.0]), np.diag([grid.PRIOR_LEVEL, grid.PRIOR_SLOPE]), 0.0, []
     s = q * grid.TREND
-    every = np.concatenate([times, at])
-
-    def cov(a, b):
-        t = np.minimum(a, b)
-        trend = s * (t**3 / 3 + t**2 * np.abs(a - b) / 2)
-        return grid.PRIOR_LEVEL + grid.PRIOR_SLOPE * a * b + q * t + trend
-
-    k = cov(every[:, None], every[None, :])
-    n = len(times)
-    gain = k[n:, :n] @ np.linalg.inv(k[:n, :n] + np.diag(r / ns))
-    return prior + gain @ (logs - prior), np.diag(k[n:, n:] - gain @ k[:n, n:])
+    for t, seen, z in events:
+        dt, now = t - now, t
+        f = np.array([[1, dt], [0, 1]])
+        guess, spread = f @ mean, f @ cov @ f.T + np.array([[q * dt + s * dt**3 / 3, s * dt**2 / 2], [s * dt**2 / 2, s * dt]])
+        mean, cov = guess, spread
+        if seen:
+            gain = spread[:, 0] / (spread[0, 0] + r)
+            mean, cov = guess + gain * (z - guess[0]), spread - np.outer(gain, spread[0])
+        kept.append((f, guess, spread, mean, cov))
+    found = {}
+    for i in reversed(range(len(events))):
+        _, _, _, m, c = kept[i]
+        if i + 1 < len(events):
+            f, guess, spread, _, _ = kept[i + 1]
+            if np.linalg.det(spread) > 0:
+                gain = c @ f.T @ np.linalg.inv(spread)
+                m, c = m + gain @ (mean - guess), c + gain @ (cov - spread) @ gain.T
+            else:
+                m, c = mean, cov
+        mean, cov = m, c
+        if not events[i][1]:
+            found[events[i][0]] = (m[0], c[0, 0])
+    return np.array([found[t] for t in at]).T
 
 
 @pytest.mark.parametrize(("block", "fan"), [(8, 3), (256, 128)])
-def test_blocks_give_the_smoother_of_the_whole_series(spark, monkeypatch, block, fan):
-    monkeypatch.setattr(grid, "BLOCK", block)
-    monkeypatch.setattr(grid, "FAN", fan)
+def test_blocks_give_the_smoother_of_the_whole_series(spark, block, fan):
     rng, start, step = random.Random(3), datetime(2024, 1, 1, tzinfo=timezone.utc), 10
     rows, level = [], 100.0
     for i in range(200):
@@ -83,7 +95,7 @@ def test_blocks_give_the_smoother_of_the_whole_series(spark, monkeypatch, block,
         rows.append(("f", start + timedelta(seconds=step * i + rng.random() * 9), level * math.exp(rng.gauss(0, 0.002)), 1.0, start))
     df = spark.createDataFrame(rows, "feed string, at timestamp, price double, volume double, seen timestamp")
     feeds = spark.createDataFrame([("f", step)], "feed string, step int")
-    out = sorted(grid.regular_grid(df, feeds, "feed", "at", "price", "volume", "seen", "step").collect(), key=lambda r: r["slot_epoch"])
+    out = sorted(grid.regular_grid(df, feeds, "feed", "at", "price", "volume", "seen", "step", block, fan).collect(), key=lambda r: r["slot_epoch"])
     assert [r["slot_epoch"] for r in out] == list(range(out[0]["slot_epoch"], out[-1]["slot_epoch"] + 1, step))
     assert sum(r["is_missing"] for r in out) == 49
     spread = [r["log_sd"] for r in out]
@@ -92,14 +104,17 @@ def test_blocks_give_the_smoother_of_the_whole_series(spark, monkeypatch, block,
     origin = (out[0]["slot_epoch"] // step) // block * block
     u = np.array([r[1].timestamp() / step - origin for r in rows])
     z = np.log([r[2] for r in rows])
-    near = [(b - a, (y - x) ** 2) for a, b, x, y in zip(u, u[1:], z, z[1:]) if b - a <= 8 and int(a + origin) // block == int(b + origin) // block]
-    dt, dz2 = np.array(near).T
-    q = max(grid.LEAST_Q, np.polyfit(dt, dz2, 1)[0], dz2.mean() / 1_000)
-    r = max(grid.LEAST_R, (dz2.mean() - q * dt.mean()) / 2, dz2.mean() / 1_000)
+    def moments(gap):
+        near = [(u[i + gap] - u[i], (z[i + gap] - z[i]) ** 2) for i in range(len(u) - gap) if u[i + gap] - u[i] <= grid.NEAR and int(u[i + gap] + origin) // block == int(u[i] + origin) // block]
+        return np.mean(near, axis=0)
+
+    (t1, z1), (t2, z2) = moments(1), moments(2)
+    q = max(grid.LEAST_Q, (z2 - z1) / (t2 - t1), z1 / 1_000)
+    r = max(grid.LEAST_R, (z1 - q * t1) / 2, z1 / 1_000)
     at = np.array([x["slot_epoch"] / step - origin for x in out])
-    mean, var = dense_smoother(u, z, np.ones(len(u)), at, q, r, z.mean())
+    mean, var = plain_smoother(u, z, at, q, r, z.mean())
     assert np.allclose(np.log([x["price"] for x in out]), mean, atol=1e-6)
-    assert np.allclose(spread, np.sqrt(var), rtol=1e-4, atol=1e-7)
+    assert np.allclose(spread, np.sqrt(var), rtol=1e-5)
 
 
 def test_grid_marks_unusable_repeated_and_empty(spark):

@@ -19,6 +19,8 @@ from tidebook.util import materialise
 
 #: Documents dealt to a block of the first round, blocks joined in later rounds, and the fill below which a bin is opened again.
 BLOCK_ROWS, FAN, GOOD_FILL = 8_192, 64, 0.98
+#: Most steps of the local search in one block.
+MOST_STEPS = 5_000
 #: Most kinds of containers.
 MOST_KINDS = 1_000
 
@@ -39,82 +41,80 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _gain(bins, fill, sizes, capacity, giver, takers, owner, pool):
-    """The best exchange that carries size from the giver to another underfull bin.
+def _gain(bins, fill, sizes, capacity, giver, pool, owner):
+    """The exchange that carries most size from the giver to another underfull bin and raises the sum of squared fills.
 
-    Returns (size carried, bin, items given, item taken back or None), or None. A single item may
-    move, be exchanged for a smaller one, or two may go for one.
+    pool, owner: the items of the underfull bins and their bins. Returns (size carried, bin, items
+    given, item taken back or None), or None. One item may move or be exchanged for a smaller one,
+    or two go for one.
     """
     import numpy as np
 
     free = capacity - fill
-    pool_size, pool_free = sizes[pool], free[owner]
-    best = (0, None, None, None)
-    ones = [(sizes[i], (i,)) for i in {sizes[i]: i for i in bins[giver]}.values()]
-    twos, seen = [], set()
+    other = owner != giver
+    pool, owner = pool[other], owner[other]
+    takers = np.unique(owner)
+    if not len(takers):
+        return None
+    least, room, pool_size = np.maximum(fill[giver] - fill[owner], 0), free[owner], sizes[pool]
+    ones, twos = {}, {}
     for n, i in enumerate(bins[giver]):
+        ones.setdefault(int(sizes[i]), (i,))
         for k in bins[giver][n + 1 :]:
-            if (both := sizes[i] + sizes[k]) not in seen:
-                seen.add(both)
-                twos.append((both, (i, k)))
-    room = max((free[b] for b in takers), default=0)
-    for size, items in ones:
-        if best[0] < size <= room:
-            fits = [b for b in takers if free[b] >= size]
-            b = min(fits, key=lambda b: free[b])
-            best = (size, b, items, None)
-    for size, items in [*ones, *twos]:
-        if not len(pool) or size <= best[0]:
+            twos.setdefault(int(sizes[i] + sizes[k]), (i, k))
+    best = (0, None, None, None)
+    for size, items in ones.items():
+        fits = takers[(free[takers] >= size) & (size > fill[giver] - fill[takers])]
+        if size > best[0] and len(fits):
+            best = (size, int(fits[np.argmin(free[fits])]), items, None)
+    for size, items in [*ones.items(), *twos.items()]:
+        if size <= best[0]:
             continue
         carried = size - pool_size
-        carried[carried > pool_free] = 0
+        carried[(carried > room) | (carried <= least)] = 0
         at = int(np.argmax(carried))
         if carried[at] > best[0]:
             best = (int(carried[at]), int(owner[at]), items, int(pool[at]))
     return best if best[1] is not None else None
 
 
-def improve(bins: list[list[int]], sizes, capacity: int) -> list[list[int]]:
-    """Local search: carry size from the emptiest bin into the free space of others until it is empty.
+def improve(bins: list[list[int]], sizes, capacity: int, most_steps: int = MOST_STEPS) -> list[list[int]]:
+    """Local search between underfull bins, the emptiest giving first, until bins empty.
 
-    Every step raises the sum of squared fills, since it only ever carries size to a bin that is
-    then fuller than the giver was; it ends when no step does, or when as few bins are left as the
-    total size allows.
+    Every step raises the sum of squared fills. The search ends when no step does, when as few
+    bins are left as the total size allows, or after ``most_steps``; it only ever saves bins.
     """
     import numpy as np
 
     sizes = np.asarray(sizes, dtype=np.int64)
     least = max(1, -(-int(sizes.sum()) // capacity))
     bins = [list(b) for b in bins]
-    while len(bins) > least:
-        fill = np.array([int(sizes[b].sum()) for b in bins], dtype=np.int64)
-        giver = int(np.argmin(fill))
-        while bins[giver]:
-            takers = [b for b in range(len(bins)) if b != giver and fill[b] < capacity]
-            pool = np.array([i for b in takers for i in bins[b]], dtype=np.int64)
-            owner = np.array([b for b in takers for _ in bins[b]], dtype=np.int64)
-            step = _gain(bins, fill, sizes, capacity, giver, takers, owner, pool)
-            if step is None and fill[giver]:
-                break
-            if step is None:  # only empty documents are left; any bin takes them
-                taker = 0 if giver else 1
-                bins[taker] += bins[giver]
-                bins[giver] = []
-                break
-            carried, taker, given, taken = step
-            if fill[taker] + carried <= fill[giver]:
+    fill = np.array([int(sizes[b].sum()) for b in bins], dtype=np.int64)
+    for _ in range(most_steps):
+        if len(bins) <= least:
+            break
+        givers = [int(b) for b in np.argsort(fill, kind="stable") if fill[b] < capacity]
+        pool = np.array([i for b in givers for i in bins[b]], dtype=np.int64)
+        owner = np.array([b for b in givers for _ in bins[b]], dtype=np.int64)
+        step = None
+        for giver in givers:
+            if step := _gain(bins, fill, sizes, capacity, giver, pool, owner):
                 break
-            for i in given:
-                bins[giver].remove(i)
-                bins[taker].append(i)
-            if taken is not None:
-                bins[taker].remove(taken)
-                bins[giver].append(taken)
-            fill[giver] -= carried
-            fill[taker] += carried
-        if bins[giver]:
+        if step is None:
             break
-        bins.pop(giver)
+        carried, taker, given, taken = step
+        for i in given:
+            bins[giver].remove(i)
+            bins[taker].append(i)
+        if taken is not None:
+            bins[taker].remove(taken)
+            bins[giver].append(taken)
+        fill[giver] -= carried
+        fill[taker] += carried
+        if not fill[giver]:  # what is left there are empty documents; any bin takes them
+            bins[taker] += bins[giver]
+            del bins[giver]
+            fill = np.delete(fill, giver)
     return bins
 
 

@@ -18,4 +18,5 @@ def ratio_text(numerator: str | None, denominator: str | None) -> str | None:
 
     if numerator is None or denominator is None or not Decimal(denominator):
         return None
-    return format(Context(prec=DIGITS).divide(Decimal(numerator), Decimal(denominator)).normalize(), "f")
+    context = Context(prec=DIGITS)
+    return format(context.normalize(context.divide(Decimal(numerator), Decimal(denominator))), "f")

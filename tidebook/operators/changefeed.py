@@ -106,6 +106,8 @@ def upsert_state(feed: DataFrame, key: list[str], sequence: str, deleted: Column
     tie = F.shiftrightunsigned(F.xxhash64(*key, *payload), 3) + F.when(gone, F.lit(2**61)).otherwise(F.lit(0)).cast("bigint")
     rows = feed.select(F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)])).alias("k"), _sequence(sequence, kinds[sequence]).alias("s"), tie.alias("t"), gone.alias("d"), *cells)
     schema, buckets = rows.schema.json(), partitions_for(feed, BUCKET_BYTES)
+    if before is not None:  # a bucket holds its share of the whole table, however small the feed
+        buckets = max(buckets, partitions_for(before, BUCKET_BYTES))
     rows = rows.mapInArrow(_upserts(schema, HELD_ROWS), rows.schema)
     if before is not None:
         again = [F.col(c).alias(f"p{i}") for i, c in enumerate([*key, *payload])]

@@ -29,6 +29,7 @@ def test_formulas_keep_their_laws(spark):
     assert cost(196.0, 225.0) == pytest.approx(10 * (15 - 14) ** 2 / 14)
     assert cost(25.0, 81.0) == cost(500.0, 900.0) == cost(200.0, 200.0) == 0 and cost(81.0, 121.0) > 0
     assert cost(200.0, 250.0) + cost(250.0, 200.0) > 0
+    assert one(spark, formulas.convexity_cost(F.lit(None).cast("double"), F.lit(1.0), low, high, liquidity)) is None
     assert one(spark, formulas.rebalancing_step(F.lit(200.0), F.lit(200.0), F.lit(3.0), low, high, liquidity)) == 0
     assert one(spark, F.exp(2 * formulas.daily_log_rate(F.lit(5.0)))) == pytest.approx((1 + 0.05 / 360) ** 2)
     price = one(spark, formulas.tick_price(F.lit(-200_000)))

@@ -52,7 +52,7 @@ def convexity_cost(before: Column, after: Column, low: Column, high: Column, liq
     """Value of the old inventory at the new price, less the position's value there.
 
     Inside the range the closed form is used, on one side of it the cost is 0, and across a bound
-    the difference, where rounding below 0 counts as 0.
+    the difference, where rounding below 0 counts as 0. Null if any input is null.
     """
     inside = before.between(low, high) & after.between(low, high)
     one_side = ((before <= low) & (after <= low)) | ((before >= high) & (after >= high))
@@ -60,7 +60,7 @@ def convexity_cost(before: Column, after: Column, low: Column, high: Column, liq
     x0, _ = inventory(before, low, high, liquidity)
     cost = v0 + x0 * (after - before) - v1
     noise = 1e-11 * F.greatest(F.abs(v0), F.abs(v1), F.lit(1.0))
-    across = F.when(cost >= 0, cost).when(cost >= -noise, F.lit(0.0)).otherwise(F.raise_error(F.lit("negative convexity cost")).cast("double"))
+    across = F.when(cost.isNull() | (cost >= 0), cost).when(cost >= -noise, F.lit(0.0)).otherwise(F.raise_error(F.lit("negative convexity cost")).cast("double"))
     return F.when(inside, liquidity * F.pow(F.sqrt(after) - F.sqrt(before), 2) / F.sqrt(before)).when(one_side, F.lit(0.0)).otherwise(across)
 
 

@@ -125,10 +125,10 @@ def quadratic_variation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expected_loss(spark: SparkSession, d: str) -> DataFrame:
-    """Expected loss from the volatility known before the entry's day, for pairs whose range holds the entry price."""
+    """Expected loss from the volatility of 30 daily returns known before the entry's day, for pairs whose range holds the entry price."""
     w = Window.orderBy("day")
     close = _daily_close(spark, d).withColumn("r", F.log(F.col("price") / F.lag("price").over(w)))
-    sigma = close.withColumn("s", F.when(F.count("r").over(w.rowsBetween(-6, 0)) >= 7, F.stddev_samp("r").over(w.rowsBetween(-6, 0)))).select(F.datediff("day", F.lit("1970-01-01")).cast("bigint").alias("day_number"), F.lag("s").over(w).alias("sigma"))
+    sigma = close.withColumn("s", F.when(F.count("r").over(w.rowsBetween(-29, 0)) >= 30, F.stddev_samp("r").over(w.rowsBetween(-29, 0)))).select(F.datediff("day", F.lit("1970-01-01")).cast("bigint").alias("day_number"), F.lag("s").over(w).alias("sigma"))
     p = _at(spark, d, pairs(spark, d).withColumn("day_number", F.expr("entry_sec div 86400")), "entry_order_key", "p0").join(sigma, "day_number", "left")
     price, low, high = F.col("p0"), F.col("low"), F.col("high")
     width = 2 * (1 - F.sqrt(low / price)) + 2 * (1 - F.sqrt(price / high))

@@ -131,16 +131,16 @@ def open_position_curve(spark: SparkSession, d: str) -> DataFrame:
 def rolling_means(spark: SparkSession, d: str) -> DataFrame:
     """Means of 30 rows and of 30 days, sample deviation of 30 rows, difference and shift of daily closes."""
     w = Window.orderBy("day")
-    rows, days = w.rowsBetween(-6, 0), Window.orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(-6, 0)
+    rows, days = w.rowsBetween(-29, 0), Window.orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(-29, 0)
     close = _daily_close(spark, d)
-    return close.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.avg("price").over(rows), 8).alias("mean_rows"), F.when(F.count("price").over(days) >= 3, F.round(F.avg("price").over(days), 8)).alias("mean_days"), F.when(F.count("price").over(rows) >= 7, F.round(F.stddev_samp("price").over(rows), 8)).alias("std_rows"), F.round(F.col("price") - F.lag("price").over(w), 8).alias("change"), F.lag("price").over(w).alias("previous"))
+    return close.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.avg("price").over(rows), 8).alias("mean_rows"), F.when(F.count("price").over(days) >= 7, F.round(F.avg("price").over(days), 8)).alias("mean_days"), F.when(F.count("price").over(rows) >= 30, F.round(F.stddev_samp("price").over(rows), 8)).alias("std_rows"), F.round(F.col("price") - F.lag("price").over(w), 8).alias("change"), F.lag("price").over(w).alias("previous"))
 
 
 def volatility(spark: SparkSession, d: str) -> DataFrame:
-    """Yearly volatility from the last 7 daily log returns, and realized volatility of each day from 10-minute prices."""
+    """Yearly volatility from the last 30 daily log returns, and realized volatility of each day from 10-minute prices."""
     w = Window.orderBy("day")
     daily = _daily_close(spark, d).withColumn("r", F.log(F.col("price") / F.lag("price").over(w)))
-    historic = daily.select("day", F.when(F.count("r").over(w.rowsBetween(-6, 0)) >= 7, F.stddev_samp("r").over(w.rowsBetween(-6, 0)) * F.sqrt(F.lit(365.0))).alias("historic"))
+    historic = daily.select("day", F.when(F.count("r").over(w.rowsBetween(-29, 0)) >= 30, F.stddev_samp("r").over(w.rowsBetween(-29, 0)) * F.sqrt(F.lit(365.0))).alias("historic"))
     # the first bin of a stretch looks back into the one before, so returns are joined on the bin's number
     bins = price_10min(spark, d).select(F.expr("bin_start div 600").alias("b"), "price")
     returns = bins.alias("x").join(bins.select((F.col("b") + 1).alias("b"), F.col("price").alias("before")), "b").withColumn("r2", F.pow(F.log(F.col("price") / F.col("before")), 2))

@@ -1,13 +1,14 @@
 import math
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from statistics import mean, stdev
 
 import pytest
 
+from tidebook.operators.densify import gap_runs
 from tidebook.plans import risk, timeseries
 
-DAY0 = datetime(2024, 1, 1)
+DAY0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
 def events(spark, folder, rows):
@@ -40,3 +41,25 @@ def test_rolling_windows_hold_thirty_rows_and_days(spark, tmp_path):
     assert [r["applicable"] for r in out] == [False, True] and out[0]["expected"] is None
     width = 2 * (1 - math.sqrt(low / price)) + 2 * (1 - math.sqrt(price / high))
     assert out[1]["expected"] == pytest.approx((math.exp(-(sigma[65] ** 2) * 2 / 8) - 1) / width, abs=1e-6)
+
+
+def test_gap_runs_cross_hours_and_stretches(spark, tmp_path):
+    trades = [59, 61, 130, 119, 120, 900, 901, 902]
+    d = events(spark, tmp_path, [(60 * m, 1, "click", 1, 1) for m in trades])
+    start = int(DAY0.timestamp()) // 60
+    got = {(r["gap_start"] // 60 - start, r["gap_end"] // 60 - start, r["points"]) for r in timeseries.minute_gaps(spark, d).collect()}
+    at = sorted(trades)
+    assert got == {(a + 1, b - 1, b - a - 1) for a, b in zip(at, at[1:]) if b - a > 1}
+    rng = random.Random(2)
+    points = [(s, 3 * n) for s in ("a", None) for n in range(-300, 300) if rng.random() < 0.9]
+    want = set()
+    for s, x in points:
+        if (s, x - 3) not in (held := set(points)):
+            last = x
+            while (s, last + 3) in held:
+                last += 3
+            want.add((s, x, last, (last - x) // 3 + 1))
+    df = spark.createDataFrame(points, "s string, x long")
+    for width in (2, 7, 30, 5_000):
+        runs = gap_runs(df, "x", 3, ["s"], width).collect()
+        assert len(runs) == len(want) and {(r["s"], r["gap_start"], r["gap_end"], r["points"]) for r in runs} == want

@@ -47,12 +47,25 @@ def dense_grid(ticks: DataFrame, at: str, price: str, volume: str, step: int, wi
     return filled.select(at, F.coalesce("__local", "__p").alias(price), F.coalesce(volume, F.lit(0)).alias(volume), F.col(price).isNull().alias("is_imputed"))
 
 
-def gap_runs(missing: DataFrame, at: str, step: int, by: list[str] | None = None) -> DataFrame:
-    """Runs of consecutive missing grid points: ``gap_start``, ``gap_end`` (last missing point), ``points``."""
-    by = by or []
-    w = Window.partitionBy(*by).orderBy(at) if by else Window.orderBy(at)
-    island = F.col(at) - F.row_number().over(w) * step
-    return missing.select(*by, at, island.alias("__g")).groupBy(*by, "__g").agg(F.min(at).alias("gap_start"), F.max(at).alias("gap_end"), F.count("*").alias("points")).drop("__g")
+def gap_runs(missing: DataFrame, at: str, step: int, by: list[str] | None = None, width: int | None = None) -> DataFrame:
+    """Maximal runs of consecutive missing grid points: ``gap_start``, ``gap_end`` (last missing point), ``points``.
+
+    Runs are found within stretches of ``width`` units (by default 4,096 steps). One that touches
+    a stretch's border joins its neighbour's by a table of at most two runs a stretch, so no task
+    orders the whole series.
+    """
+    by, width = by or [], width or 4_096 * step
+    rows = missing.filter(F.col(at).isNotNull()).select(*by, at, stretch_of(at, width).alias("__w"))
+    island = F.col(at) - F.row_number().over(Window.partitionBy(*by, "__w").orderBy(at)) * step
+    runs = rows.withColumn("__g", island).groupBy(*by, "__w", "__g").agg(F.min(at).alias("gap_start"), F.max(at).alias("gap_end"), F.count("*").alias("points"))
+    # the point before or after a run at a border lies in another stretch
+    touches = (stretch_of(F.col("gap_start") - step, width) < F.col("__w")) | (stretch_of(F.col("gap_end") + step, width) > F.col("__w"))
+    series = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = series.orderBy("gap_start")
+    border = runs.filter(touches).withColumn("__new", F.coalesce((F.col("gap_start") > F.lag("gap_end").over(w) + step).cast("int"), F.lit(1)))
+    border = border.withColumn("__run", F.sum("__new").over(w)).groupBy(*by, "__run").agg(F.min("gap_start").alias("gap_start"), F.max("gap_end").alias("gap_end"), F.sum("points").alias("points"))
+    columns = [*by, "gap_start", "gap_end", "points"]
+    return runs.filter(~touches).select(*columns).unionByName(border.select(*columns))
 
 
 def last_by_bin(ticks: DataFrame, at: str, price: str, step: int) -> DataFrame:

@@ -21,9 +21,8 @@ def minute_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minute_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of minutes without a trade, within an hour's stretch each."""
-    missing = minute_grid(spark, d).filter("is_imputed").withColumn("hour", F.expr("sec div 3600"))
-    return gap_runs(missing, "sec", STEP, ["hour"])
+    """Runs of minutes without a trade."""
+    return gap_runs(minute_grid(spark, d).filter("is_imputed"), "sec", STEP, width=SECONDS_WIDTH)
 
 
 def price_10min(spark: SparkSession, d: str) -> DataFrame:

@@ -6,14 +6,14 @@ from statistics import mean, stdev
 import pytest
 
 from tidebook.operators.densify import gap_runs
-from tidebook.plans import risk, timeseries
+from tidebook.plans import matching, risk, timeseries
 
 DAY0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
-def events(spark, folder, rows):
-    """An events table from (seconds after the first day's start, user, kind, value, k), numbered in turn."""
-    cells = [(i, DAY0 + timedelta(seconds=s), user, kind, float(value), f'{{"k": {k}}}') for i, (s, user, kind, value, k) in enumerate(rows)]
+def events(spark, folder, rows, first=0):
+    """An events table from (seconds after the first day's start, user, kind, value, k), numbered from ``first`` on."""
+    cells = [(i, DAY0 + timedelta(seconds=s), user, kind, float(value), f'{{"k": {k}}}') for i, (s, user, kind, value, k) in enumerate(rows, first)]
     spark.createDataFrame(cells, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.mode("overwrite").parquet(f"{folder}/events.parquet")
     return str(folder)
 
@@ -63,3 +63,27 @@ def test_gap_runs_cross_hours_and_stretches(spark, tmp_path):
     for width in (2, 7, 30, 5_000):
         runs = gap_runs(df, "x", 3, ["s"], width).collect()
         assert len(runs) == len(want) and {(r["s"], r["gap_start"], r["gap_end"], r["points"]) for r in runs} == want
+
+
+@pytest.mark.parametrize(("first", "users"), [(99_950, 40), (2**40, 2**40), (0, 40)])
+def test_event_order_has_no_bound_on_ids(spark, tmp_path, first, users):
+    rng = random.Random(3)
+    rows = [(rng.randrange(120), users - 20 * rng.randrange(2), rng.choice(["signup", "purchase", "click", "error"]), rng.randrange(1, 90), 1) for _ in range(100)]
+    d = events(spark, tmp_path, rows, first)
+    want = sorted(range(100), key=lambda i: (rows[i][0] // 12, rows[i][1], i))
+    got = matching.ledger_events(spark, d).collect()
+    assert [r["log_index"] - first for r in got] == want and len({r["order_key"] for r in got}) == 100
+    price, state = 50.0, {}
+    for i in want:
+        if rows[i][2] == "click":
+            price = float(rows[i][3])
+        else:
+            state[i] = price
+    assert {r["log_index"] - first: r["price"] for r in timeseries.state_before(spark, d).collect()} == state
+    queue, pairs = [], set()
+    for i in want:
+        if rows[i][2] == "signup":
+            queue.append(i)
+        elif rows[i][2] == "purchase" and queue:
+            pairs.add((queue.pop(0), i))
+    assert {(r["entry_log_index"] - first, r["exit_log_index"] - first) for r in matching.fifo_position_pairs(spark, d).collect()} == pairs

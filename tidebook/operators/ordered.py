@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bounds of the packed order key: block * 10**10 + transaction * 10**5 + log.
+#: Bounds of the packed order key: block * 10**10 + transaction * 10**5 + log. What exceeds them takes ``block_position_key``.
 PER_BLOCK, PER_TRANSACTION = 10**10, 10**5
 
 
@@ -22,6 +22,17 @@ def order_key(block: str, transaction: str, log: str) -> Column:
     return F.when(fits, b * PER_BLOCK + t * PER_TRANSACTION + g).when(b.isNull() | t.isNull() | g.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("event order out of range")).cast("bigint"))
 
 
+def block_position_key(block: str, transaction: str, log: str) -> Column:
+    """The same order as a block's start and a place within it; only a block's rows are bounded, by ``PER_BLOCK``.
+
+    A window over each block, so it must see all events of the block. Events that agree in all
+    three parts have one key.
+    """
+    b, place = F.col(block).cast("bigint"), F.rank().over(Window.partitionBy(block).orderBy(transaction, log))
+    fits = (b >= 0) & (b < 9 * 10**8) & (place < PER_BLOCK)
+    return F.when(b.isNull() | F.col(transaction).isNull() | F.col(log).isNull(), F.lit(None)).when(fits, b * PER_BLOCK + place).otherwise(F.raise_error(F.lit("event order out of range")).cast("bigint"))
+
+
 def stretch_of(column: str | Column, width: int) -> Column:
     """Number of the stretch of ``width`` units that a whole number lies in."""
     c = F.col(column) if isinstance(column, str) else column

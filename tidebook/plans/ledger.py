@@ -6,11 +6,11 @@ A block lasts 12 seconds and carries one time, its start.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.operators.matching import fifo_pairs, join_pairs
-from tidebook.operators.ordered import order_key
+from tidebook.operators.ordered import PER_TRANSACTION, block_position_key, order_key
 from tidebook.util import table
 
 BLOCK_SECONDS = 12
@@ -20,7 +20,16 @@ BASE = ["wallet", "tick_lower", "tick_upper"]
 SECONDS_WIDTH, KEY_WIDTH = 7_200, 600 * 10**10
 
 
+def _key(rows: DataFrame) -> Column:
+    """Parts packed as they are if those of the whole table fit, else places within blocks."""
+    parts = ("transaction_index", "log_index")
+    within = F.coalesce(F.bool_and((F.col(parts[0]).between(0, PER_TRANSACTION - 1)) & F.col(parts[1]).between(0, PER_TRANSACTION - 1)), F.lit(True))
+    pack = order_key if rows.agg(within).first()[0] else block_position_key
+    return pack("block_number", *parts)
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in order; any number of rows and any ids."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type") == "signup", "Mint").when(F.col("event_type") == "purchase", "Burn").when(F.col("event_type") == "error", "Collect").otherwise("Swap")
     block = F.expr(f"unix_timestamp(ts) div {BLOCK_SECONDS}")
@@ -28,7 +37,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("log_index"), F.col("user_id").alias("transaction_index"), block.alias("block_number"), (block * BLOCK_SECONDS).alias("sec"), kind.alias("kind"), "event_type",
         (F.col("user_id") % 20).alias("wallet"), (-100 * (1 + k % 3)).alias("tick_lower"), (100 * (1 + k % 3)).alias("tick_upper"),
         F.when((F.col("event_type") == "purchase") & (k % 10 == 0), 0).otherwise(1 + k % 2).alias("depth"), F.round(F.col("value") * 100).cast("bigint").alias("cents"), F.greatest("value", F.lit(0.01)).alias("price"))
-    return rows.withColumn("order_key", order_key("block_number", "transaction_index", "log_index"))
+    return rows.withColumn("order_key", _key(rows))
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from datetime import datetime, timedelta, timezone
 from statistics import mean, stdev
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidebook.operators import pathmetrics
 from tidebook.operators.densify import gap_runs
 from tidebook.plans import matching, risk, timeseries
 
@@ -87,3 +89,22 @@ def test_event_order_has_no_bound_on_ids(spark, tmp_path, first, users):
         elif rows[i][2] == "purchase" and queue:
             pairs.add((queue.pop(0), i))
     assert {(r["entry_log_index"] - first, r["exit_log_index"] - first) for r in matching.fifo_position_pairs(spark, d).collect()} == pairs
+
+
+@pytest.mark.parametrize(("most", "strict"), [(2_000, True), (2, True), (2, False)])
+def test_range_sums_of_any_number_of_ranges(spark, monkeypatch, most, strict):
+    monkeypatch.setattr(pathmetrics, "MOST_RANGES", most)
+    rng = random.Random(4)
+    moves = [(t, rng.uniform(10, 90)) for t in range(0, 200, 3)]
+    positions = [(i, 10.0 * rng.randrange(1, 4), 50.0 + 10 * rng.randrange(1, 4), 1 + i / 7, a := rng.randrange(190), a + rng.randrange(0, 60)) for i in range(2_100)]
+    positions += [(2_100, 10.0, None, 1.0, 0, 90), (2_101, 10.0, 60.0, None, 0, 90)]
+    df = spark.createDataFrame(positions, "i int, low double, high double, liquidity double, a long, b long")
+    inside = F.when((F.col("price") >= F.col("low")) & (F.col("price") < F.col("high")), F.col("liquidity") * F.col("price"))
+    out = pathmetrics.range_sums(df, spark.createDataFrame(moves, "t long, price double"), "t", {"n": F.lit(1.0), "cost": inside}, "a", "b", 25, strict=strict, unscaled=("n",)).collect()
+    assert len(out) == len(positions)
+    for r in out[:: 1 if most == 2 else 5]:
+        mine = [p for t, p in moves if r["a"] < t < r["b"] + (not strict)]
+        if r["high"] is None or r["liquidity"] is None:
+            assert r["cost"] == 0
+        else:
+            assert r["n"] == pytest.approx(len(mine)) and r["cost"] == pytest.approx(sum(r["liquidity"] * p for p in mine if r["low"] <= p < r["high"]), abs=1e-6)

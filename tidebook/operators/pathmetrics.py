@@ -1,9 +1,9 @@
 """Path-dependent measures of positions, without meeting every position with every price.
 
-What a price move costs a position depends on its range and liquidity only, and the moves in a
-position's life are consecutive. So each distinct range gets running sums over the price path
-(ranges x moves rows), and a position's sum is the difference of two of them, looked up as of its
-exit and its entry.
+What a price move costs a position depends on its range only, in proportion to its liquidity, and
+the moves in a position's life are consecutive. So each distinct range gets running sums over the
+price path (ranges x moves rows), and a position's sum is the difference of two of them, looked up
+as of its exit and its entry. Beyond a bounded number of ranges the rest are summed life by life.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebook.functions.formulas import DAY, convexity_cost, daily_log_rate, rebalancing_step
-from tidebook.operators.ordered import asof_join, running_sums, stretch_of
+from tidebook.operators.ordered import asof_join, interval_join, running_sums, stretch_of
 from tidebook.util import materialise
 
-RANGE = ["low", "high", "liquidity"]
+BOUNDS = ["low", "high"]
+RANGE = [*BOUNDS, "liquidity"]
 MOST_RANGES = 2_000
 
 
@@ -44,27 +45,41 @@ def with_growth(df: DataFrame, curve: DataFrame, sec: str, name: str) -> DataFra
     return rows.withColumn(name, F.col("start") + F.col("log_rate") * (F.pmod(F.col(sec), F.lit(DAY)) / DAY)).drop("day_number", "start", "log_rate")
 
 
-def range_sums(positions: DataFrame, moves: DataFrame, order: str, costs: dict[str, Column], entry: str, exit_: str, width: int, strict: bool = True) -> DataFrame:
+def range_sums(positions: DataFrame, moves: DataFrame, order: str, costs: dict[str, Column], entry: str, exit_: str, width: int, strict: bool = True, unscaled: tuple[str, ...] = ()) -> DataFrame:
     """Positions with sums of the costs of the moves in (entry, exit) (or (entry, exit] if not strict).
 
-    costs: columns of moves and the range ``low``, ``high``, ``liquidity``; null counts as 0.
+    costs: columns of moves, ``low``, ``high`` and ``liquidity``; null counts as 0. They grow in
+    proportion to liquidity, except those named in ``unscaled``. So they are summed for a liquidity
+    of 1 and multiplied by the position's.
+
+    The ``MOST_RANGES`` ranges (low, high) with the most positions get running sums. Positions of
+    all others meet the moves in their lives through ``interval_join``.
     """
-    ranges = positions.select(*RANGE).dropna().distinct()
-    # every move goes to every distinct range, as an explode of a bounded list, not to every position
-    few = ranges.limit(MOST_RANGES + 1).collect()
-    if len(few) > MOST_RANGES:
-        raise ValueError(f"more than {MOST_RANGES} distinct ranges; use interval_join")
-    every = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in RANGE]) for r in few]) if few else F.array().cast("array<struct<low:double,high:double,liquidity:double>>")
-    steps = moves.withColumn("__r", F.explode(every)).select("*", *[F.col(f"__r.{c}").alias(c) for c in RANGE]).drop("__r")
-    run = running_sums(steps, order, [], {f"__c{i}": F.coalesce(c, F.lit(0.0)) for i, c in enumerate(costs.values())}, width, by=RANGE).select(*RANGE, F.col(order).alias("__k"), *[f"__c{i}" for i in range(len(costs))])
+    names = [f"__c{i}" for i in range(len(costs))]
+    unit = [F.coalesce(c, F.lit(0.0)) for c in costs.values()]
+    counts = positions.select(*BOUNDS).dropna().groupBy(*BOUNDS).count().orderBy(F.desc("count"), *BOUNDS)
+    found = counts.limit(MOST_RANGES + 1).collect()
+    few, more = found[:MOST_RANGES], len(found) > MOST_RANGES
+    # every move goes to every range of a bounded list, as an explode, not to every position
+    every = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in BOUNDS]) for r in few]) if few else F.array().cast("array<struct<low:double,high:double>>")
+    steps = moves.withColumn("__r", F.explode(every)).select("*", *[F.col(f"__r.{c}").alias(c) for c in BOUNDS], F.lit(1.0).alias("liquidity")).drop("__r")
+    run = running_sums(steps, order, [], dict(zip(names, unit)), width, by=BOUNDS).select(*BOUNDS, F.col(order).alias("__k"), *names)
     run = materialise(run, "range-sums")  # looked up twice
     out = positions
-    names = [f"__c{i}" for i in range(len(costs))]
     # the last move at or before the entry is not in; one at the exit only if asked for
     for side, at, before in (("a", entry, False), ("z", exit_, strict)):
-        out = asof_join(out, run, at, "__k", names, width, by=RANGE, strict=before).drop("__k_matched").withColumnsRenamed({n: f"{n}{side}" for n in names})
-    sums = [(F.coalesce(f"{n}z", F.lit(0.0)) - F.coalesce(f"{n}a", F.lit(0.0))).alias(name) for n, name in zip(names, costs)]
-    return out.select(*positions.columns, *sums)
+        out = asof_join(out, run, at, "__k", names, width, by=BOUNDS, strict=before).drop("__k_matched").withColumnsRenamed({n: f"{n}{side}" for n in names})
+    sums = {n: F.coalesce(f"{n}z", F.lit(0.0)) - F.coalesce(f"{n}a", F.lit(0.0)) for n in names}
+    if more:
+        listed = F.array_contains(every, F.struct(*BOUNDS))
+        lives = positions.select(*BOUNDS, F.col(entry).alias("__from"), F.col(exit_).alias("__to")).dropna().filter(~listed).distinct().withColumn("liquidity", F.lit(1.0))
+        hits = interval_join(lives, moves, "__from", "__to", order, width, strict_end=strict)
+        rest = hits.groupBy(*BOUNDS, "__from", "__to").agg(*[F.sum(c).alias(f"{n}r") for n, c in zip(names, unit)])
+        rest = rest.withColumnsRenamed({"__from": entry, "__to": exit_})
+        out = out.join(rest, [*BOUNDS, entry, exit_], "left")
+        sums = {n: s + F.coalesce(f"{n}r", F.lit(0.0)) for n, s in sums.items()}
+    size, lives_on = F.coalesce("liquidity", F.lit(0.0)), F.col(entry) < F.col(exit_)
+    return out.select(*positions.columns, *[F.when(lives_on, s if name in unscaled else s * size).otherwise(0.0).alias(name) for s, name in zip(sums.values(), costs)])
 
 
 def rebalancing_cost(before: str = "before", after: str = "price", outside: str = "outside") -> Column:

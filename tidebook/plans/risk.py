@@ -58,7 +58,7 @@ def lifetime_metrics(spark: SparkSession, d: str) -> DataFrame:
     curve = _curve(spark, d)
     moves = with_growth(path(spark, d), curve, "sec", "growth")
     p = pairs(spark, d).select(*PAIR, "entry_order_key", "exit_order_key", "exit_sec", "low", "high", "liquidity")
-    sums = range_sums(p, moves, "order_key", {"trades": F.lit(1.0), "rebalancing": rebalancing_cost(), "convexity": move_convexity(), "discounted": move_convexity() * F.exp(-F.col("growth"))}, "entry_order_key", "exit_order_key", KEY_WIDTH)
+    sums = range_sums(p, moves, "order_key", {"trades": F.lit(1.0), "rebalancing": rebalancing_cost(), "convexity": move_convexity(), "discounted": move_convexity() * F.exp(-F.col("growth"))}, "entry_order_key", "exit_order_key", KEY_WIDTH, unscaled=("trades",))
     rows = with_growth(_at(spark, d, _at(spark, d, sums, "entry_order_key", "p0"), "exit_order_key", "p1"), curve, "exit_sec", "growth")
     bounds = F.col("low"), F.col("high"), F.col("liquidity")
     x0, y0 = inventory(F.col("p0"), *bounds)

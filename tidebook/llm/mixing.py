@@ -48,12 +48,15 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, tokens: str
     sizes: ``key`` (identifies the document, and is hashed), ``source``, ``tokens``. targets:
     ``target_source``, ``share``, ``repeats`` (most uses of a document; null counts as 1).
     total: tokens of the mix; by default the most, up to the size of the corpus, at which every
-    source can reach its share.
+    source that can give anything reaches its share.
 
     The report has for each target source: source (as spelt in targets), target_share, max_repeats, documents,
     source_tokens, corpus_tokens, reachable (whether it could reach its share of a mix as large as
-    the corpus), mix_tokens, reached_tokens and reached_share. A source without documents, or
-    with a share of 0, has none used. Documents whose source has no target are not used, but count
+    the corpus), mix_tokens, reached_tokens and reached_share. A source without documents, with
+    only empty ones, with max_repeats 0 or with a share of 0 has none used and reached_share 0; its
+    share goes to the others in proportion, so their reached_share is above their target_share, and
+    the mix is empty only if no source can give anything. A scarce source does limit the default
+    mix, since shares follow the targets. Documents whose source has no target are not used, but count
     in the corpus. Null or negative sizes count as 0. Rows with the same key have the same hash
     and are used alike; a budget ends within one document's size of its target, or of the copies'
     where a document is repeated.
@@ -74,10 +77,13 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, tokens: str
     for r in few:
         held, count = have.get(r["source"], (0, 0))
         plan[r["source"]] = {"name": r["name"], "share": max(0.0, r["share"]), "repeats": max(0, r["repeats"]), "held": held, "rows": count}
+    # what sources that can give nothing leave open goes to the others in proportion
+    giving = [p for p in plan.values() if p["share"] > 0 and p["held"] * p["repeats"] > 0]
+    scale = sum(p["share"] for p in plan.values()) / sum(p["share"] for p in giving) if len(giving) < sum(p["share"] > 0 for p in plan.values()) and giving else 1.0
     if total is None:
-        total = min([corpus, *(int(p["held"] * p["repeats"] / p["share"]) for p in plan.values() if p["share"] > 0)])
+        total = min([corpus, *(int(p["held"] * p["repeats"] / (p["share"] * scale)) for p in giving)]) if giving else 0
     for p in plan.values():
-        budget = min(p["share"] * total, p["held"] * p["repeats"])
+        budget = min(p["share"] * scale * total, p["held"] * p["repeats"])
         p["base"] = int(budget // p["held"]) if p["held"] else 0
         p["left"] = budget - p["base"] * p["held"] if p["held"] else 0.0
         p["threshold"], p["open"] = 0, p["left"] > 0

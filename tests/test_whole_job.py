@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import pathmetrics
 from tidebook.operators.densify import gap_runs
-from tidebook.plans import matching, risk, timeseries
+from tidebook.plans import matching, risk, statistics, timeseries
 
 DAY0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -108,3 +108,22 @@ def test_range_sums_of_any_number_of_ranges(spark, monkeypatch, most, strict):
             assert r["cost"] == 0
         else:
             assert r["n"] == pytest.approx(len(mine)) and r["cost"] == pytest.approx(sum(r["liquidity"] * p for p in mine if r["low"] <= p < r["high"]), abs=1e-6)
+
+
+def test_regressions_keep_every_finite_row(spark, tmp_path):
+    rng, nan = random.Random(5), float("nan")
+    rows = [(DAY0, rng.uniform(-0.9, 0.9) * (100 if i % 10 == 0 else 1), *[rng.gauss(0, 1) * (50 if i % 7 == 0 else 1) for _ in range(3)]) for i in range(200)]
+    rows += [(DAY0, nan, 1.0, 1.0, 1.0), (DAY0, 1.0, float("inf"), nan, None), (DAY0, None, 1.0, 1.0, 1.0), (DAY0, 315.0, 20.0, -30.0, 0.1)]
+    names = ("il_loss_on_initial", "lvr_rebalancing_on_initial", "pl_loss_on_initial")
+    columns = ", ".join(f"{n} double" for n in ("lp_total_return_realized_fee", *names))
+    spark.createDataFrame(rows, f"exit_timestamp timestamp, {columns}").write.parquet(f"{tmp_path}/position_metrics.parquet")
+    got, r2 = {r["metric"]: r for r in statistics.ols_tracking(spark, str(tmp_path)).collect()}, {}
+    for i, name in enumerate(names):
+        kept = [(r[2 + i], r[1]) for r in rows if r[1] is not None and r[2 + i] is not None and math.isfinite(r[1]) and math.isfinite(r[2 + i])]
+        mx, my = mean(x for x, _ in kept), mean(y for _, y in kept)
+        slope = sum((x - mx) * (y - my) for x, y in kept) / sum((x - mx) ** 2 for x, _ in kept)
+        rest = sum((y - my - slope * (x - mx)) ** 2 for x, y in kept)
+        r2[name] = 1 - rest / sum((y - my) ** 2 for _, y in kept)
+        assert got[name]["n"] == len(kept) and got[name]["slope"] == pytest.approx(slope, abs=1e-6) and got[name]["intercept"] == pytest.approx(my - slope * mx, abs=1e-6)
+        assert got[name]["r_squared"] == pytest.approx(r2[name], abs=1e-6) and got[name]["rmse"] == pytest.approx(math.sqrt(rest / len(kept)), abs=1e-6)
+    assert [r["metric"] for r in statistics.best_tracker(spark, str(tmp_path)).collect()] == [max(names, key=r2.get)]

@@ -150,9 +150,10 @@ _MODELS = ("il_loss_on_initial", "lvr_rebalancing_on_initial", "pl_loss_on_initi
 
 
 def _tracking(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "position_metrics").withColumn("year", F.year("exit_timestamp")).filter(F.abs("lp_total_return_realized_fee") < 1)
-    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(F.abs(F.col(m)) < 10, F.col(m)).alias("x")) for m in _MODELS])).alias("m")
-    rows = rows.select("year", F.col("lp_total_return_realized_fee").alias("y"), long).select("year", "y", "m.*")
+    """Fits over all rows where both values are finite."""
+    rows = table(spark, d, "position_metrics").withColumn("year", F.year("exit_timestamp"))
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), finite(m).alias("x")) for m in _MODELS])).alias("m")
+    rows = rows.select("year", finite("lp_total_return_realized_fee").alias("y"), long).select("year", "y", "m.*")
     return simple_regression(rows, "x", "y", ["year", "metric"])
 
 

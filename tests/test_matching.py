@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators.fees import attribute_collections
-from tidebook.operators.matching import depth_mismatches, fifo_pairs, join_pairs, nearest_links, overlapping
+from tidebook.operators.matching import _walk, depth_mismatches, fifo_pairs, join_pairs, nearest_links, overlapping
 from tidebook.operators.ordered import PER_BLOCK, asof_join, interval_join, keep_last, order_key, running_sums
 
 
@@ -14,11 +14,11 @@ def walk(seed, n=400):
     return [(rng.choice("ab"), rng.choice([1, 2, None]), i, rng.random() < 0.5) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_fifo_against_a_queue(spark, seed):
+@pytest.mark.parametrize(("seed", "width"), [(1, 4_096), (2, 7), (3, 1)])
+def test_fifo_against_a_queue(spark, seed, width):
     rows = walk(seed)
     df = spark.createDataFrame(rows, "who string, size int, n int, opens boolean").orderBy(F.rand(seed))
-    out = fifo_pairs(df, ["who", "size"], ["n"], "opens", "n", ["who"])
+    out = fifo_pairs(df, ["who", "size"], ["n"], "opens", "n", ["who"], width=width)
     queues, want, counts = {}, set(), {}
     for who, size, n, opens in rows:
         q = queues.setdefault((who, size), deque())
@@ -33,9 +33,32 @@ def test_fifo_against_a_queue(spark, seed):
     left = {r["n"]: r["unmatched_reason"] for r in out.filter("NOT is_matched").collect()}
     assert set(left) == {n for _, _, n, _ in rows} - {n for p in want for n in p}
     assert all(reason == ("no_subsequent_close" if rows[n][3] else "no_preceding_open") for n, reason in left.items())
-
-
-def test_links_against_a_stack(spark):
+    places = {}
+    for who, _, n, _ in rows:
+        places.setdefault(who, []).append(n)
+    assert all(places[r["who"]][r["base_position"] - 1] == r["n"] for r in out.collect())
+
+
+def test_a_hot_key_is_spread_over_stretches(spark):
+    """A third of the rows under one key: no sorted group is larger than a stretch holds."""
+    rows = [("hot" if i % 3 == 0 else f"k{i % 500}", i, (i // 3) % 2 == 0) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "who string, n int, opens boolean")
+    out = fifo_pairs(df, ["who"], ["n"], "opens", "n", width=300)
+    groups = _walk(df, ["who"], ["n"], "opens", 300).groupBy("__e", "__w").count()
+    assert groups.agg(F.max("count")).first()[0] <= 300 / 3
+    queue, want = deque(), set()
+    for who, n, opens in rows:
+        if who == "hot":
+            if opens:
+                queue.append(n)
+            elif queue:
+                want.add((queue.popleft(), n))
+    pairs = join_pairs(out.filter("who = 'hot'"), ["who"], "opens", ["n"]).collect()
+    assert {(r["entry_n"], r["exit_n"]) for r in pairs} == want
+
+
+@pytest.mark.parametrize("width", [4_096, 9])
+def test_links_against_a_stack(spark, width):
     rows = walk(3)
     stacks, want = {}, set()
     for who, size, n, opens in rows:
@@ -45,15 +68,16 @@ def test_links_against_a_stack(spark):
         elif s:
             want.add((s.pop(), n))
     df = spark.createDataFrame(rows, "who string, size int, n int, opens boolean")
-    assert {(r["open_n"], r["close_n"]) for r in nearest_links(df, ["who", "size"], ["n"], "opens", "n").collect()} == want
+    assert {(r["open_n"], r["close_n"]) for r in nearest_links(df, ["who", "size"], ["n"], "opens", "n", width).collect()} == want
 
 
-def test_overlaps_are_strict(spark):
+@pytest.mark.parametrize("width", [4_096, 5])
+def test_overlaps_are_strict(spark, width):
     rng = random.Random(4)
     rows = [(i, rng.choice(["x", "y", None]), a := rng.randrange(100), a + rng.randrange(1, 6)) for i in range(60)] + [(100, "z", 1, 5), (101, "z", 5, 9)]
     df = spark.createDataFrame(rows, "i int, who string, a int, b int")
     want = {r[0] for r in rows for q in rows if r[0] != q[0] and r[1] is not None and r[1] == q[1] and r[2] < q[3] and q[2] < r[3]}
-    assert {r["i"] for r in overlapping(df, ["who"], "a", "b", ["b", "i"]).collect()} == want
+    assert {r["i"] for r in overlapping(df, ["who"], "a", "b", ["b", "i"], width).collect()} == want
 
 
 def test_depth_mismatch(spark):

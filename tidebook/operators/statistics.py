@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebook.util import entity_key, materialise, partitions_for
+
 
 def finite(column: str) -> Column:
     """The value, or null where it is NaN or infinite."""
@@ -20,25 +22,31 @@ def describe(df: DataFrame, columns: list[str], probabilities: list[float]) -> D
     return long.groupBy("column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), *cells, F.max("v").alias("max"))
 
 
-def average_rank(column: str, by: list[str] | None = None) -> Column:
-    """Rank among all rows, ties getting the mean of their ranks."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(column)
-    ties = Window.partitionBy(*(by or []), column)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
+def value_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """by, column, n and ``rank`` of each distinct value: its place among all rows, ties having the mean of theirs.
 
+    Equal values are counted first. The distinct values are placed by ranges into a table of
+    numbered parts, so no task orders the whole column; what lies below a part is a sum over parts.
+    Nulls in ``by`` are values; a null value is the lowest.
+    """
+    by = by or []
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("n")).withColumn("__e", entity_key(by) if by else F.lit(""))
+    parts = partitions_for(df, 64 << 20)
+    placed = materialise(counts.repartitionByRange(parts, "__e", column).withColumn("__w", F.spark_partition_id()), "ranks")
+    earlier = Window.partitionBy("__e").orderBy("__w").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__e", "__w").agg(F.sum("n").alias("__n")).select("__e", "__w", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__e", "__w").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("__start") + F.coalesce(F.sum("n").over(within), F.lit(0)) + (F.col("n") + 1) / 2
+    return placed.join(starts, ["__e", "__w"]).select(*by, column, "n", rank.alias("rank"))
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of two columns over rows where both are present.
 
-    Ranks come from the counts of distinct values, so equal values cost one row; only that
-    aggregated table is ordered as a whole.
-    """
-    rows = df.select(finite(x).alias("x"), finite(y).alias("y")).dropna()
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rank correlation of two columns over rows where both are present."""
+    rows = materialise(df.select(finite(x).alias("x"), finite(y).alias("y")).dropna(), "rank-pairs")
+    ranked = rows
     for c in ("x", "y"):
-        counts = rows.groupBy(c).agg(F.count("*").alias("__n"))
-        below = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.join(counts.select(c, (below + (F.col("__n") + 1) / 2).alias(f"r{c}")), c)
-    return rows.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+        ranked = ranked.join(value_ranks(rows, c).select(c, F.col("rank").alias(f"r{c}")), c)
+    return ranked.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
 def simple_regression(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ A block lasts 12 seconds and carries one time, its start.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.operators.matching import fifo_pairs, join_pairs
@@ -16,16 +16,26 @@ from tidebook.util import table
 BLOCK_SECONDS = 12
 KEY = ["wallet", "tick_lower", "tick_upper", "depth"]
 BASE = ["wallet", "tick_lower", "tick_upper"]
+CARRIED = ["sec", "cents", "transaction_index", "block_number"]
 #: Stretch widths: two hours of seconds, and the order keys of 600 blocks.
 SECONDS_WIDTH, KEY_WIDTH = 7_200, 600 * 10**10
+#: Operations are fewer than trades: stretches of 38,400 blocks.
+MATCH_WIDTH = 64 * KEY_WIDTH
 
 
-def _key(rows: DataFrame) -> Column:
-    """Parts packed as they are if those of the whole table fit, else places within blocks."""
-    parts = ("transaction_index", "log_index")
-    within = F.coalesce(F.bool_and((F.col(parts[0]).between(0, PER_TRANSACTION - 1)) & F.col(parts[1]).between(0, PER_TRANSACTION - 1)), F.lit(True))
-    pack = order_key if rows.agg(within).first()[0] else block_position_key
-    return pack("block_number", *parts)
+#: Decisions of ``_packs`` by table version, so that a query asks once.
+_PACKS: dict[tuple, bool] = {}
+
+
+def _packs(rows: DataFrame, spark: SparkSession, path: str) -> bool:
+    """Whether the order parts of the whole table can be packed as they are."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    version = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen())
+    if version not in _PACKS:
+        parts = (F.col(c).between(0, PER_TRANSACTION - 1) for c in ("transaction_index", "log_index"))
+        _PACKS[version] = rows.agg(F.coalesce(F.bool_and(next(parts) & next(parts)), F.lit(True))).first()[0]
+    return _PACKS[version]
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +47,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("log_index"), F.col("user_id").alias("transaction_index"), block.alias("block_number"), (block * BLOCK_SECONDS).alias("sec"), kind.alias("kind"), "event_type",
         (F.col("user_id") % 20).alias("wallet"), (-100 * (1 + k % 3)).alias("tick_lower"), (100 * (1 + k % 3)).alias("tick_upper"),
         F.when((F.col("event_type") == "purchase") & (k % 10 == 0), 0).otherwise(1 + k % 2).alias("depth"), F.round(F.col("value") * 100).cast("bigint").alias("cents"), F.greatest("value", F.lit(0.01)).alias("price"))
-    return rows.withColumn("order_key", _key(rows))
+    pack = order_key if _packs(rows, spark, f"{sf_dir}/events.parquet") else block_position_key
+    return rows.withColumn("order_key", pack("block_number", "transaction_index", "log_index"))
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +57,12 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fifo_pairs(operations(spark, sf_dir), KEY, ["order_key"], "opens", "log_index", BASE)
+    return fifo_pairs(operations(spark, sf_dir), KEY, ["order_key"], "opens", "log_index", BASE, carry=CARRIED, width=MATCH_WIDTH)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a pair: the key, order keys, seconds, amounts and price bounds."""
-    events = operations(spark, sf_dir).select("log_index", "sec", "cents", "transaction_index", "block_number")
-    found = matched(spark, sf_dir).filter("is_matched").join(events, "log_index")
-    rows = join_pairs(found, KEY, "opens", ["log_index", "order_key", "sec", "cents", "transaction_index", "block_number", "base_position"])
+    rows = join_pairs(matched(spark, sf_dir), KEY, "opens", ["log_index", "order_key", *CARRIED, "base_position"])
     scale = (F.col("tick_upper") / 100).cast("double")
     return rows.withColumns({"low": 10.0 * scale, "high": 60.0 * scale, "liquidity": F.col("depth").cast("double")})
 

@@ -10,7 +10,7 @@ from tidebook.operators.fees import attribute_collections
 from tidebook.operators.lifecycle import balance_table, daily_activity
 from tidebook.operators.matching import depth_mismatches, nearest_links, overlapping
 from tidebook.operators.statistics import shares
-from tidebook.plans.ledger import BASE, KEY, L, M, ledger, matched, operations, pairs
+from tidebook.plans.ledger import BASE, KEY, MATCH_WIDTH, L, M, ledger, matched, operations, pairs
 
 PAIR = ["wallet", "tick_lower", "tick_upper", "depth", "pair_number"]
 
@@ -63,11 +63,11 @@ def depth_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_position_links(spark: SparkSession, d: str) -> DataFrame:
-    return nearest_links(operations(spark, d), KEY, ["order_key"], "opens", "log_index").select("open_log_index", "close_log_index")
+    return nearest_links(operations(spark, d), KEY, ["order_key"], "opens", "log_index", MATCH_WIDTH).select("open_log_index", "close_log_index")
 
 
 def overlapping_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return overlapping(pairs(spark, d), BASE, "entry_order_key", "exit_order_key", ["exit_order_key", "depth"]).select(*PAIR)
+    return overlapping(pairs(spark, d), BASE, "entry_order_key", "exit_order_key", ["exit_order_key", "depth"], MATCH_WIDTH).select(*PAIR)
 
 
 def realized_fees(spark: SparkSession, d: str) -> DataFrame:

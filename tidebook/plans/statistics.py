@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebook.operators.quality import count_violations, repeated_keys, together, unmatched
-from tidebook.operators.statistics import average_rank, describe, finite, inconsistent, simple_regression, spearman
+from tidebook.operators.statistics import describe, finite, inconsistent, simple_regression, spearman, value_ranks
 from tidebook.plans.ledger import L, M, ledger, pairs
 from tidebook.plans.timeseries import PAIR
 from tidebook.util import hex_text, table
@@ -125,7 +125,7 @@ def spearman_rank(spark: SparkSession, d: str) -> DataFrame:
 def average_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Ranks with ties averaged, within each feed."""
     rows = table(spark, d, "oracle").filter("price > 0 AND price < 1e12").select("feed_id", "price")
-    return rows.select("feed_id", "price", average_rank("price", ["feed_id"]).alias("rank")).distinct()
+    return value_ranks(rows, "price", ["feed_id"]).select("feed_id", "price", "rank")
 
 
 def regime_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +219,7 @@ def month_ranges(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (sender_audit, one_to_one_audit, linked_events, customers_without_orders, scalar_row, rate_lookup, block_daily, block_daily_approximate, describe_metrics, quantile_tails, cohort_medians, cohort_funnel, exclusion_counts, inconsistent_transactions, spearman_rank, average_ranks, regime_labels, monthly_cohorts, ols_tracking, best_tracker, price_histogram, quality_violations, raw_log_extract, sender_lookup, month_ranges)}
 
 _DESCRIBED = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN isfinite({c}) THEN {c} END AS v FROM position_metrics" for c in ("holding_days", "il_loss_on_initial", "lp_total_return_realized_fee"))
-_PICK = {m: f"SELECT year(exit_timestamp AT TIME ZONE 'UTC')::INT AS year, '{m}' AS metric, lp_total_return_realized_fee AS y, {m} AS x FROM position_metrics WHERE abs(lp_total_return_realized_fee) < 1 AND abs({m}) < 10" for m in _MODELS}
+_PICK = {m: f"SELECT year(exit_timestamp AT TIME ZONE 'UTC')::INT AS year, '{m}' AS metric, lp_total_return_realized_fee AS y, {m} AS x FROM position_metrics WHERE isfinite(lp_total_return_realized_fee) AND isfinite({m})" for m in _MODELS}
 _FITS = f"WITH p AS ({' UNION ALL '.join(_PICK.values())}), f AS (SELECT year, metric, count(*) AS n, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS slope, regr_r2(y, x) AS r_squared FROM p GROUP BY 1, 2), e AS (SELECT p.year, metric, sqrt(avg(pow(y - intercept - slope * x, 2))) AS rmse FROM p JOIN f USING (metric) WHERE p.year IS NOT DISTINCT FROM f.year GROUP BY 1, 2), t AS (SELECT f.year, metric, n, CASE WHEN n >= 3 THEN intercept END AS intercept, CASE WHEN n >= 3 THEN slope END AS slope, CASE WHEN n >= 3 THEN r_squared END AS r_squared, CASE WHEN n >= 3 THEN rmse END AS rmse FROM f JOIN e ON f.metric = e.metric AND f.year IS NOT DISTINCT FROM e.year)".replace("t AS (SELECT f.year, metric,", "t AS (SELECT f.year, f.metric,")
 _RANKS = lambda y: f"(SELECT '{y}' AS against, count(*) AS n, round(corr(rx, ry), 8) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT holding_days AS x, {y} AS y FROM position_metrics WHERE isfinite(holding_days) AND isfinite({y}))))"
 SQL = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import pathmetrics
 from tidebook.operators.densify import gap_runs
+from tidebook.operators.ordered import exact_prior
 from tidebook.plans import matching, risk, statistics, timeseries
 
 DAY0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -91,23 +92,57 @@ def test_event_order_has_no_bound_on_ids(spark, tmp_path, first, users):
     assert {(r["entry_log_index"] - first, r["exit_log_index"] - first) for r in matching.fifo_position_pairs(spark, d).collect()} == pairs
 
 
-@pytest.mark.parametrize(("most", "strict"), [(2_000, True), (2, True), (2, False)])
-def test_range_sums_of_any_number_of_ranges(spark, monkeypatch, most, strict):
-    monkeypatch.setattr(pathmetrics, "MOST_RANGES", most)
+@pytest.mark.parametrize("strict", [True, False])
+def test_range_sums_of_any_number_of_ranges(spark, strict):
+    """2,100 positions of nearly as many ranges and liquidities, against every move of every life."""
     rng = random.Random(4)
-    moves = [(t, rng.uniform(10, 90)) for t in range(0, 200, 3)]
-    positions = [(i, 10.0 * rng.randrange(1, 4), 50.0 + 10 * rng.randrange(1, 4), 1 + i / 7, a := rng.randrange(190), a + rng.randrange(0, 60)) for i in range(2_100)]
-    positions += [(2_100, 10.0, None, 1.0, 0, 90), (2_101, 10.0, 60.0, None, 0, 90)]
-    df = spark.createDataFrame(positions, "i int, low double, high double, liquidity double, a long, b long")
-    inside = F.when((F.col("price") >= F.col("low")) & (F.col("price") < F.col("high")), F.col("liquidity") * F.col("price"))
-    out = pathmetrics.range_sums(df, spark.createDataFrame(moves, "t long, price double"), "t", {"n": F.lit(1.0), "cost": inside}, "a", "b", 25, strict=strict, unscaled=("n",)).collect()
+    prices = [rng.uniform(10, 90) for _ in range(70)]
+    moves = [(3 * i, prices[i - 1] if i else None, prices[i], rng.uniform(10, 90)) for i in range(70)] + [(None, 20.0, 30.0, 25.0), (60, None, None, None)]
+    tick = lambda n: 1.0001**n
+    positions = [(i, tick(rng.randrange(24_000, 35_000)), tick(rng.randrange(36_000, 45_000)), 1 + i / 7, a := rng.randrange(190), a + rng.randrange(0, 60)) for i in range(2_100)]
+    positions += [(2_100, 10.0, None, 1.0, 0, 90), (2_101, 10.0, 60.0, None, 0, 90), (2_102, 10.0, 60.0, 1.0, None, 90), (2_103, 10.0, 60.0, 1.0, 300, 400), (2_104, prices[3], prices[5], 1.0, 0, 200)]
+    df = spark.createDataFrame(positions, "i int, low double, high double, e double, a long, b long")
+    points, measures = pathmetrics.inventory_points({"rebalancing": (F.col("outside"), F.lit(1.0)), "convexity": (F.col("price"), F.exp(-F.col("t") / 100))})
+    points = F.transform(points, lambda p: p.withField("n", F.when(p["rebalancing_y"] < 0, 1.0).otherwise(0.0)))
+    path = spark.createDataFrame(moves, "t long, before double, price double, outside double")
+    out = pathmetrics.range_sums(df, ["i"], path, "t", points, [*measures, "n"], "a", "b", 25, strict=strict)
+    out = out.select("*", *[pathmetrics.inventory_cost(c).alias(c) for c in ("rebalancing", "convexity")]).collect()
     assert len(out) == len(positions)
-    for r in out[:: 1 if most == 2 else 5]:
-        mine = [p for t, p in moves if r["a"] < t < r["b"] + (not strict)]
-        if r["high"] is None or r["liquidity"] is None:
-            assert r["cost"] == 0
-        else:
-            assert r["n"] == pytest.approx(len(mine)) and r["cost"] == pytest.approx(sum(r["liquidity"] * p for p in mine if r["low"] <= p < r["high"]), abs=1e-6)
+    clip = lambda p, r: min(max(p, r["low"]), r["high"])
+    for r in out:
+        if r["high"] is None or r["a"] is None:
+            assert r["rebalancing"] == 0 and r["n_high"] == 0
+            continue
+        mine = [m for m in moves if m[0] is not None and r["a"] < m[0] < r["b"] + (not strict)]
+        assert r["moves"] == len(mine)
+        cost = {"rebalancing": 0.0, "convexity": 0.0}
+        for t, before, price, outside in mine:
+            if before is None:
+                continue
+            x, y = 1 / math.sqrt(clip(price, r)) - 1 / math.sqrt(clip(before, r)), math.sqrt(clip(price, r)) - math.sqrt(clip(before, r))
+            cost["rebalancing"] -= outside * x + y
+            cost["convexity"] -= math.exp(-t / 100) * (price * x + y)
+        assert all(r[c] == pytest.approx(v, abs=1e-9) for c, v in cost.items())
+        assert r["n_high"] - r["n_low"] == sum(m[1] is not None and r["low"] <= m[1] < r["high"] for m in mine)
+
+
+def test_range_sums_without_moves_or_positions(spark):
+    df = spark.createDataFrame([(1, 10.0, 20.0, 0, 9)], "i int, low double, high double, a long, b long")
+    path = spark.createDataFrame([], "t long, before double, price double, outside double")
+    points, measures = pathmetrics.inventory_points({"x": (F.col("outside"), F.lit(1.0))})
+    assert [r["x_xr_low"] for r in pathmetrics.range_sums(df, ["i"], path, "t", points, measures, "a", "b", 10).collect()] == [0]
+    some = spark.createDataFrame([(5, 12.0, 14.0, 13.0)], path.schema)
+    assert pathmetrics.range_sums(df.limit(0), ["i"], some, "t", points, measures, "a", "b", 10).count() == 0
+
+
+def test_exact_prior_wants_whole_times_and_points(spark):
+    grid = spark.createDataFrame([(9, 1.0), (10, 2.0), (11, 3.0)], "sec long, price double")
+    probes = lambda *t: spark.createDataFrame([(x,) for x in t], "at double")
+    assert [r["price"] for r in exact_prior(probes(10.0, 12.0, None), grid, "at", "sec", ["price"]).orderBy("at").collect()] == [None, 1.0, 3.0]
+    assert [r["price"] for r in exact_prior(probes(30.0), grid, "at", "sec", ["price"], required=False).collect()] == [None]
+    for wrong in (10.5, 9.0):
+        with pytest.raises(Exception, match="time is not whole|no grid point"):
+            exact_prior(probes(wrong), grid, "at", "sec", ["price"]).collect()
 
 
 def test_regressions_keep_every_finite_row(spark, tmp_path):

@@ -29,13 +29,15 @@ def dense_days(df: DataFrame, day: str, values: list[str], by: list[str] | None
     return filled.filter(F.col(day) >= F.col("__from")).drop("__from")
 
 
-def dense_grid(ticks: DataFrame, at: str, price: str, volume: str, step: int, width: int) -> DataFrame:
+def dense_grid(ticks: DataFrame, at: str, price: str, volume: str, step: int, width: int, tie: str | None = None) -> DataFrame:
     """A regular grid of whole ``step`` units: the last price of each step carried forward, volumes summed, 0 where none.
 
+    Of ticks at one time the one with the greatest ``tie`` is the last, or the greatest price without it.
+
     Result: at, price, volume, ``is_imputed``. The price that a stretch of ``width`` units inherits
     comes from a table of each stretch's last price, so no task orders the whole series.
     """
-    cells = ticks.filter(F.col(at).isNotNull()).groupBy((F.floor(F.col(at) / step) * step).alias(at)).agg(F.max_by(F.col(price), F.struct(F.col(at), F.col(price))).alias(price), F.sum(volume).alias(volume))
+    cells = ticks.filter(F.col(at).isNotNull()).groupBy((F.floor(F.col(at) / step) * step).alias(at)).agg(F.max_by(F.col(price), F.struct(F.col(at), F.col(tie or price))).alias(price), F.sum(volume).alias(volume))
     cells = cells.withColumn("__w", stretch_of(at, width))
     span = cells.agg(F.min(at).alias("a"), F.max(at).alias("z")).filter("a is not null")
     windows = span.select("a", "z", F.explode(F.sequence(stretch_of("a", width), stretch_of("z", width))).alias("__w"))
@@ -47,6 +49,18 @@ def dense_grid(ticks: DataFrame, at: str, price: str, volume: str, step: int, wi
     return filled.select(at, F.coalesce("__local", "__p").alias(price), F.coalesce(volume, F.lit(0)).alias(volume), F.col(price).isNull().alias("is_imputed"))
 
 
+def grid_moves(ticks: DataFrame, at: str, price: str, step: int, tie: str) -> DataFrame:
+    """The points of the dense grid of ``step`` units at which a new price arrives: at, price.
+
+    All other points repeat the point before them. A tick counts from the first point at or after
+    it; points after the last tick are not in the grid.
+    """
+    point = F.ceil(F.col(at) / step) * step
+    last = ticks.agg(F.max(at).alias("__last"))
+    cells = ticks.filter(F.col(at).isNotNull()).groupBy(point.cast("bigint").alias("__at")).agg(F.max_by(F.col(price), F.struct(F.col(at), F.col(tie))).alias(price))
+    return cells.join(F.broadcast(last), F.col("__at") <= F.col("__last")).select(F.col("__at").alias(at), price)  # one row
+
+
 def gap_runs(missing: DataFrame, at: str, step: int, by: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Maximal runs of consecutive missing grid points: ``gap_start``, ``gap_end`` (last missing point), ``points``.
 

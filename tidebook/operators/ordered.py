@@ -95,6 +95,21 @@ def asof_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, va
     return out.select(*[F.col("__l")[n].alias(n) for n in names], *[F.when(usable, match[f"v{i}"]).alias(v) for i, v in enumerate(values)], F.when(usable, match["at"]).alias(f"{right_at}_matched"))
 
 
+def exact_prior(left: DataFrame, grid: DataFrame, left_at: str, grid_at: str, values: list[str], back: int = 1, required: bool = True) -> DataFrame:
+    """Left rows with the values of the grid point exactly ``back`` units before them; an equality join.
+
+    A time that is not whole is an error, and so, if ``required``, is a point that the grid lacks;
+    otherwise its values are null. A null time has none. The grid holds each point once.
+    """
+    at = F.col(left_at)
+    whole = F.when(at.isNull() | (at == F.floor(at)), at.cast("bigint")).otherwise(F.raise_error(F.lit("time is not whole")).cast("bigint"))
+    points = grid.select((F.col(grid_at) + back).alias("__g"), F.struct(*values).alias("__v"))
+    found = left.withColumn("__t", whole).join(points, F.col("__t") == F.col("__g"), "left")
+    there = F.col("__v").isNotNull() | F.col("__t").isNull() | F.lit(not required)
+    held = F.when(there, F.col("__v")).otherwise(F.raise_error(F.lit("no grid point before this time")).cast(points.schema["__v"].dataType))
+    return found.withColumn("__h", held).select(*[F.col(c) for c in left.columns], *[F.col(f"__h.{v}").alias(v) for v in values])
+
+
 def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, width: int, strict_start: bool = True, strict_end: bool = True) -> DataFrame:
     """Every (interval, point) with the point inside, by equi-join on stretches of ``width`` units.
 
@@ -109,9 +124,8 @@ def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str,
 
 
 def block_ends(df: DataFrame, by: list[str], block: str, order: list[str]) -> Column:
-    """Whether a row is the last of its block within its series."""
-    following = F.lead(block).over(Window.partitionBy(*by).orderBy(*order))
-    return ~following.eqNullSafe(F.col(block))
+    """Whether a row is the last of its block within its series; sorted block by block, however long the series."""
+    return F.row_number().over(Window.partitionBy(*by, block).orderBy(*[F.desc(c) for c in order])) == 1
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -122,5 +136,5 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def top_per_cell(df: DataFrame, cell: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each cell."""
+    """The first row of each cell; Spark keeps one row a cell and task before the shuffle (a window group limit)."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).filter("__n = 1").drop("__n")

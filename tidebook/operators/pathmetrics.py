@@ -1,9 +1,10 @@
 """Path-dependent measures of positions, without meeting every position with every price.
 
-What a price move costs a position depends on its range only, in proportion to its liquidity, and
-the moves in a position's life are consecutive. So each distinct range gets running sums over the
-price path (ranges x moves rows), and a position's sum is the difference of two of them, looked up
-as of its exit and its entry. Beyond a bounded number of ranges the rest are summed life by life.
+What the moves in a position's life cost it is a sum over prices below its two bounds, so it is
+answered by sums over (moves before a time, prices below a bound). These come from a tree over the
+numbered moves: a node covers a power of two of consecutive moves and holds their sums by price
+bucket, where buckets are cut at the positions' bounds. A move is in about half the levels of the
+tree, and a lookup reads about as many nodes. Positions and moves may be of any number.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.functions.formulas import DAY, convexity_cost, daily_log_rate, rebalancing_step
-from tidebook.operators.ordered import asof_join, interval_join, running_sums, stretch_of
-from tidebook.util import materialise
+from tidebook.functions.formulas import DAY, daily_log_rate
+from tidebook.operators.ordered import asof_join, running_sums, stretch_of
+from tidebook.util import entity_key, materialise
 
-BOUNDS = ["low", "high"]
-RANGE = [*BOUNDS, "liquidity"]
-MOST_RANGES = 2_000
+#: Stretches of price within which bounds are listed: this many to a factor of e, so at most eleven ticks each.
+PER_E = 1_024
 
 
 def lag_in_path(path: DataFrame, order: str, columns: dict[str, str], width: int) -> DataFrame:
@@ -45,49 +45,101 @@ def with_growth(df: DataFrame, curve: DataFrame, sec: str, name: str) -> DataFra
     return rows.withColumn(name, F.col("start") + F.col("log_rate") * (F.pmod(F.col(sec), F.lit(DAY)) / DAY)).drop("day_number", "start", "log_rate")
 
 
-def range_sums(positions: DataFrame, moves: DataFrame, order: str, costs: dict[str, Column], entry: str, exit_: str, width: int, strict: bool = True, unscaled: tuple[str, ...] = ()) -> DataFrame:
-    """Positions with sums of the costs of the moves in (entry, exit) (or (entry, exit] if not strict).
+def _price_stretch(price: Column) -> Column:
+    """Number of the stretch of a price; grows with the price. All prices of 0 or less share one."""
+    return F.when(price > 0, F.floor(F.log(price) * PER_E)).otherwise(F.lit(-(2**40)))
 
-    costs: columns of moves, ``low``, ``high`` and ``liquidity``; null counts as 0. They grow in
-    proportion to liquidity, except those named in ``unscaled``. So they are summed for a liquidity
-    of 1 and multiplied by the position's.
 
-    The ``MOST_RANGES`` ranges (low, high) with the most positions get running sums. Positions of
-    all others meet the moves in their lives through ``interval_join``.
+def _bound_ranks(bounds: DataFrame) -> DataFrame:
+    """stretch, ``ks`` (sorted distinct bounds) and ``lower`` (how many bounds lie in lower stretches).
+
+    The range of doubles has at most 1.5 million stretches, so this table may be ordered as a whole.
+    """
+    listed = bounds.groupBy(_price_stretch(F.col("k")).alias("ps")).agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    w = Window.partitionBy(F.lit(0)).orderBy("ps")
+    earlier = F.sum(F.size("ks")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return listed.select("ps", "ks", F.coalesce(earlier, F.lit(0)).alias("lower"), F.lead("ps").over(w).alias("following"))
+
+
+def range_sums(positions: DataFrame, key: list[str], moves: DataFrame, order: str, points: Column, measures: list[str], entry: str, exit_: str, width: int, strict: bool = True) -> DataFrame:
+    """Positions with sums over the moves in (entry, exit), or (entry, exit] if not strict.
+
+    points: for each move an array of structs of a price ``at`` and the ``measures``. Adds ``moves``
+    (their number) and for each measure ``{measure}_low`` and ``{measure}_high``: its sum over the
+    points whose price is below the position's ``low`` or ``high``. The key tells positions apart.
+
+    A position without moves, with a null bound, or with an entry not before its exit has sums of
+    0; null prices and measures count for nothing. Bounds should be prices of ticks: those of one
+    stretch of 1/1024 of log price are listed in one row.
+    """
+    names = {f"{m}_{side}": f"m{n}_{side}" for n, m in enumerate(measures) for side in ("low", "high")}
+    inner, cells = [f"m{n}" for n in range(len(measures))], lambda p: F.struct(p["at"].alias("at"), *[p[m].alias(f"m{n}") for n, m in enumerate(measures)])
+    numbered = running_sums(moves.filter(F.col(order).isNotNull()).select(F.col(order).cast("bigint").alias("k"), F.transform(points, cells).alias("points")), "k", [], {"i": F.lit(1)}, width)
+    numbered = materialise(numbered.select("k", "i", "points"), "path-numbers")
+    count = numbered.agg(F.coalesce(F.max("i"), F.lit(0))).first()[0]
+    levels = int(count).bit_length()
+    # the moves up to the entry are taken from those before (or up to) the exit
+    last = F.col(exit_).cast("bigint") + F.lit(0 if strict else 1)
+    ends = F.array(F.struct(F.lit(-1).alias("sign"), (F.col(entry).cast("bigint") + 1).alias("t")), F.struct(F.lit(1).alias("sign"), last.alias("t")))
+    alive = positions.filter(F.col(entry) < F.col(exit_)).select(entity_key(key).alias("e"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.explode(ends).alias("x")).select("e", "low", "high", "x.*")
+    ends = asof_join(alive, numbered.select("k", "i"), "t", "k", ["i"], width).filter("i IS NOT NULL").select("e", "low", "high", "sign", "i")
+    ends = materialise(ends, "path-ends")  # read for the bounds, the probes and the lookups
+
+    ranks = materialise(_bound_ranks(ends.select(F.explode(F.array("low", "high")).alias("k")).dropna().distinct()), "path-bounds")
+    lowest, bounds = ranks.agg(F.min("ps"), F.coalesce(F.sum(F.size("ks")), F.lit(0))).first()
+    every = ranks.select(F.explode(F.sequence("ps", F.coalesce(F.col("following") - 1, F.col("ps")))).alias("ps"), F.col("ps").alias("own"), "ks", "lower")
+    place = F.when(F.col("ps") == F.col("own"), F.size(F.filter("ks", lambda k: k <= F.col("at")))).otherwise(F.size("ks"))
+    spot = numbered.select("i", F.explode("points").alias("p")).select("i", "p.*").filter(F.col("at").isNotNull() & ~F.isnan("at")).withColumn("ps", _price_stretch(F.col("at")))
+    beyond = F.when(F.col("ps") < F.lit(lowest), F.lit(0)).otherwise(F.lit(bounds))
+    spot = spot.join(every, "ps", "left").select("i", F.coalesce(F.col("lower") + place, beyond).cast("bigint").alias("bucket"), *inner)
+    # node of level k: the next multiple of 2**k, if odd; it covers the 2**k moves up to it
+    up = lambda k: F.shiftright("i", k) + F.when(F.col("i").bitwiseAND(F.lit((1 << k) - 1)) != 0, 1).otherwise(0)
+    over = F.array_compact(F.array(*[F.when((up(k).bitwiseAND(F.lit(1)) == 1) & (F.shiftleft(up(k), k) <= count), F.shiftleft(up(k), k)) for k in range(levels)])) if levels else F.array().cast("array<bigint>")
+    under = F.array_compact(F.array(*[F.when(F.shiftright("i", k).bitwiseAND(F.lit(1)) == 1, F.shiftleft(F.shiftright("i", k), k)) for k in range(levels)])) if levels else F.array().cast("array<bigint>")
+    tree = spot.select(F.explode(over).alias("node"), "bucket", *inner).groupBy("node", "bucket").agg(*[F.sum(m).alias(m) for m in inner])
+
+    rank = ranks.select(F.posexplode("ks").alias("n", "k"), "lower").select("k", (F.col("lower") + F.col("n")).cast("bigint").alias("bucket"))
+    sides = F.explode(F.array(F.struct(F.lit("low").alias("side"), F.col("low").alias("k")), F.struct(F.lit("high").alias("side"), F.col("high").alias("k")))).alias("s")
+    probes = ends.select("e", "sign", "i", sides).select("e", "sign", "i", "s.*").join(rank, "k").select("e", "sign", "side", "bucket", F.explode(under).alias("node"))
+    asked = probes.select("node", "bucket").distinct().withColumn("asked", F.lit(1))
+    # a node has at most one row for each bucket, and a probe adds no row of its own
+    rows = tree.unionByName(asked, allowMissingColumns=True).groupBy("node", "bucket").agg(F.max("asked").alias("asked"), *[F.sum(m).alias(m) for m in inner])
+    w = Window.partitionBy("node").orderBy("bucket")
+    below = rows.select("node", "bucket", "asked", *[F.coalesce(F.sum(m).over(w), F.lit(0.0)).alias(m) for m in inner]).filter("asked = 1").drop("asked")
+    sums = probes.join(below, ["node", "bucket"]).groupBy("e").agg(*[F.sum(F.when(F.col("side") == side, F.col("sign") * F.col(m))).alias(f"{m}_{side}") for m in inner for side in ("low", "high")])
+    counts = ends.groupBy("e").agg(F.sum(F.col("sign") * F.col("i")).alias("__moves"))
+    out = positions.withColumn("__e", entity_key(key)).join(counts, F.col("__e") == counts["e"], "left").drop("e").join(sums, F.col("__e") == sums["e"], "left")
+    whole = F.col("low").isNotNull() & F.col("high").isNotNull()
+    return out.select(*positions.columns, F.coalesce("__moves", F.lit(0)).cast("bigint").alias("moves"), *[F.coalesce(F.when(whole, F.col(held)), F.lit(0.0)).alias(n) for n, held in names.items()])
+
+
+def inventory_points(costs: dict[str, tuple[Column, Column]], before: str = "before", after: str = "price") -> tuple[Column, list[str]]:
+    """Points and measures for ``range_sums`` from which ``inventory_cost`` gives each cost.
+
+    costs: for each name the price at which a move's amounts are counted, and a weight of the move.
+    A move puts its new price in and takes its old one out.
+    """
+    measures = [f"{name}_{part}" for name in costs for part in ("xr", "x", "yr", "y")]
+
+    def point(price: str, sign: int) -> Column:
+        root, cells = F.sqrt(F.col(price)), []
+        for at, weight in costs.values():
+            cells += [at * weight / root, at * weight, weight * root, weight]
+        return F.struct(F.col(price).cast("double").alias("at"), *[(sign * c).cast("double").alias(m) for c, m in zip(cells, measures)])
+
+    return F.when(F.col(before).isNotNull(), F.array(point(after, 1), point(before, -1))), measures
+
+
+def inventory_cost(name: str) -> Column:
+    """The cost for a liquidity of 1: -(price * change of amount0 + change of amount1), summed over the moves.
+
+    The amounts of a range [low, high] are those below ``high`` less those below ``low``; a price
+    above a bound counts as the bound. With the outside price this is the rebalancing cost, with
+    the new price the convexity cost of a move.
     """
-    names = [f"__c{i}" for i in range(len(costs))]
-    unit = [F.coalesce(c, F.lit(0.0)) for c in costs.values()]
-    counts = positions.select(*BOUNDS).dropna().groupBy(*BOUNDS).count().orderBy(F.desc("count"), *BOUNDS)
-    found = counts.limit(MOST_RANGES + 1).collect()
-    few, more = found[:MOST_RANGES], len(found) > MOST_RANGES
-    # every move goes to every range of a bounded list, as an explode, not to every position
-    every = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in BOUNDS]) for r in few]) if few else F.array().cast("array<struct<low:double,high:double>>")
-    steps = moves.withColumn("__r", F.explode(every)).select("*", *[F.col(f"__r.{c}").alias(c) for c in BOUNDS], F.lit(1.0).alias("liquidity")).drop("__r")
-    run = running_sums(steps, order, [], dict(zip(names, unit)), width, by=BOUNDS).select(*BOUNDS, F.col(order).alias("__k"), *names)
-    run = materialise(run, "range-sums")  # looked up twice
-    out = positions
-    # the last move at or before the entry is not in; one at the exit only if asked for
-    for side, at, before in (("a", entry, False), ("z", exit_, strict)):
-        out = asof_join(out, run, at, "__k", names, width, by=BOUNDS, strict=before).drop("__k_matched").withColumnsRenamed({n: f"{n}{side}" for n in names})
-    sums = {n: F.coalesce(f"{n}z", F.lit(0.0)) - F.coalesce(f"{n}a", F.lit(0.0)) for n in names}
-    if more:
-        listed = F.array_contains(every, F.struct(*BOUNDS))
-        lives = positions.select(*BOUNDS, F.col(entry).alias("__from"), F.col(exit_).alias("__to")).dropna().filter(~listed).distinct().withColumn("liquidity", F.lit(1.0))
-        hits = interval_join(lives, moves, "__from", "__to", order, width, strict_end=strict)
-        rest = hits.groupBy(*BOUNDS, "__from", "__to").agg(*[F.sum(c).alias(f"{n}r") for n, c in zip(names, unit)])
-        rest = rest.withColumnsRenamed({"__from": entry, "__to": exit_})
-        out = out.join(rest, [*BOUNDS, entry, exit_], "left")
-        sums = {n: s + F.coalesce(f"{n}r", F.lit(0.0)) for n, s in sums.items()}
-    size, lives_on = F.coalesce("liquidity", F.lit(0.0)), F.col(entry) < F.col(exit_)
-    return out.select(*positions.columns, *[F.when(lives_on, s if name in unscaled else s * size).otherwise(0.0).alias(name) for s, name in zip(sums.values(), costs)])
-
-
-def rebalancing_cost(before: str = "before", after: str = "price", outside: str = "outside") -> Column:
-    return rebalancing_step(F.col(before), F.col(after), F.col(outside), *[F.col(c) for c in RANGE])
-
-
-def move_convexity(before: str = "before", after: str = "price") -> Column:
-    return convexity_cost(F.col(before), F.col(after), *[F.col(c) for c in RANGE])
+    x = {b: F.col(f"{name}_xr_{b}") - F.col(f"{name}_x_{b}") / F.sqrt(F.col(b)) for b in ("low", "high")}
+    y = {b: F.col(f"{name}_yr_{b}") - F.col(f"{name}_y_{b}") * F.sqrt(F.col(b)) for b in ("low", "high")}
+    return F.coalesce(-(x["high"] - x["low"] + y["high"] - y["low"]), F.lit(0.0))
 
 
 def medoids(df: DataFrame, cells: list[str], features: list[str], key: str) -> DataFrame:

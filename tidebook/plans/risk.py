@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from tidebook.functions.exact import ratio_text
 from tidebook.functions.formulas import convexity_cost, human_liquidity, inventory, position_value, rebalancing_step, sqrt_price, tick_price
+from tidebook.operators.densify import grid_moves
 from tidebook.operators.ordered import asof_join, interval_join
-from tidebook.operators.pathmetrics import lag_in_path, medoids, move_convexity, range_sums, rate_curve, rebalancing_cost, with_growth
-from tidebook.plans.ledger import KEY_WIDTH, SECONDS_WIDTH, M, pairs, swaps
-from tidebook.plans.timeseries import _GRID, PAIR, STEP, _daily_close, minute_grid
+from tidebook.operators.pathmetrics import inventory_cost, inventory_points, lag_in_path, medoids, range_sums, rate_curve, with_growth
+from tidebook.plans.ledger import KEY_WIDTH, SECONDS_WIDTH, L, M, pairs, swaps
+from tidebook.plans.timeseries import _SECONDS, PAIR, _daily_close
 from tidebook.util import materialise
 
 FIRST_PRICE = 50.0
@@ -19,12 +20,13 @@ r6 = lambda c: F.round(c, 6)
 
 
 def path(spark: SparkSession, d: str) -> DataFrame:
-    """Every trade with the price before it and the grid price of the minute before (the outside price)."""
-    moves = lag_in_path(swaps(spark, d), "order_key", {"price": "before"}, KEY_WIDTH)
-    grid = minute_grid(spark, d).select((F.col("sec") + STEP).alias("minute"), F.col("price").alias("outside"))
-    moves = moves.withColumn("before", F.coalesce("before", F.lit(FIRST_PRICE))).withColumn("minute", F.expr(f"sec div {STEP} * {STEP}"))
+    """Every trade with the price before it and the last price of an earlier second (the outside price)."""
+    trades = swaps(spark, d)
+    moves = lag_in_path(trades, "order_key", {"price": "before"}, KEY_WIDTH).withColumn("before", F.coalesce("before", F.lit(FIRST_PRICE)))
+    seconds = trades.groupBy(F.col("sec").alias("second")).agg(F.max_by("price", "order_key").alias("outside"))
+    moves = asof_join(moves, seconds, "sec", "second", ["outside"], SECONDS_WIDTH).drop("second_matched")
     # a table, as running sums read it twice
-    return materialise(moves.join(grid, "minute", "left").withColumn("outside", F.coalesce("outside", "before")).drop("minute"), "price-path")
+    return materialise(moves.withColumn("outside", F.coalesce("outside", "before")), "price-path")
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
@@ -58,13 +60,15 @@ def lifetime_metrics(spark: SparkSession, d: str) -> DataFrame:
     curve = _curve(spark, d)
     moves = with_growth(path(spark, d), curve, "sec", "growth")
     p = pairs(spark, d).select(*PAIR, "entry_order_key", "exit_order_key", "exit_sec", "low", "high", "liquidity")
-    sums = range_sums(p, moves, "order_key", {"trades": F.lit(1.0), "rebalancing": rebalancing_cost(), "convexity": move_convexity(), "discounted": move_convexity() * F.exp(-F.col("growth"))}, "entry_order_key", "exit_order_key", KEY_WIDTH, unscaled=("trades",))
+    points, measures = inventory_points({"rebalancing": (F.col("outside"), F.lit(1.0)), "convexity": (F.col("price"), F.lit(1.0)), "discounted": (F.col("price"), F.exp(-F.col("growth")))})
+    sums = range_sums(p, PAIR, moves, "order_key", points, measures, "entry_order_key", "exit_order_key", KEY_WIDTH)
+    sums = sums.select(*p.columns, F.col("moves").alias("trades"), *[(F.col("liquidity") * inventory_cost(c)).alias(c) for c in ("rebalancing", "convexity", "discounted")])
     rows = with_growth(_at(spark, d, _at(spark, d, sums, "entry_order_key", "p0"), "exit_order_key", "p1"), curve, "exit_sec", "growth")
     bounds = F.col("low"), F.col("high"), F.col("liquidity")
     x0, y0 = inventory(F.col("p0"), *bounds)
     hold = x0 * F.col("p1") + y0
     financed = F.exp("growth") * F.col("discounted")
-    return rows.select(*PAIR, F.round("trades").cast("bigint").alias("trades"), r6(hold - position_value(F.col("p1"), *bounds)).alias("hold_loss"), r6("rebalancing").alias("rebalancing"), r6("convexity").alias("convexity"), r6(financed).alias("financed"), r6(F.greatest(financed - F.col("convexity"), F.lit(0.0))).alias("opportunity"))
+    return rows.select(*PAIR, "trades", r6(hold - position_value(F.col("p1"), *bounds)).alias("hold_loss"), r6("rebalancing").alias("rebalancing"), r6("convexity").alias("convexity"), r6(financed).alias("financed"), r6(F.greatest(financed - F.col("convexity"), F.lit(0.0))).alias("opportunity"))
 
 
 def block_mesh_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +81,9 @@ def block_mesh_cost(spark: SparkSession, d: str) -> DataFrame:
     ends = materialise(lag_in_path(ends, "order_key", {"price": "before"}, KEY_WIDTH), "block-ends")
     p = materialise(pairs(spark, d).select(*PAIR, "entry_order_key", "exit_order_key", "low", "high", "liquidity"), "pairs")
     bounds = F.col("low"), F.col("high"), F.col("liquidity")
-    sums = range_sums(p, ends.filter("before is not null"), "order_key", {"inner": move_convexity()}, "entry_order_key", "exit_order_key", KEY_WIDTH)
+    points, measures = inventory_points({"inner": (F.col("price"), F.lit(1.0))})
+    sums = range_sums(p, PAIR, ends, "order_key", points, measures, "entry_order_key", "exit_order_key", KEY_WIDTH)
+    sums = sums.select(*p.columns, (F.col("liquidity") * inventory_cost("inner")).alias("inner"))
     # the first block end after the entry: the as-of lookup on negated keys
     ahead = ends.select((-F.col("order_key")).alias("__k"), F.col("order_key").alias("first_key"), F.col("price").alias("first_end"), F.col("before").alias("first_before"))
     sums = asof_join(sums.withColumn("__n", -F.col("entry_order_key")), ahead, "__n", "__k", ["first_key", "first_end", "first_before"], KEY_WIDTH).drop("__k_matched", "__n")
@@ -110,18 +116,18 @@ def portfolio_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quadratic_variation(spark: SparkSession, d: str) -> DataFrame:
-    """Variance cost of each pair from grid moves while the price before a move is in its range, at 1 and 5 minutes."""
+    """Variance cost of each pair from the moves on grids of 1, 5 and 60 seconds while the price before a move is in its range."""
     p = materialise(pairs(spark, d).select(*PAIR, "entry_sec", "exit_sec", "low", "high", "liquidity"), "pairs")
-    every, out = materialise(minute_grid(spark, d), "minutes"), None
-    for minutes in (1, 5):
-        grid = every.filter(F.col("sec") % (60 * minutes) == 0).select("sec", "price")
-        moves = lag_in_path(grid, "sec", {"price": "before"}, SECONDS_WIDTH)
-        step = F.pow(F.col("price") - F.col("before"), 2) / (4 * F.pow("before", F.lit(1.5)))
-        inside = (F.col("before") >= F.col("low")) & (F.col("before") < F.col("high"))
-        sums = range_sums(p, moves, "sec", {f"variation_{minutes}m": F.when(inside, F.col("liquidity") * step)}, "entry_sec", "exit_sec", SECONDS_WIDTH, strict=False)
-        sums = sums.select(*PAIR, r6(f"variation_{minutes}m").alias(f"variation_{minutes}m"))
-        out = sums if out is None else out.join(sums, PAIR)
-    return out
+    ticks, steps, moves = materialise(swaps(spark, d).select("sec", "order_key", "price"), "ticks"), {"1s": 1, "5s": 5, "1m": 60}, None
+    for name, step in steps.items():
+        grid = lag_in_path(grid_moves(ticks, "sec", "price", step, "order_key"), "sec", {"price": "before"}, SECONDS_WIDTH)
+        base = F.pow(F.col("price") - F.col("before"), 2) / (4 * F.pow("before", F.lit(1.5)))
+        cells = F.struct(F.col("before").alias("at"), *[(base if n == name else F.lit(0.0)).alias(n) for n in steps])
+        some = grid.filter("before IS NOT NULL").select("sec", F.array(cells).alias("points"))
+        moves = some if moves is None else moves.unionByName(some)
+    # all grids in one path, each with a measure of its own
+    sums = range_sums(p, PAIR, moves, "sec", F.col("points"), list(steps), "entry_sec", "exit_sec", SECONDS_WIDTH, strict=False)
+    return sums.select(*PAIR, *[r6(F.col("liquidity") * (F.col(f"{n}_high") - F.col(f"{n}_low"))).alias(f"variation_{n}") for n in steps])
 
 
 def expected_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +177,7 @@ def representative_paths(spark: SparkSession, d: str) -> DataFrame:
     cell = ["market", "length"]
     trades = interval_join(p, swaps(spark, d).select("order_key", F.col("sec").alias("swap_sec"), "price"), "entry_order_key", "exit_order_key", "order_key", KEY_WIDTH * 4)
     trades = trades.select(*cell, F.col("swap_sec").alias("sec"), F.lit("swap").alias("row_kind"), "order_key", "price")
-    step = F.when(F.col("exit_sec") - F.col("entry_sec") <= 86_400, 60).otherwise(3_600).cast("bigint")
+    step = F.when(F.col("exit_sec") - F.col("entry_sec") <= 86_400, 1).otherwise(60).cast("bigint")
     first, last = F.ceil(F.col("entry_sec") / step) * step, F.floor(F.col("exit_sec") / step) * step
     grid = p.withColumn("sec", F.explode(F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>")))).select(*cell, "sec", F.lit("grid").alias("row_kind"))
     ends = [p.select(*cell, F.col(f"{s}_sec").alias("sec"), F.lit(s).alias("row_kind"), F.col(f"{s}_order_key").alias("order_key")) for s in ("entry", "exit")]
@@ -210,9 +216,9 @@ def _convex(p, s, lo="low", hi="high", q="liquidity"):
     return f"(CASE WHEN {p} BETWEEN {lo} AND {hi} AND {s} BETWEEN {lo} AND {hi} THEN {q} * pow(sqrt({s}) - sqrt({p}), 2) / sqrt({p}) WHEN ({p} <= {lo} AND {s} <= {lo}) OR ({p} >= {hi} AND {s} >= {hi}) THEN 0.0 ELSE greatest(0.0, {_v(p, *b)} + {_x(p, *b)} * ({s} - {p}) - {_v(s, *b)}) END)"
 
 
-_M2 = M + _GRID.replace(_GRID.split(", cells AS")[0], "", 1)
+_M2 = M + _SECONDS.replace(L, "", 1)
 _PATH = _M2 + """, path AS (
-  SELECT s.order_key, s.block_number, s.sec, s.price, s.cents, coalesce(lag(s.price) OVER (ORDER BY s.order_key), 50.0) AS before, m.price AS grid_price FROM swaps s LEFT JOIN minutes m ON m.sec + 60 = s.sec // 60 * 60),
+  SELECT s.order_key, s.block_number, s.sec, s.price, s.cents, coalesce(lag(s.price) OVER (ORDER BY s.order_key), 50.0) AS before, g.price AS grid_price FROM swaps s LEFT JOIN seconds g ON g.sec = s.sec - 1),
 path2 AS (SELECT *, coalesce(grid_price, before) AS outside FROM path),
 days AS (SELECT unnest(generate_series((SELECT min(sec) // 86400 - 1 FROM swaps), (SELECT max(sec) // 86400 + 1 FROM swaps))) AS n),
 curve AS (SELECT n, ln(1 + (3.0 + n % 5)::DOUBLE / 100 / 360) AS log_rate, coalesce(sum(ln(1 + (3.0 + n % 5)::DOUBLE / 100 / 360)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM days)"""
@@ -244,12 +250,9 @@ steps AS (SELECT *, coalesce(lag(fin) OVER (PARTITION BY {_K} ORDER BY k), p0) A
 SELECT {_K}, round(coalesce(cost, 0), 6) AS block_convexity FROM pairs LEFT JOIN (SELECT {_K}, sum({_convex('prev', 'fin')}) AS cost FROM steps GROUP BY {_K}) USING ({_K})""",
     "position_days": f"WITH {_POSDAYS} SELECT * FROM posdays",
     "portfolio_days": f"WITH {_POSDAYS} SELECT day_number, count(*) AS positions, sum(entry_cents)::BIGINT AS capital_cents, round(sum(hold_value - position_value), 4) AS hold_loss, round(100 * sum(hold_value - position_value) / sum(entry_cents), 8) AS loss_pct FROM posdays GROUP BY 1",
-    "quadratic_variation": f"""WITH {_M2}, g1 AS (SELECT sec, price, lag(price) OVER (ORDER BY sec) AS before FROM minutes), g5 AS (SELECT sec, price, lag(price) OVER (ORDER BY sec) AS before FROM minutes WHERE sec % 300 = 0),
-v1 AS (SELECT {_K}, sum(liquidity * pow(g.price - before, 2) / (4 * pow(before, 1.5))) AS v FROM pairs JOIN g1 g ON g.sec > entry_sec AND g.sec <= exit_sec AND before >= low AND before < high GROUP BY {_K}),
-v5 AS (SELECT {_K}, sum(liquidity * pow(g.price - before, 2) / (4 * pow(before, 1.5))) AS v FROM pairs JOIN g5 g ON g.sec > entry_sec AND g.sec <= exit_sec AND before >= low AND before < high GROUP BY {_K})
-SELECT {_K}, round(coalesce(v1.v, 0), 6) AS variation_1m, round(coalesce(v5.v, 0), 6) AS variation_5m FROM pairs LEFT JOIN v1 USING ({_K}) LEFT JOIN v5 USING ({_K})""",
+    "quadratic_variation": f"WITH {_M2}, " + ", ".join(f"g{n} AS (SELECT sec, price, lag(price, 1, price) OVER (ORDER BY sec) AS before FROM seconds WHERE sec % {n} = 0), v{n} AS (SELECT {_K}, sum(liquidity * pow(g.price - before, 2) / (4 * pow(before, 1.5))) AS v FROM pairs JOIN (SELECT * FROM g{n} WHERE price <> before) g ON g.sec > entry_sec AND g.sec <= exit_sec AND before >= low AND before < high GROUP BY {_K})" for n in (1, 5, 60)) + f" SELECT {_K}, round(coalesce(v1.v, 0), 6) AS variation_1s, round(coalesce(v5.v, 0), 6) AS variation_5s, round(coalesce(v60.v, 0), 6) AS variation_1m FROM pairs LEFT JOIN v1 USING ({_K}) LEFT JOIN v5 USING ({_K}) LEFT JOIN v60 USING ({_K})",
     "expected_loss": f"""WITH {_PRICED}, close AS (SELECT sec // 86400 AS n, arg_max(price, (sec, price)) AS price FROM swaps GROUP BY 1), r AS (SELECT n, ln(price / lag(price) OVER (ORDER BY n)) AS r FROM close),
-h AS (SELECT n, CASE WHEN count(r) OVER w >= 7 THEN stddev_samp(r) OVER w END AS s FROM r WINDOW w AS (ORDER BY n ROWS 6 PRECEDING)), g AS (SELECT n, lag(s) OVER (ORDER BY n) AS sigma FROM h),
+h AS (SELECT n, CASE WHEN count(r) OVER w >= 30 THEN stddev_samp(r) OVER w END AS s FROM r WINDOW w AS (ORDER BY n ROWS 29 PRECEDING)), g AS (SELECT n, lag(s) OVER (ORDER BY n) AS sigma FROM h),
 j AS (SELECT *, coalesce(low <= p0 AND p0 <= high AND sigma IS NOT NULL, false) AS applicable FROM priced LEFT JOIN g ON n = entry_sec // 86400)
 SELECT {_K}, applicable, CASE WHEN applicable THEN round((exp(-sigma * sigma * (exit_sec - entry_sec) / 86400 / 8) - 1) / (2 * (1 - sqrt(low / p0)) + 2 * (1 - sqrt(p0 / high))), 6) END AS expected FROM j""",
     "pair_returns": f"""WITH {_M2}, lasts AS (SELECT sec, arg_max(price, order_key) AS price FROM swaps GROUP BY sec),
@@ -259,7 +262,7 @@ SELECT {_K}, round(initial, 6) AS initial, round(final, 6) AS final, round((fina
   NULL::VARCHAR AS amount_ratio FROM v""",
     "representatives": f"WITH {_REPS} SELECT market, length, candidates, round(medoid_score, 6) AS medoid_score, {_K} FROM reps",
     "representative_paths": f"""WITH {_REPS}, t AS (SELECT market, length, w.sec, 'swap' AS row_kind, w.order_key, w.price FROM reps JOIN swaps w ON w.order_key > entry_order_key AND w.order_key < exit_order_key),
-g AS (SELECT market, length, entry_sec, exit_sec, CASE WHEN exit_sec - entry_sec <= 86400 THEN 60 ELSE 3600 END AS step FROM reps), gg AS (SELECT market, length, unnest(generate_series((entry_sec + step - 1) // step * step, exit_sec // step * step, step)) AS sec FROM g)
+g AS (SELECT market, length, entry_sec, exit_sec, CASE WHEN exit_sec - entry_sec <= 86400 THEN 1 ELSE 60 END AS step FROM reps), gg AS (SELECT market, length, unnest(generate_series((entry_sec + step - 1) // step * step, exit_sec // step * step, step)) AS sec FROM g)
 SELECT market, length, sec, row_kind, order_key, price, (SELECT count(*) FROM t u WHERE u.market = t.market AND u.length = t.length AND u.order_key <= t.order_key) AS step_count FROM t
 UNION ALL SELECT market, length, sec, 'grid', NULL, NULL, (SELECT count(*) FROM t WHERE t.market = gg.market AND t.length = gg.length AND t.sec <= gg.sec) FROM gg
 UNION ALL SELECT market, length, entry_sec, 'entry', entry_order_key, NULL, 0 FROM reps

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebook.operators.densify import coverage_faults, dense_days, dense_grid, gap_runs, last_by_bin, week_ending_sunday
+from tidebook.operators import ordered
 from tidebook.operators.ordered import asof_join, block_ends, interval_join, keep_last, running_sums, top_per_cell
 from tidebook.plans.ledger import KEY_WIDTH, SECONDS_WIDTH, L, M, ledger, pairs, swaps
 from tidebook.util import table
@@ -25,6 +26,23 @@ def minute_gaps(spark: SparkSession, d: str) -> DataFrame:
     return gap_runs(minute_grid(spark, d).filter("is_imputed"), "sec", STEP, width=SECONDS_WIDTH)
 
 
+def second_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Trades on a dense grid of seconds; of a second's trades the last in order gives the price."""
+    return dense_grid(swaps(spark, d), "sec", "price", "cents", 1, SECONDS_WIDTH, tie="order_key")
+
+
+def second_grid_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of seconds by hour: points, points without a trade, amounts, and the sum and last of the carried prices."""
+    hours = second_grid(spark, d).groupBy(F.expr("sec div 3600").alias("hour"))
+    price = F.round(F.col("price") * 10_000).cast("bigint")
+    return hours.agg(F.count("*").alias("points"), F.count_if("is_imputed").alias("imputed"), F.sum("cents").alias("cents"), F.sum(price).alias("price_sum"), F.max_by(price, "sec").alias("last_price"))
+
+
+def second_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of seconds without a trade."""
+    return gap_runs(second_grid(spark, d).filter("is_imputed"), "sec", 1, width=SECONDS_WIDTH)
+
+
 def price_10min(spark: SparkSession, d: str) -> DataFrame:
     return last_by_bin(swaps(spark, d), "sec", "price", 600)
 
@@ -85,9 +103,8 @@ def asof_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_prior(spark: SparkSession, d: str) -> DataFrame:
-    """The grid price of the minute before each event's; an equality join."""
-    grid = minute_grid(spark, d).select((F.col("sec") + STEP).alias("minute"), "price")
-    return _events(spark, d).withColumn("minute", F.expr(f"sec div {STEP} * {STEP}")).join(grid, "minute", "left").select("log_index", "minute", "price")
+    """The grid price of the second before each event's; null before the first trade and after the last."""
+    return ordered.exact_prior(_events(spark, d), second_grid(spark, d), "sec", "sec", ["price"], required=False).select("log_index", "sec", "price")
 
 
 def state_before(spark: SparkSession, d: str) -> DataFrame:
@@ -167,17 +184,22 @@ def aligned_union(spark: SparkSession, d: str) -> DataFrame:
     return union.orderBy("sec", rank, F.asc_nulls_last("order_key"), *PAIR)
 
 
-QUERIES = {f.__name__: f for f in (minute_grid, minute_gaps, price_10min, calendar_ffill, weekly_resample, month_calendar, partition_faults, asof_strict, asof_tolerance, asof_by_source, exact_prior, state_before, interval_trade_sums, interval_trade_extremes, block_endpoints, open_position_curve, rolling_means, volatility, latest_version, top_per_group, aligned_union)}
+QUERIES = {f.__name__: f for f in (minute_grid, minute_gaps, second_grid_hours, second_gaps, price_10min, calendar_ffill, weekly_resample, month_calendar, partition_faults, asof_strict, asof_tolerance, asof_by_source, exact_prior, state_before, interval_trade_sums, interval_trade_extremes, block_endpoints, open_position_curve, rolling_means, volatility, latest_version, top_per_group, aligned_union)}
 
 _EV = L + ", ev AS (SELECT * FROM l WHERE kind <> 'Swap'), sw AS (SELECT order_key, sec, price, cents FROM l WHERE kind = 'Swap'), lasts AS (SELECT sec, arg_max(price, order_key) AS price FROM sw GROUP BY sec)"
 _GRID = L + """, cells AS (SELECT sec // 60 * 60 AS sec, arg_max(price, (sec, price)) AS price, sum(cents)::BIGINT AS cents FROM l WHERE kind = 'Swap' GROUP BY 1),
 grid AS (SELECT unnest(generate_series((SELECT min(sec) FROM cells), (SELECT max(sec) FROM cells), 60)) AS sec),
 minutes AS (SELECT g.sec, last_value(c.price IGNORE NULLS) OVER (ORDER BY g.sec) AS price, coalesce(c.cents, 0) AS cents, c.price IS NULL AS is_imputed FROM grid g LEFT JOIN cells c USING (sec))"""
+_SECONDS = L + """, ticks AS (SELECT sec, arg_max(price, order_key) AS price, sum(cents)::BIGINT AS cents FROM l WHERE kind = 'Swap' GROUP BY 1),
+points AS (SELECT unnest(generate_series((SELECT min(sec) FROM ticks), (SELECT max(sec) FROM ticks))) AS sec),
+seconds AS (SELECT p.sec, last_value(c.price IGNORE NULLS) OVER (ORDER BY p.sec) AS price, coalesce(c.cents, 0) AS cents, c.price IS NULL AS is_imputed FROM points p LEFT JOIN ticks c USING (sec))"""
 _CLOSE = L + ", close AS (SELECT DATE '1970-01-01' + (sec // 86400)::INT AS day, arg_max(price, (sec, price)) AS price FROM l WHERE kind = 'Swap' GROUP BY 1)"
 _ORDERS = "o AS (SELECT o_orderdate::DATE AS day, round(o_totalprice * 100)::BIGINT AS cents, * FROM orders)"
 SQL = {
     "minute_grid": f"WITH {_GRID} SELECT * FROM minutes",
-    "minute_gaps": f"WITH {_GRID}, m AS (SELECT sec, sec // 3600 AS hour, sec - 60 * row_number() OVER (PARTITION BY sec // 3600 ORDER BY sec) AS island FROM minutes WHERE is_imputed) SELECT hour, min(sec) AS gap_start, max(sec) AS gap_end, count(*) AS points FROM m GROUP BY hour, island",
+    "minute_gaps": f"WITH {_GRID}, m AS (SELECT sec, sec - 60 * row_number() OVER (ORDER BY sec) AS island FROM minutes WHERE is_imputed) SELECT min(sec) AS gap_start, max(sec) AS gap_end, count(*) AS points FROM m GROUP BY island",
+    "second_grid_hours": f"WITH {_SECONDS} SELECT sec // 3600 AS hour, count(*) AS points, count(*) FILTER (WHERE is_imputed) AS imputed, sum(cents)::BIGINT AS cents, sum(round(price * 10000)::BIGINT)::BIGINT AS price_sum, arg_max(round(price * 10000)::BIGINT, sec) AS last_price FROM seconds GROUP BY 1",
+    "second_gaps": f"WITH {_SECONDS}, m AS (SELECT sec, sec - row_number() OVER (ORDER BY sec) AS island FROM seconds WHERE is_imputed) SELECT min(sec) AS gap_start, max(sec) AS gap_end, count(*) AS points FROM m GROUP BY island",
     "price_10min": f"WITH {L} SELECT sec // 600 * 600 AS bin_start, arg_max(price, (sec, price)) AS price FROM l WHERE kind = 'Swap' GROUP BY 1",
     "calendar_ffill": f"WITH {_CLOSE}, k AS (SELECT * FROM close WHERE price > 20), c AS (SELECT unnest(generate_series((SELECT min(day) FROM k)::TIMESTAMP, (SELECT max(day) FROM k)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day) SELECT strftime(c.day, '%Y-%m-%d') AS day, last_value(k.price IGNORE NULLS) OVER (ORDER BY c.day) AS price FROM c LEFT JOIN k ON k.day = c.day",
     "weekly_resample": f"WITH {_ORDERS} SELECT strftime(date_trunc('week', day)::DATE + 6, '%Y-%m-%d') AS week, sum(cents)::BIGINT AS cents, count(*) AS n, avg(cents) AS mean_cents FROM o GROUP BY 1",
@@ -186,14 +208,14 @@ SQL = {
     "asof_strict": f"WITH {_EV} SELECT log_index, p.price, p.sec AS sec_matched FROM ev ASOF LEFT JOIN lasts p ON ev.sec > p.sec",
     "asof_tolerance": f"WITH {_EV} SELECT log_index, CASE WHEN ev.sec - p.sec <= 300 THEN p.price END AS price, CASE WHEN ev.sec - p.sec <= 300 THEN p.sec END AS sec_matched FROM ev ASOF LEFT JOIN lasts p ON ev.sec > p.sec",
     "asof_by_source": "WITH r AS (SELECT feed_id, epoch_us(timestamp) AS t, max(price) AS price, max(volume) AS volume FROM oracle WHERE isfinite(price) AND price > 0 GROUP BY 1, 2) SELECT r.feed_id, r.t, r.price, b.price AS big_price, b.t AS t_matched FROM r ASOF LEFT JOIN (SELECT * FROM r WHERE volume > 1000) b ON r.feed_id = b.feed_id AND r.t >= b.t",
-    "exact_prior": f"WITH {_GRID} SELECT log_index, l.sec // 60 * 60 AS minute, m.price FROM l LEFT JOIN minutes m ON m.sec + 60 = l.sec // 60 * 60 WHERE kind <> 'Swap'",
+    "exact_prior": f"WITH {_SECONDS} SELECT log_index, l.sec, g.price FROM l LEFT JOIN seconds g ON g.sec = l.sec - 1 WHERE kind <> 'Swap'",
     "state_before": f"WITH {_EV} SELECT log_index, coalesce(sw.price, 50.0) AS price FROM ev ASOF LEFT JOIN sw ON ev.order_key > sw.order_key",
     "interval_trade_sums": f"WITH {M} SELECT wallet, tick_lower, tick_upper, depth, pair_number, count(s.order_key) AS trades, coalesce(sum(s.cents), 0)::BIGINT AS cents FROM pairs p LEFT JOIN swaps s ON s.order_key > p.entry_order_key AND s.order_key < p.exit_order_key GROUP BY wallet, tick_lower, tick_upper, depth, pair_number",
     "interval_trade_extremes": f"WITH {M} SELECT wallet, tick_lower, tick_upper, depth, pair_number, count(*) AS trades, max(price) AS highest, min(price) AS lowest, count(*) FILTER (WHERE price BETWEEN low AND high) AS in_range FROM pairs p JOIN swaps s ON s.order_key > p.entry_order_key AND s.order_key < p.exit_order_key GROUP BY wallet, tick_lower, tick_upper, depth, pair_number",
     "block_endpoints": f"WITH {L} SELECT log_index, block_number, wallet, row_number() OVER (PARTITION BY wallet, block_number ORDER BY order_key DESC) = 1 AS is_block_end FROM l WHERE kind = 'Swap'",
     "open_position_curve": f"WITH {L}, r AS (SELECT sec // 86400 AS day_number, order_key, sum(CASE kind WHEN 'Mint' THEN 1 ELSE -1 END) OVER (ORDER BY order_key) AS open, sum(CASE kind WHEN 'Mint' THEN depth ELSE -depth END) OVER (ORDER BY order_key) AS open_depth FROM l WHERE kind IN ('Mint', 'Burn')), g AS (SELECT day_number, arg_max(open, order_key)::BIGINT AS open_end, arg_max(open_depth, order_key)::BIGINT AS depth_end, max(open)::BIGINT AS peak FROM r GROUP BY 1) SELECT day_number, open_end, depth_end, greatest(peak, coalesce(lag(open_end) OVER (ORDER BY day_number), peak)) AS open_peak FROM g",
-    "rolling_means": f"WITH {_CLOSE} SELECT strftime(day, '%Y-%m-%d') AS day, round(avg(price) OVER r, 8) AS mean_rows, CASE WHEN count(*) OVER t >= 3 THEN round(avg(price) OVER t, 8) END AS mean_days, CASE WHEN count(*) OVER r >= 7 THEN round(stddev_samp(price) OVER r, 8) END AS std_rows, round(price - lag(price) OVER w, 8) AS change, lag(price) OVER w AS previous FROM close WINDOW w AS (ORDER BY day), r AS (ORDER BY day ROWS 6 PRECEDING), t AS (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)",
-    "volatility": f"WITH {_CLOSE}, r AS (SELECT day, ln(price / lag(price) OVER (ORDER BY day)) AS r FROM close), h AS (SELECT day, CASE WHEN count(r) OVER w >= 7 THEN stddev_samp(r) OVER w * sqrt(365.0) END AS historic FROM r WINDOW w AS (ORDER BY day ROWS 6 PRECEDING)), b AS (SELECT sec // 600 AS b, arg_max(price, (sec, price)) AS price FROM l WHERE kind = 'Swap' GROUP BY 1), v AS (SELECT DATE '1970-01-01' + (x.b // 144)::INT AS day, sqrt(sum(pow(ln(x.price / y.price), 2))) * sqrt(365.0) AS realized FROM b x JOIN b y ON x.b = y.b + 1 GROUP BY 1) SELECT strftime(h.day, '%Y-%m-%d') AS day, round(historic, 8) AS historic, round(realized, 8) AS realized FROM h LEFT JOIN v USING (day)",
+    "rolling_means": f"WITH {_CLOSE} SELECT strftime(day, '%Y-%m-%d') AS day, round(avg(price) OVER r, 8) AS mean_rows, CASE WHEN count(*) OVER t >= 7 THEN round(avg(price) OVER t, 8) END AS mean_days, CASE WHEN count(*) OVER r >= 30 THEN round(stddev_samp(price) OVER r, 8) END AS std_rows, round(price - lag(price) OVER w, 8) AS change, lag(price) OVER w AS previous FROM close WINDOW w AS (ORDER BY day), r AS (ORDER BY day ROWS 29 PRECEDING), t AS (ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)",
+    "volatility": f"WITH {_CLOSE}, r AS (SELECT day, ln(price / lag(price) OVER (ORDER BY day)) AS r FROM close), h AS (SELECT day, CASE WHEN count(r) OVER w >= 30 THEN stddev_samp(r) OVER w * sqrt(365.0) END AS historic FROM r WINDOW w AS (ORDER BY day ROWS 29 PRECEDING)), b AS (SELECT sec // 600 AS b, arg_max(price, (sec, price)) AS price FROM l WHERE kind = 'Swap' GROUP BY 1), v AS (SELECT DATE '1970-01-01' + (x.b // 144)::INT AS day, sqrt(sum(pow(ln(x.price / y.price), 2))) * sqrt(365.0) AS realized FROM b x JOIN b y ON x.b = y.b + 1 GROUP BY 1) SELECT strftime(h.day, '%Y-%m-%d') AS day, round(historic, 8) AS historic, round(realized, 8) AS realized FROM h LEFT JOIN v USING (day)",
     "latest_version": "SELECT feed_id, epoch_us(timestamp) AS t, epoch_us(ingested_at) AS version, CASE WHEN NOT isnan(price) THEN price END AS price FROM oracle QUALIFY row_number() OVER (PARTITION BY feed_id, timestamp ORDER BY ingested_at DESC, CASE WHEN NOT isnan(price) THEN price END DESC NULLS LAST) = 1",
     "top_per_group": f"WITH {_ORDERS} SELECT o_orderstatus, o_orderpriority, o_orderkey, cents FROM o QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY cents DESC, o_orderkey) = 1",
     "aligned_union": f"WITH {M} SELECT wallet, tick_lower, tick_upper, depth, pair_number, entry_sec AS sec, 'entry' AS row_kind, entry_order_key AS order_key FROM pairs UNION ALL SELECT wallet, tick_lower, tick_upper, depth, pair_number, exit_sec, 'exit', exit_order_key FROM pairs UNION ALL SELECT wallet, tick_lower, tick_upper, depth, pair_number, (entry_sec + exit_sec) // 2, 'middle', NULL FROM pairs WHERE entry_sec < exit_sec",

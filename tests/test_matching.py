@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators.fees import attribute_collections
 from tidebook.operators.matching import _walk, depth_mismatches, fifo_pairs, join_pairs, nearest_links, overlapping
-from tidebook.operators.ordered import PER_BLOCK, asof_join, interval_join, keep_last, order_key, running_sums
+from tidebook.operators.ordered import asof_join, interval_join, keep_last, order_key, running_sums
 
 
 def walk(seed, n=400):
@@ -85,12 +85,19 @@ def test_depth_mismatch(spark):
     assert {r["n"] for r in depth_mismatches(df, ["who"], "opens", "depth").collect()} == {3, 4, 5, 6}
 
 
-def test_fees_split_interim_and_exit(spark):
-    pairs = spark.createDataFrame([("a", 1 * PER_BLOCK, 4 * PER_BLOCK + 20, 4, 1000), ("b", 1 * PER_BLOCK, 4 * PER_BLOCK + 20, 4, 1000)], "who string, entry long, exit long, block long, principal long")
-    collects = spark.createDataFrame([("a", 2 * PER_BLOCK, 10), ("a", 4 * PER_BLOCK + 21, 1030), ("a", 4 * PER_BLOCK + 1, 99), ("a", 9 * PER_BLOCK, 7)], "who string, at long, x long")
-    out = {r["who"]: r for r in attribute_collections(pairs, ["who"], collects, ["who"], "entry", "exit", "block", "at", "x", "principal").collect()}
-    assert (out["a"]["realized_fee"], out["a"]["interim_count"], out["a"]["exit_count"], out["a"]["exit_covers_principal"]) == (40, 1, 1, True)
-    assert (out["b"]["realized_fee"], out["b"]["exit_count"], out["b"]["exit_covers_principal"]) == (0, 0, False)
+@pytest.mark.parametrize("width", [10**6, 3])
+def test_fees_split_interim_and_exit(spark, width):
+    """Keys are block * 100 + transaction * 10 + log. The exit of a is 421, in transaction 420 to 429."""
+    pairs = spark.createDataFrame([("a", 100, 421, 420, 429, 1000, 5), ("b", 100, 421, 420, 429, 1000, 5), ("c", 421, 423, 420, 429, 0, None), (None, 1, 9, 1, 9, 0, 0), ("d", 1, 50, 40, 59, 10, 10)], "who string, entry long, exit long, first long, last long, p0 long, p1 long")
+    rows = [("a", 200, 10, 20), ("a", 300, 0, 1), ("a", 425, 1030, 6), ("a", 420, 99, 99), ("a", 430, 7, 7), ("a", 100, 5, 5), ("a", None, 1, 1), (None, 5, 1, 1), ("c", 425, 3, None), ("c", 422, 9, 9)]
+    rows += [("d", 20, 1, 1), ("d", 55, 50, 9)]
+    collects = spark.createDataFrame(rows, "who string, at long, x long, y long")
+    out = {r["who"]: r for r in attribute_collections(pairs, ["who"], collects, ["who"], "entry", "exit", ("first", "last"), "at", ["x", "y"], ["p0", "p1"], width).collect()}
+    told = lambda w: tuple(int(out[w][c]) for c in ("fee_x", "fee_y", "interim_count", "exit_count", "exit_covers_principal"))
+    assert told("a") == (40, 22, 2, 1, True)
+    assert told("b") == (0, 0, 0, 0, False) and told(None) == (0, 0, 0, 0, True)
+    assert told("c") == (3, 0, 0, 1, True)
+    assert told("d") == (1, 1, 1, 1, False) and (out["d"]["exit_x"], out["d"]["exit_y"]) == (50, 9)
 
 
 @pytest.mark.parametrize(("strict", "tolerance"), [(True, None), (False, 30)])

@@ -1,12 +1,17 @@
-"""Decoding of contract logs: hex words, two's complement, addresses and dispatch by signature."""
+"""Hex words of contract logs: integers of any width, two's complement, addresses, and strict text forms.
+
+All in JVM columns. ``events`` dispatches whole logs by signature.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+#: Fixed value: hex digits of a word.
 WORD = 64
+#: Integers of a word are held as three limbs of 27 digits; a product of a limb and 32 bits fits 38 digits.
+LIMB_DIGITS, CHUNK_BITS = 27, 32
 
 
 def hex_data(raw: Column) -> Column:
@@ -24,16 +29,8 @@ def words(data: Column) -> Column:
     return F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda i: F.substr(body, i * WORD + 1, F.lit(WORD)))).otherwise(F.array().cast("array<string>"))
 
 
-def _limb(word: Column, at: int, digits: int) -> Column:
-    return F.conv(F.substring(word, at, digits), 16, 10).cast("decimal(20,0)")
-
-
-def unsigned_text(word: Column) -> Column:
-    """Decimal text of an unsigned word below 2**122; null for wider ones, which need ``wide_text``."""
-    high = _limb(word, 33, 16)
-    value = high.cast("decimal(38,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + _limb(word, 49, 16)
-    fits = F.substring(word, 1, 32).rlike("^0*$") & (F.substring(word, 33, 2) <= "03")
-    return F.when(fits, value.cast("decimal(38,0)").cast("string"))
+def _decimal(value: int, digits: int) -> Column:
+    return F.lit(str(value)).cast(f"decimal({digits},0)")
 
 
 def small_signed(word: Column) -> Column:
@@ -42,36 +39,69 @@ def small_signed(word: Column) -> Column:
     return F.when(low >= 2**31, low - 2**32).otherwise(low).cast("int")
 
 
-def signed_text(word: Column) -> Column:
-    """Decimal text of a signed word of magnitude below 2**122; null for wider ones."""
-    negative = F.substring(word, 1, 1) >= "8"
-    flipped = F.translate(word, "0123456789abcdef", "fedcba9876543210")
-    magnitude = F.try_add(unsigned_text(flipped).cast("decimal(38,0)"), F.lit(1).cast("decimal(38,0)"))
-    return F.when(negative, F.concat(F.lit("-"), magnitude.cast("decimal(38,0)").cast("string"))).otherwise(unsigned_text(word))
+def _magnitude_text(word: Column, plus: Column) -> Column:
+    """Decimal text of an unsigned word plus a small number, without leading zeros."""
+    base = 10**LIMB_DIGITS
+    chunks = [F.conv(F.substring(word, WORD - 8 * (i + 1) + 1, 8), 16, 10).cast("decimal(10,0)") for i in range(8)]
+    sums = []
+    for limb in range(3):
+        parts = [c * _decimal((1 << CHUNK_BITS * i) // base**limb % base, LIMB_DIGITS) for i, c in enumerate(chunks) if (1 << CHUNK_BITS * i) // base**limb]
+        total = parts[0]
+        for part in parts[1:]:
+            total = (total + part).cast("decimal(38,0)")
+        sums.append(total)
+    whole, texts = (sums[0] + plus.cast("decimal(1,0)")).cast("decimal(38,0)"), []
+    for following in (*sums[1:], None):
+        low = F.pmod(whole, _decimal(base, LIMB_DIGITS + 1))
+        texts.insert(0, F.lpad(low.cast(f"decimal({LIMB_DIGITS},0)").cast("string"), LIMB_DIGITS, "0"))
+        if following is not None:
+            carry = ((whole - low) / _decimal(base, LIMB_DIGITS + 1)).cast("decimal(12,0)")
+            whole = (following + carry).cast("decimal(38,0)")
+    return F.regexp_replace(F.concat(*texts), "^0+(?=.)", "")
 
 
-@F.udf(T.StringType(), useArrow=True)
-def wide_text(word: str | None, signed: bool) -> str | None:
-    """Decimal text of any word, for the few that no decimal column holds."""
-    if word is None:
-        return None
-    value = int(word, 16)
-    return str(value - 2**256 if signed and value >= 2**255 else value)
+def integer_word(word: Column, signed: bool = False) -> Column:
+    """Decimal text of a word of any size; null stays null. Words of up to 64 bits take one conversion."""
+    narrow = lambda w: F.substring(w, 1, WORD - 16) == "0" * (WORD - 16)
+    if not signed:
+        return F.when(narrow(word), F.conv(F.substring(word, WORD - 15, 16), 16, 10)).otherwise(_magnitude_text(word, F.lit(0)))
+    negative = F.substring(word, 1, 1) >= "8"
+    flipped = F.when(negative, F.translate(word, "0123456789abcdef", "fedcba9876543210")).otherwise(word)
+    plus = F.when(negative, 1).otherwise(0)
+    small = (F.conv(F.substring(flipped, WORD - 15, 16), 16, 10).cast("decimal(20,0)") + plus).cast("decimal(21,0)").cast("string")
+    return F.concat(F.when(negative, "-").otherwise(""), F.when(narrow(flipped), small).otherwise(_magnitude_text(flipped, plus)))
 
 
-def integer_word(word: Column, signed: bool = False) -> Column:
-    """Decimal text of a word of any size; only wide ones reach Python."""
-    near = signed_text(word) if signed else unsigned_text(word)
-    return F.coalesce(near, F.when(near.isNull(), wide_text(word, F.lit(signed))))
+def encoded_integer(text: Column) -> Column:
+    """The word of an integer given as text, of a magnitude below 10**37; anything else is an error, null stays null."""
+    value = integer_text(text).cast("decimal(38,0)")
+    negative = value < 0
+    rest, chunks = F.when(negative, -value - 1).otherwise(value), []
+    for _ in range(4):
+        low = F.pmod(rest, _decimal(2**CHUNK_BITS, 10))
+        chunks.insert(0, F.lpad(F.lower(F.hex(low.cast("bigint"))), 8, "0"))
+        rest = ((rest - low) / _decimal(2**CHUNK_BITS, 10)).cast("decimal(38,0)")
+    word = F.lpad(F.concat(*chunks), WORD, "0")
+    return F.when(negative, F.translate(word, "0123456789abcdef", "fedcba9876543210")).otherwise(word)
 
 
 def address_word(word: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.substring(word, 25, 40)))
 
 
-def topic_word(topics: Column, i: int) -> Column:
+def topic_list(topics: Column) -> Column:
+    """The array of topics from JSON text."""
+    return F.from_json(topics, "array<string>")
+
+
+def topic_word(topics: Column, i: Column) -> Column:
     """An indexed argument from a JSON list of topics, padded to a word; a missing one is an error."""
-    topic = F.get(F.from_json(topics, "array<string>"), i)
+    return topic_at(topic_list(topics), i)
+
+
+def topic_at(topics: Column, i: int | Column) -> Column:
+    """The same from an array of topics."""
+    topic = F.get(topics, F.lit(i) if isinstance(i, int) else i)
     text = F.lpad(F.substring(hex_data(topic), 3, WORD), WORD, "0")
     return F.when(topic.isNotNull(), text).otherwise(F.raise_error(F.lit("missing topic")))
 
@@ -84,6 +114,16 @@ def integer_text(text: Column) -> Column:
     return F.when(text.isNull(), None).when(digits != "", F.concat(sign, digits)).otherwise(F.raise_error(F.lit("not an integer")))
 
 
+def integer_or_zero(text: Column) -> Column:
+    """Canonical integer text, with 0 for null and for the spellings of a missing value."""
+    return F.coalesce(integer_text(optional_text(text)), F.lit("0"))
+
+
+def magnitude_text(text: Column) -> Column:
+    """Canonical text of the absolute value, null counting as 0."""
+    return F.ltrim(integer_or_zero(text), F.lit("-"))
+
+
 def optional_text(text: Column) -> Column:
     """Null for the spellings of a missing value."""
     return F.when(F.trim(text).isin("", "<NA>", "nan", "None"), None).otherwise(text)

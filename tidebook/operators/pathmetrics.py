@@ -21,14 +21,18 @@ from tidebook.util import entity_key, materialise
 PER_E = 1_024
 
 
-def lag_in_path(path: DataFrame, order: str, columns: dict[str, str], width: int) -> DataFrame:
-    """Add the previous row's values in one long series; the first of a stretch looks to the stretch before."""
-    within = Window.partitionBy("__w").orderBy(order)
+def lag_in_path(path: DataFrame, order: str, columns: dict[str, str], width: int, by: list[str] | None = None) -> DataFrame:
+    """Add the previous row's values in each long series; the first of a stretch looks to the stretch before.
+
+    The columns ``by`` tell series apart and are not null.
+    """
+    by = by or []
+    within = Window.partitionBy(*by, "__w").orderBy(order)
     rows = path.withColumn("__w", stretch_of(order, width))
-    ends = rows.groupBy("__w").agg(*[F.max_by(c, order).alias(f"__e{i}") for i, c in enumerate(columns)])
-    before = Window.partitionBy(F.lit(0)).orderBy("__w")
-    ends = ends.select("__w", *[F.lag(f"__e{i}").over(before).alias(f"__e{i}") for i in range(len(columns))])
-    out = rows.join(ends, "__w").withColumns({name: F.coalesce(F.lag(c).over(within), F.col(f"__e{i}")) for i, (c, name) in enumerate(columns.items())})
+    ends = rows.groupBy(*by, "__w").agg(*[F.max_by(c, order).alias(f"__e{i}") for i, c in enumerate(columns)])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__w")
+    ends = ends.select(*by, "__w", *[F.lag(f"__e{i}").over(before).alias(f"__e{i}") for i in range(len(columns))])
+    out = rows.join(ends, [*by, "__w"]).withColumns({name: F.coalesce(F.lag(c).over(within), F.col(f"__e{i}")) for i, (c, name) in enumerate(columns.items())})
     return out.drop("__w", *[f"__e{i}" for i in range(len(columns))])
 
 
@@ -61,12 +65,13 @@ def _bound_ranks(bounds: DataFrame) -> DataFrame:
     return listed.select("ps", "ks", F.coalesce(earlier, F.lit(0)).alias("lower"), F.lead("ps").over(w).alias("following"))
 
 
-def range_sums(positions: DataFrame, key: list[str], moves: DataFrame, order: str, points: Column, measures: list[str], entry: str, exit_: str, width: int, strict: bool = True) -> DataFrame:
+def range_sums(positions: DataFrame, key: list[str], moves: DataFrame, order: str, points: Column, measures: list[str], entry: str, exit_: str, width: int, strict: bool = True, by: str | None = None) -> DataFrame:
     """Positions with sums over the moves in (entry, exit), or (entry, exit] if not strict.
 
     points: for each move an array of structs of a price ``at`` and the ``measures``. Adds ``moves``
     (their number) and for each measure ``{measure}_low`` and ``{measure}_high``: its sum over the
     points whose price is below the position's ``low`` or ``high``. The key tells positions apart.
+    ``by`` names a column of both tables (a text, not null) that splits them into paths of their own.
 
     A position without moves, with a null bound, or with an entry not before its exit has sums of
     0; null prices and measures count for nothing. Bounds should be prices of ticks: those of one
@@ -74,39 +79,40 @@ def range_sums(positions: DataFrame, key: list[str], moves: DataFrame, order: st
     """
     names = {f"{m}_{side}": f"m{n}_{side}" for n, m in enumerate(measures) for side in ("low", "high")}
     inner, cells = [f"m{n}" for n in range(len(measures))], lambda p: F.struct(p["at"].alias("at"), *[p[m].alias(f"m{n}") for n, m in enumerate(measures)])
-    numbered = running_sums(moves.filter(F.col(order).isNotNull()).select(F.col(order).cast("bigint").alias("k"), F.transform(points, cells).alias("points")), "k", [], {"i": F.lit(1)}, width)
-    numbered = materialise(numbered.select("k", "i", "points"), "path-numbers")
+    path = F.col(by) if by else F.lit("")
+    numbered = running_sums(moves.filter(F.col(order).isNotNull()).select(path.alias("g"), F.col(order).cast("bigint").alias("k"), F.transform(points, cells).alias("points")), "k", [], {"i": F.lit(1)}, width, by=["g"])
+    numbered = materialise(numbered.select("g", "k", "i", "points"), "path-numbers")
     count = numbered.agg(F.coalesce(F.max("i"), F.lit(0))).first()[0]
     levels = int(count).bit_length()
     # the moves up to the entry are taken from those before (or up to) the exit
     last = F.col(exit_).cast("bigint") + F.lit(0 if strict else 1)
     ends = F.array(F.struct(F.lit(-1).alias("sign"), (F.col(entry).cast("bigint") + 1).alias("t")), F.struct(F.lit(1).alias("sign"), last.alias("t")))
-    alive = positions.filter(F.col(entry) < F.col(exit_)).select(entity_key(key).alias("e"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.explode(ends).alias("x")).select("e", "low", "high", "x.*")
-    ends = asof_join(alive, numbered.select("k", "i"), "t", "k", ["i"], width).filter("i IS NOT NULL").select("e", "low", "high", "sign", "i")
+    alive = positions.filter(F.col(entry) < F.col(exit_)).select(path.alias("g"), entity_key(key).alias("e"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.explode(ends).alias("x")).select("g", "e", "low", "high", "x.*")
+    ends = asof_join(alive, numbered.select("g", "k", "i"), "t", "k", ["i"], width, by=["g"]).filter("i IS NOT NULL").select("g", "e", "low", "high", "sign", "i")
     ends = materialise(ends, "path-ends")  # read for the bounds, the probes and the lookups
 
     ranks = materialise(_bound_ranks(ends.select(F.explode(F.array("low", "high")).alias("k")).dropna().distinct()), "path-bounds")
     lowest, bounds = ranks.agg(F.min("ps"), F.coalesce(F.sum(F.size("ks")), F.lit(0))).first()
     every = ranks.select(F.explode(F.sequence("ps", F.coalesce(F.col("following") - 1, F.col("ps")))).alias("ps"), F.col("ps").alias("own"), "ks", "lower")
     place = F.when(F.col("ps") == F.col("own"), F.size(F.filter("ks", lambda k: k <= F.col("at")))).otherwise(F.size("ks"))
-    spot = numbered.select("i", F.explode("points").alias("p")).select("i", "p.*").filter(F.col("at").isNotNull() & ~F.isnan("at")).withColumn("ps", _price_stretch(F.col("at")))
+    spot = numbered.select("g", "i", F.explode("points").alias("p")).select("g", "i", "p.*").filter(F.col("at").isNotNull() & ~F.isnan("at")).withColumn("ps", _price_stretch(F.col("at")))
     beyond = F.when(F.col("ps") < F.lit(lowest), F.lit(0)).otherwise(F.lit(bounds))
-    spot = spot.join(every, "ps", "left").select("i", F.coalesce(F.col("lower") + place, beyond).cast("bigint").alias("bucket"), *inner)
+    spot = spot.join(every, "ps", "left").select("g", "i", F.coalesce(F.col("lower") + place, beyond).cast("bigint").alias("bucket"), *inner)
     # node of level k: the next multiple of 2**k, if odd; it covers the 2**k moves up to it
     up = lambda k: F.shiftright("i", k) + F.when(F.col("i").bitwiseAND(F.lit((1 << k) - 1)) != 0, 1).otherwise(0)
     over = F.array_compact(F.array(*[F.when((up(k).bitwiseAND(F.lit(1)) == 1) & (F.shiftleft(up(k), k) <= count), F.shiftleft(up(k), k)) for k in range(levels)])) if levels else F.array().cast("array<bigint>")
     under = F.array_compact(F.array(*[F.when(F.shiftright("i", k).bitwiseAND(F.lit(1)) == 1, F.shiftleft(F.shiftright("i", k), k)) for k in range(levels)])) if levels else F.array().cast("array<bigint>")
-    tree = spot.select(F.explode(over).alias("node"), "bucket", *inner).groupBy("node", "bucket").agg(*[F.sum(m).alias(m) for m in inner])
+    tree = spot.select("g", F.explode(over).alias("node"), "bucket", *inner).groupBy("g", "node", "bucket").agg(*[F.sum(m).alias(m) for m in inner])
 
     rank = ranks.select(F.posexplode("ks").alias("n", "k"), "lower").select("k", (F.col("lower") + F.col("n")).cast("bigint").alias("bucket"))
     sides = F.explode(F.array(F.struct(F.lit("low").alias("side"), F.col("low").alias("k")), F.struct(F.lit("high").alias("side"), F.col("high").alias("k")))).alias("s")
-    probes = ends.select("e", "sign", "i", sides).select("e", "sign", "i", "s.*").join(rank, "k").select("e", "sign", "side", "bucket", F.explode(under).alias("node"))
-    asked = probes.select("node", "bucket").distinct().withColumn("asked", F.lit(1))
+    probes = ends.select("g", "e", "sign", "i", sides).select("g", "e", "sign", "i", "s.*").join(rank, "k").select("g", "e", "sign", "side", "bucket", F.explode(under).alias("node"))
+    asked = probes.select("g", "node", "bucket").distinct().withColumn("asked", F.lit(1))
     # a node has at most one row for each bucket, and a probe adds no row of its own
-    rows = tree.unionByName(asked, allowMissingColumns=True).groupBy("node", "bucket").agg(F.max("asked").alias("asked"), *[F.sum(m).alias(m) for m in inner])
-    w = Window.partitionBy("node").orderBy("bucket")
-    below = rows.select("node", "bucket", "asked", *[F.coalesce(F.sum(m).over(w), F.lit(0.0)).alias(m) for m in inner]).filter("asked = 1").drop("asked")
-    sums = probes.join(below, ["node", "bucket"]).groupBy("e").agg(*[F.sum(F.when(F.col("side") == side, F.col("sign") * F.col(m))).alias(f"{m}_{side}") for m in inner for side in ("low", "high")])
+    rows = tree.unionByName(asked, allowMissingColumns=True).groupBy("g", "node", "bucket").agg(F.max("asked").alias("asked"), *[F.sum(m).alias(m) for m in inner])
+    w = Window.partitionBy("g", "node").orderBy("bucket")
+    below = rows.select("g", "node", "bucket", "asked", *[F.coalesce(F.sum(m).over(w), F.lit(0.0)).alias(m) for m in inner]).filter("asked = 1").drop("asked")
+    sums = probes.join(below, ["g", "node", "bucket"]).groupBy("e").agg(*[F.sum(F.when(F.col("side") == side, F.col("sign") * F.col(m))).alias(f"{m}_{side}") for m in inner for side in ("low", "high")])
     counts = ends.groupBy("e").agg(F.sum(F.col("sign") * F.col("i")).alias("__moves"))
     out = positions.withColumn("__e", entity_key(key)).join(counts, F.col("__e") == counts["e"], "left").drop("e").join(sums, F.col("__e") == sums["e"], "left")
     whole = F.col("low").isNotNull() & F.col("high").isNotNull()

@@ -71,9 +71,14 @@ def overlapping_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def realized_fees(spark: SparkSession, d: str) -> DataFrame:
-    collects = ledger(spark, d).filter("kind = 'Collect'").select(*BASE, "order_key", "cents")
-    out = attribute_collections(pairs(spark, d), PAIR, collects, BASE, "entry_order_key", "exit_order_key", "exit_block_number", "order_key", "cents", "exit_cents")
-    return out.select(*PAIR, "interim_count", "exit_count", "exit_covers_principal", "realized_fee")
+    """Fees of each pair from the collections of its wallet and range; the exit's are those of its transaction."""
+    rows = ledger(spark, d)
+    collects = rows.filter("kind = 'Collect'").select(*BASE, "order_key", "cents")
+    place = {"exit_block_number": "block_number", "exit_transaction_index": "transaction_index"}
+    scopes = rows.groupBy(*[F.col(c).alias(n) for n, c in place.items()]).agg(F.min("order_key").alias("scope_first"), F.max("order_key").alias("scope_last"))
+    p = pairs(spark, d).join(scopes, list(place))
+    out = attribute_collections(p, PAIR, collects, BASE, "entry_order_key", "exit_order_key", ("scope_first", "scope_last"), "order_key", ["cents"], ["exit_cents"], MATCH_WIDTH)
+    return out.select(*PAIR, "interim_count", "exit_count", "exit_covers_principal", F.col("fee_cents").cast("bigint").alias("realized_fee"))
 
 
 def position_lifecycle(spark: SparkSession, d: str) -> DataFrame:
@@ -100,12 +105,13 @@ SQL = {
     "overlapping_pairs": f"WITH {M} SELECT wallet, tick_lower, tick_upper, depth, pair_number FROM pairs a WHERE EXISTS (SELECT 1 FROM pairs b WHERE {_SAME} AND (a.depth, a.pair_number) <> (b.depth, b.pair_number) AND a.entry_order_key < b.exit_order_key AND b.entry_order_key < a.exit_order_key)",
     "realized_fees": f"""WITH {M},
 hits AS (
-  SELECT a.wallet, a.tick_lower, a.tick_upper, a.depth, a.pair_number, a.exit_cents, b.order_key >= a.exit_block_number * 10000000000 AS at_exit, b.cents
-  FROM pairs a LEFT JOIN l b ON {_SAME} AND b.kind = 'Collect' AND ((b.order_key > a.entry_order_key AND b.order_key < a.exit_block_number * 10000000000) OR (b.order_key > a.exit_order_key AND b.order_key < (a.exit_block_number + 1) * 10000000000)))
+  SELECT a.wallet, a.tick_lower, a.tick_upper, a.depth, a.pair_number, a.exit_cents, b.block_number = a.exit_block_number AND b.transaction_index = a.exit_transaction_index AS at_exit, b.cents
+  FROM pairs a LEFT JOIN l b ON {_SAME} AND b.kind = 'Collect' AND ((b.order_key > a.entry_order_key AND (b.block_number, b.transaction_index) < (a.exit_block_number, a.exit_transaction_index))
+    OR (b.block_number = a.exit_block_number AND b.transaction_index = a.exit_transaction_index AND b.log_index > a.exit_log_index)))
 SELECT wallet, tick_lower, tick_upper, depth, pair_number, count(cents) FILTER (WHERE NOT at_exit) AS interim_count, count(cents) FILTER (WHERE at_exit) AS exit_count,
   coalesce(sum(cents) FILTER (WHERE at_exit), 0) >= any_value(exit_cents) AS exit_covers_principal,
   coalesce(sum(cents) FILTER (WHERE NOT at_exit), 0)::BIGINT + greatest(coalesce(sum(cents) FILTER (WHERE at_exit), 0) - any_value(exit_cents), 0)::BIGINT AS realized_fee
-FROM hits GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY wallet, tick_lower, tick_upper, depth, pair_number"),
+FROM hits GROUP BY wallet, tick_lower, tick_upper, depth, pair_number""",
     "position_lifecycle": f"""WITH {L} SELECT wallet, tick_lower, tick_upper, count(*) FILTER (WHERE kind = 'Mint') AS mint_count, count(*) FILTER (WHERE kind = 'Burn') AS burn_count, count(*) FILTER (WHERE kind = 'Collect') AS collect_count,
   coalesce(sum(depth) FILTER (WHERE kind = 'Mint'), 0)::BIGINT AS liquidity_in, coalesce(sum(depth) FILTER (WHERE kind = 'Burn'), 0)::BIGINT AS liquidity_out, coalesce(sum(cents) FILTER (WHERE kind = 'Mint'), 0)::BIGINT AS deposited, coalesce(sum(cents) FILTER (WHERE kind = 'Burn'), 0)::BIGINT AS withdrawn, coalesce(sum(cents) FILTER (WHERE kind = 'Collect'), 0)::BIGINT AS collected,
   min(order_key) FILTER (WHERE kind = 'Mint') AS first_mint_key, max(order_key) FILTER (WHERE kind = 'Burn') AS last_burn_key, arg_min(log_index, order_key) AS first_log_index, arg_max(log_index, order_key) AS last_log_index, count(DISTINCT depth) AS depths

@@ -39,6 +39,11 @@ def small_signed(word: Column) -> Column:
     return F.when(low >= 2**31, low - 2**32).otherwise(low).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _magnitude_text(word: Column, plus: Column) -> Column:
     """Decimal text of an unsigned word plus a small number, without leading zeros."""
     base = 10**LIMB_DIGITS
@@ -50,39 +55,38 @@ def _magnitude_text(word: Column, plus: Column) -> Column:
         for part in parts[1:]:
             total = (total + part).cast("decimal(38,0)")
         sums.append(total)
-    whole, texts = (sums[0] + plus.cast("decimal(1,0)")).cast("decimal(38,0)"), []
-    for following in (*sums[1:], None):
-        low = F.pmod(whole, _decimal(base, LIMB_DIGITS + 1))
-        texts.insert(0, F.lpad(low.cast(f"decimal({LIMB_DIGITS},0)").cast("string"), LIMB_DIGITS, "0"))
-        if following is not None:
-            carry = ((whole - low) / _decimal(base, LIMB_DIGITS + 1)).cast("decimal(12,0)")
-            whole = (following + carry).cast("decimal(38,0)")
-    return F.regexp_replace(F.concat(*texts), "^0+(?=.)", "")
+    tail = lambda v: F.lpad(F.pmod(v, _decimal(base, LIMB_DIGITS + 1)).cast(f"decimal({LIMB_DIGITS},0)").cast("string"), LIMB_DIGITS, "0")
+    carried = lambda v, limb: (limb + F.call_function("div", v, _decimal(base, LIMB_DIGITS + 1)).cast("decimal(20,0)")).cast("decimal(38,0)")
+    text = let((sums[0] + plus.cast("decimal(1,0)")).cast("decimal(38,0)"), lambda low: let(carried(low, sums[1]), lambda mid: F.concat(tail(carried(mid, sums[2])), tail(mid), tail(low))))
+    return F.regexp_replace(text, "^0+(?=.)", "")
 
 
-def integer_word(word: Column, signed: bool = False) -> Column:
+def integer_word(word: Column, signed: bool | Column = False) -> Column:
     """Decimal text of a word of any size; null stays null. Words of up to 64 bits take one conversion."""
-    narrow = lambda w: F.substring(w, 1, WORD - 16) == "0" * (WORD - 16)
-    if not signed:
-        return F.when(narrow(word), F.conv(F.substring(word, WORD - 15, 16), 16, 10)).otherwise(_magnitude_text(word, F.lit(0)))
-    negative = F.substring(word, 1, 1) >= "8"
-    flipped = F.when(negative, F.translate(word, "0123456789abcdef", "fedcba9876543210")).otherwise(word)
-    plus = F.when(negative, 1).otherwise(0)
-    small = (F.conv(F.substring(flipped, WORD - 15, 16), 16, 10).cast("decimal(20,0)") + plus).cast("decimal(21,0)").cast("string")
-    return F.concat(F.when(negative, "-").otherwise(""), F.when(narrow(flipped), small).otherwise(_magnitude_text(flipped, plus)))
+
+    def text(w: Column) -> Column:
+        narrow = lambda v: F.substring(v, 1, WORD - 16) == "0" * (WORD - 16)
+        low = lambda v: F.conv(F.substring(v, WORD - 15, 16), 16, 10)
+        if signed is False:
+            return F.when(narrow(w), low(w)).otherwise(_magnitude_text(w, F.lit(0)))
+        negative = (F.substring(w, 1, 1) >= "8") & (F.lit(True) if signed is True else signed)
+        below = lambda v: F.concat(F.lit("-"), F.when(narrow(v), (low(v).cast("decimal(20,0)") + 1).cast("decimal(21,0)").cast("string")).otherwise(_magnitude_text(v, F.lit(1))))
+        return F.when(negative, let(F.translate(w, "0123456789abcdef", "fedcba9876543210"), below)).when(narrow(w), low(w)).otherwise(_magnitude_text(w, F.lit(0)))
+
+    return let(word, text)
 
 
 def encoded_integer(text: Column) -> Column:
     """The word of an integer given as text, of a magnitude below 10**37; anything else is an error, null stays null."""
-    value = integer_text(text).cast("decimal(38,0)")
-    negative = value < 0
-    rest, chunks = F.when(negative, -value - 1).otherwise(value), []
-    for _ in range(4):
-        low = F.pmod(rest, _decimal(2**CHUNK_BITS, 10))
-        chunks.insert(0, F.lpad(F.lower(F.hex(low.cast("bigint"))), 8, "0"))
-        rest = ((rest - low) / _decimal(2**CHUNK_BITS, 10)).cast("decimal(38,0)")
-    word = F.lpad(F.concat(*chunks), WORD, "0")
-    return F.when(negative, F.translate(word, "0123456789abcdef", "fedcba9876543210")).otherwise(word)
+    whole, chunk = "decimal(38,0)", _decimal(2**CHUNK_BITS, 10)
+
+    def word(value: Column) -> Column:
+        """Words of what is left, from the highest chunk down."""
+        rest = lambda v, n: F.lit("") if not n else let(v, lambda x: F.concat(rest(((x - F.pmod(x, chunk)) / chunk).cast(whole), n - 1), F.lpad(F.lower(F.hex(F.pmod(x, chunk).cast("bigint"))), 8, "0")))
+        plain = F.lpad(rest(F.when(value < 0, -value - 1).otherwise(value).cast(whole), 4), WORD, "0")
+        return F.when(value < 0, F.translate(plain, "0123456789abcdef", "fedcba9876543210")).otherwise(plain)
+
+    return F.when(text.isNotNull(), let(integer_text(text).cast(whole), word))
 
 
 def address_word(word: Column) -> Column:

@@ -94,24 +94,46 @@ def _error(message: Column | str, kind: str = "string") -> Column:
     return F.raise_error(F.concat(F.lit(message), F.lit("")) if isinstance(message, str) else message).cast(kind)
 
 
-def _by_layout(test: Column, cells: list[Column | None], otherwise: Column | None = None) -> Column:
+def _by_layout(test: Column, cells: list[Column | None]) -> Column:
     """The cell of the layout whose number equals ``test``."""
     out = None
     for i, cell in enumerate(cells):
         if cell is not None:
             out = F.when(test == i, cell) if out is None else out.when(test == i, cell)
-    return out if otherwise is None else out.otherwise(otherwise)
+    return out
 
 
-def argument_texts(topics: Column, data: Column, layout: Column) -> Column:
-    """Array of the arguments as text, from topics (an array) and data, by number of the layout."""
+def _told(test: Column, values: list) -> Column:
+    """The same for literals, naming ``test`` once."""
+    return F.get(F.array(*[F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in values]), test)
+
+
+def _number(test: Column, names: list[str]) -> Column:
+    """Number of the layout with this name, null for none."""
+    return F.try_element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), test)
+
+
+#: How an argument is read: an address, an unsigned or a signed integer.
+_KINDS = {"address": 0, "uint": 1, "int": 2}
+
+
+def _kind(kind: str) -> int:
+    return _KINDS[kind if kind == "address" else kind.rstrip("0123456789")]
+
+
+_KIND_LISTS = [[_kind(k) for k in x.types] for x in LAYOUTS]
+
+
+def argument_words(topics: Column, data: Column, layout: Column) -> tuple[Column, Column]:
+    """Array of the arguments' words, from topics (an array) and data, by number of the layout; and how each is read."""
     words = abi.words(data)
+    word = lambda place: abi.topic_at(topics, int(place[1:])) if place[0] == "t" else F.coalesce(F.get(words, F.lit(int(place[1:]))), _error("missing word of data"))
+    return _by_layout(layout, [F.array(*[word(p) for p in x.places]) for x in LAYOUTS]), _told(layout, _KIND_LISTS)
 
-    def argument(kind: str, place: str) -> Column:
-        word = abi.topic_at(topics, int(place[1:])) if place[0] == "t" else F.coalesce(F.get(words, F.lit(int(place[1:]))), _error("missing word of data"))
-        return abi.address_word(word) if kind == "address" else abi.integer_word(word, kind.startswith("int"))
 
-    return _by_layout(layout, [F.array(*[argument(k, p) for k, p in zip(x.types, x.places)]) for x in LAYOUTS])
+def argument_texts(words: Column, kinds: Column) -> Column:
+    """The arguments as text."""
+    return F.zip_with(words, kinds, lambda w, k: F.when(k == 0, abi.address_word(w)).otherwise(abi.integer_word(w, k == 2)))
 
 
 def rejected(logs: DataFrame, pool: list[str], manager: list[str]) -> DataFrame:
@@ -123,13 +145,12 @@ def _sorted_out(logs: DataFrame, pool: list[str], manager: list[str]) -> DataFra
     """Logs with ``topics``, the number of the layout, the frame of the contract and a reason against decoding."""
     names = {c.lower() for c in logs.columns}
     rows = logs.withColumn("__topics", abi.topic_list(F.col("topics_json")))
-    first = F.lower(F.get("__topics", F.lit(0)))
-    number = F.coalesce(*[F.when(first == x.topic, i) for i, x in enumerate(LAYOUTS)])
+    number = _number(F.lower(F.get("__topics", F.lit(0))), [x.topic for x in LAYOUTS])
     contract = F.lower(F.trim("address"))
     frame = F.when(contract.isin([a.lower() for a in pool]), "pool").when(contract.isin([a.lower() for a in manager]), "manager")
     gone = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in names else F.lit(False)
     rows = rows.withColumns({"__layout": number, "__frame": frame, "__gone": gone})
-    own = _by_layout(F.col("__layout"), [F.lit(x.frame) for x in LAYOUTS])
+    own = _told(F.col("__layout"), [x.frame for x in LAYOUTS])
     empty = F.coalesce(F.size("__topics"), F.lit(-1)) < 1
     reason = F.when(F.col("__gone"), "removed").when(empty, "no topics").when(F.col("__layout").isNull(), "unknown topic").when(F.col("__frame").isNull(), "unknown contract").when(F.col("__frame") != own, "wrong contract")
     return rows.withColumn("reason", reason)
@@ -143,9 +164,10 @@ def decode_logs(logs: DataFrame, pool: list[str], manager: list[str]) -> DataFra
     """
     rows = _sorted_out(logs, pool, manager)
     rows = rows.filter(F.when(F.col("reason").isNull(), True).otherwise(_error(F.concat(F.lit("log cannot be decoded: "), F.col("reason")), "boolean")))
-    arguments = argument_texts(F.col("__topics"), F.col("data"), F.col("__layout"))
-    signature = _by_layout(F.col("__layout"), [F.lit(x.signature) for x in LAYOUTS])
-    rows = rows.select(*BASE, F.col("__frame").alias("frame"), signature.alias("event_signature"), F.to_json(arguments).alias("args_json"))
+    words, kinds = argument_words(F.col("__topics"), F.col("data"), F.col("__layout"))
+    signature = _told(F.col("__layout"), [x.signature for x in LAYOUTS])
+    rows = rows.select(*BASE, F.col("__frame").alias("frame"), signature.alias("event_signature"), words.alias("__words"), kinds.alias("__kinds"))
+    rows = rows.withColumn("args_json", F.to_json(argument_texts(F.col("__words"), F.col("__kinds")))).drop("__words", "__kinds")
     return events_from_arguments(rows)
 
 
@@ -157,30 +179,22 @@ def events_from_arguments(rows: DataFrame) -> DataFrame:
     liquidity of what leaves a position (Burn, DecreaseLiquidity) is negated. Columns that do not
     belong to an event are null. ``event_type`` is the signature's name.
     """
-    number = F.coalesce(*[F.when(F.col("event_signature") == x.signature, i) for i, x in enumerate(LAYOUTS)])
+    number = _number(F.col("event_signature"), [x.signature for x in LAYOUTS])
     rows = rows.withColumns({"__layout": F.coalesce(number, _error("unsupported signature", "int")), "__args": F.from_json("args_json", "array<string>")})
-    arity = _by_layout(F.col("__layout"), [F.lit(len(x.types)) for x in LAYOUTS])
-    rows = rows.withColumn("__args", F.when(F.size("__args") == arity, F.col("__args")).otherwise(_error("wrong number of arguments", "array<string>")))
-    cells = {}
-    for column in (*ADDRESSES, *TICKS, *INTEGERS):
-        found = []
-        for x in LAYOUTS:
-            if column not in x.columns:
-                found.append(None)
-                continue
-            text = F.get("__args", F.lit(x.columns.index(column)))
-            text = F.coalesce(text, _error("missing argument"))
-            if column in ADDRESSES:
-                text = F.lower(text)
-                cell = F.when(text.rlike("^0x[0-9a-f]{40}$"), text).otherwise(_error("malformed address"))
-            else:
-                cell = abi.integer_text(text)
-                if column == x.negated:
-                    cell = F.when(cell == "0", cell).when(cell.startswith("-"), F.substring(cell, 2, 100)).otherwise(F.concat(F.lit("-"), cell))
-                cell = cell.cast("int") if column in TICKS else cell
-            found.append(cell)
-        cells[column] = _by_layout(F.col("__layout"), found)
-    kind = _by_layout(F.col("__layout"), [F.lit(x.kind) for x in LAYOUTS])
-    lower = {"transaction_hash": F.lower("transaction_hash"), "address": F.lower(F.trim("address"))}
-    kept = [lower.get(c, F.col(c)).alias(c) for c in rows.columns if not c.startswith("__")]
-    return rows.select(*kept, kind.alias("event_type"), *[c.alias(n) for n, c in cells.items()])
+    rows = rows.withColumn("__kinds", _told(F.col("__layout"), _KIND_LISTS))
+    rows = rows.withColumn("__args", F.when(F.size("__args") == F.size("__kinds"), F.col("__args")).otherwise(_error("wrong number of arguments", "array<string>")))
+
+    def value(text: Column, kind: Column) -> Column:
+        address = F.lower(text)
+        return F.when(text.isNull(), _error("missing argument")).when(kind != 0, abi.integer_text(text)).when(address.rlike("^0x[0-9a-f]{40}$"), address).otherwise(_error("malformed address"))
+
+    rows = rows.withColumn("__args", F.zip_with("__args", "__kinds", value))
+    place = lambda c: [x.columns.index(c) if c in x.columns else 99 for x in LAYOUTS]
+    cells = {c: F.get("__args", _told(F.col("__layout"), place(c))) for c in (*ADDRESSES, *TICKS, *INTEGERS)}
+    rows = rows.select("*", *[(c.cast("int") if n in TICKS else c).alias(n) for n, c in cells.items()])
+    leaves = _told(F.col("__layout"), [x.negated is not None for x in LAYOUTS])
+    amount = F.col("liquidity_delta_raw")
+    turned = F.when(~leaves | (amount == "0"), amount).when(amount.startswith("-"), F.substring(amount, 2, 100)).otherwise(F.concat(F.lit("-"), amount))
+    kind = _told(F.col("__layout"), [x.kind for x in LAYOUTS])
+    changed = {"transaction_hash": F.lower("transaction_hash"), "address": F.lower(F.trim("address")), "liquidity_delta_raw": turned}
+    return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns if not c.startswith("__")], kind.alias("event_type"))

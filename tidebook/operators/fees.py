@@ -21,7 +21,7 @@ def attribute_collections(pairs: DataFrame, pair: list[str], collects: DataFrame
     covers the principal of every amount; else the exit's fee is 0.
 
     Adds ``interim_count``, ``exit_count``, ``exit_covers_principal`` and for each amount
-    ``interim_{amount}``, ``exit_{amount}`` and ``fee_{amount}``. A position without collections
+    ``interim_{amount}``, ``exit_{amount}`` and ``fee_{amount}``, in place of columns of these names. A position without collections
     has 0, null amounts and principals count as 0, and a null identity or key has no collections.
 
     Sums are differences of running sums of the identity's collections, looked up as of four keys,
@@ -57,4 +57,5 @@ def attribute_collections(pairs: DataFrame, pair: list[str], collects: DataFrame
     for i, (amount, principal) in enumerate(zip(amounts, principals)):
         fee = held(f"q{i}i") + F.when(covered, held(f"q{i}e") - held(principal).cast(SUM)).otherwise(zero)
         out += [held(f"q{i}i").alias(f"interim_{amount}"), held(f"q{i}e").alias(f"exit_{amount}"), fee.cast(SUM).alias(f"fee_{amount}")]
-    return got.select(*pairs.columns, held("qni").cast("bigint").alias("interim_count"), held("qne").cast("bigint").alias("exit_count"), covered.alias("exit_covers_principal"), *out)
+    taken = {"interim_count", "exit_count", "exit_covers_principal", *[f"{x}_{a}" for a in amounts for x in ("interim", "exit", "fee")]}
+    return got.select(*[c for c in pairs.columns if c not in taken], held("qni").cast("bigint").alias("interim_count"), held("qne").cast("bigint").alias("exit_count"), covered.alias("exit_covers_principal"), *out)

@@ -70,32 +70,35 @@ def range_sums(positions: DataFrame, key: list[str], moves: DataFrame, order: st
 
     points: for each move an array of structs of a price ``at`` and the ``measures``. Adds ``moves``
     (their number) and for each measure ``{measure}_low`` and ``{measure}_high``: its sum over the
-    points whose price is below the position's ``low`` or ``high``. The key tells positions apart.
+    points whose price is below the position's ``low`` or ``high``. ``points``, ``points_low`` and
+    ``points_high`` count the points in the life, and those below each bound. The key tells positions apart.
     ``by`` names a column of both tables (a text, not null) that splits them into paths of their own.
 
     A position without moves, with a null bound, or with an entry not before its exit has sums of
     0; null prices and measures count for nothing. Bounds should be prices of ticks: those of one
     stretch of 1/1024 of log price are listed in one row.
     """
-    names = {f"{m}_{side}": f"m{n}_{side}" for n, m in enumerate(measures) for side in ("low", "high")}
-    inner, cells = [f"m{n}" for n in range(len(measures))], lambda p: F.struct(p["at"].alias("at"), *[p[m].alias(f"m{n}") for n, m in enumerate(measures)])
+    names = {f"{m}_{side}": f"m{n}_{side}" for n, m in enumerate([*measures, "points"]) for side in ("low", "high")}
+    inner = [f"m{n}" for n in range(len(measures) + 1)]
+    cells = lambda p: F.struct(p["at"].alias("at"), *[p[m].alias(f"m{n}") for n, m in enumerate(measures)], F.lit(1.0).alias(inner[-1]))
+    points = F.coalesce(F.filter(F.transform(points, cells), lambda p: p["at"].isNotNull() & ~F.isnan(p["at"])), F.transform(F.filter(points, lambda _: F.lit(False)), cells))
     path = F.col(by) if by else F.lit("")
-    numbered = running_sums(moves.filter(F.col(order).isNotNull()).select(path.alias("g"), F.col(order).cast("bigint").alias("k"), F.transform(points, cells).alias("points")), "k", [], {"i": F.lit(1)}, width, by=["g"])
-    numbered = materialise(numbered.select("g", "k", "i", "points"), "path-numbers")
+    numbered = running_sums(moves.filter(F.col(order).isNotNull()).select(path.alias("g"), F.col(order).cast("bigint").alias("k"), points.alias("points")), "k", [], {"i": F.lit(1), "c": F.coalesce(F.greatest(F.size("points"), F.lit(0)), F.lit(0))}, width, by=["g"])
+    numbered = materialise(numbered.select("g", "k", "i", "c", "points"), "path-numbers")
     count = numbered.agg(F.coalesce(F.max("i"), F.lit(0))).first()[0]
     levels = int(count).bit_length()
     # the moves up to the entry are taken from those before (or up to) the exit
     last = F.col(exit_).cast("bigint") + F.lit(0 if strict else 1)
     ends = F.array(F.struct(F.lit(-1).alias("sign"), (F.col(entry).cast("bigint") + 1).alias("t")), F.struct(F.lit(1).alias("sign"), last.alias("t")))
     alive = positions.filter(F.col(entry) < F.col(exit_)).select(path.alias("g"), entity_key(key).alias("e"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.explode(ends).alias("x")).select("g", "e", "low", "high", "x.*")
-    ends = asof_join(alive, numbered.select("g", "k", "i"), "t", "k", ["i"], width, by=["g"]).filter("i IS NOT NULL").select("g", "e", "low", "high", "sign", "i")
+    ends = asof_join(alive, numbered.select("g", "k", "i", "c"), "t", "k", ["i", "c"], width, by=["g"]).filter("i IS NOT NULL").select("g", "e", "low", "high", "sign", "i", "c")
     ends = materialise(ends, "path-ends")  # read for the bounds, the probes and the lookups
 
     ranks = materialise(_bound_ranks(ends.select(F.explode(F.array("low", "high")).alias("k")).dropna().distinct()), "path-bounds")
     lowest, bounds = ranks.agg(F.min("ps"), F.coalesce(F.sum(F.size("ks")), F.lit(0))).first()
     every = ranks.select(F.explode(F.sequence("ps", F.coalesce(F.col("following") - 1, F.col("ps")))).alias("ps"), F.col("ps").alias("own"), "ks", "lower")
     place = F.when(F.col("ps") == F.col("own"), F.size(F.filter("ks", lambda k: k <= F.col("at")))).otherwise(F.size("ks"))
-    spot = numbered.select("g", "i", F.explode("points").alias("p")).select("g", "i", "p.*").filter(F.col("at").isNotNull() & ~F.isnan("at")).withColumn("ps", _price_stretch(F.col("at")))
+    spot = numbered.select("g", "i", F.explode("points").alias("p")).select("g", "i", "p.*").withColumn("ps", _price_stretch(F.col("at")))
     beyond = F.when(F.col("ps") < F.lit(lowest), F.lit(0)).otherwise(F.lit(bounds))
     spot = spot.join(every, "ps", "left").select("g", "i", F.coalesce(F.col("lower") + place, beyond).cast("bigint").alias("bucket"), *inner)
     # node of level k: the next multiple of 2**k, if odd; it covers the 2**k moves up to it
@@ -113,10 +116,10 @@ def range_sums(positions: DataFrame, key: list[str], moves: DataFrame, order: st
     w = Window.partitionBy("g", "node").orderBy("bucket")
     below = rows.select("g", "node", "bucket", "asked", *[F.coalesce(F.sum(m).over(w), F.lit(0.0)).alias(m) for m in inner]).filter("asked = 1").drop("asked")
     sums = probes.join(below, ["g", "node", "bucket"]).groupBy("e").agg(*[F.sum(F.when(F.col("side") == side, F.col("sign") * F.col(m))).alias(f"{m}_{side}") for m in inner for side in ("low", "high")])
-    counts = ends.groupBy("e").agg(F.sum(F.col("sign") * F.col("i")).alias("__moves"))
+    counts = ends.groupBy("e").agg(F.sum(F.col("sign") * F.col("i")).alias("__moves"), F.sum(F.col("sign") * F.col("c")).alias("__points"))
     out = positions.withColumn("__e", entity_key(key)).join(counts, F.col("__e") == counts["e"], "left").drop("e").join(sums, F.col("__e") == sums["e"], "left")
     whole = F.col("low").isNotNull() & F.col("high").isNotNull()
-    return out.select(*positions.columns, F.coalesce("__moves", F.lit(0)).cast("bigint").alias("moves"), *[F.coalesce(F.when(whole, F.col(held)), F.lit(0.0)).alias(n) for n, held in names.items()])
+    return out.select(*positions.columns, F.coalesce("__moves", F.lit(0)).cast("bigint").alias("moves"), F.coalesce("__points", F.lit(0)).cast("bigint").alias("points"), *[F.coalesce(F.when(whole, F.col(held)), F.lit(0.0)).alias(n) for n, held in names.items()])
 
 
 def inventory_points(costs: dict[str, tuple[Column, Column]], before: str = "before", after: str = "price") -> tuple[Column, list[str]]:
@@ -143,8 +146,10 @@ def inventory_cost(name: str) -> Column:
     above a bound counts as the bound. With the outside price this is the rebalancing cost, with
     the new price the convexity cost of a move.
     """
-    x = {b: F.col(f"{name}_xr_{b}") - F.col(f"{name}_x_{b}") / F.sqrt(F.col(b)) for b in ("low", "high")}
-    y = {b: F.col(f"{name}_yr_{b}") - F.col(f"{name}_y_{b}") * F.sqrt(F.col(b)) for b in ("low", "high")}
+    # where no price reaches a bound, what rounding leaves of the sum must not meet a bound far away
+    clipped = lambda part, b: F.when(F.col(f"points_{b}") == F.col("points"), F.lit(0.0)).otherwise(F.col(f"{name}_{part}_{b}"))
+    x = {b: F.col(f"{name}_xr_{b}") - clipped("x", b) / F.sqrt(F.col(b)) for b in ("low", "high")}
+    y = {b: F.col(f"{name}_yr_{b}") - clipped("y", b) * F.sqrt(F.col(b)) for b in ("low", "high")}
     return F.coalesce(-(x["high"] - x["low"] + y["high"] - y["low"]), F.lit(0.0))
 
 

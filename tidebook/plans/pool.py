@@ -18,6 +18,7 @@ from tidebook.operators.matching import overlapping
 from tidebook.operators.ordered import asof_join, block_ends, order_key
 from tidebook.operators.pathmetrics import inventory_cost, inventory_points, lag_in_path, range_sums, rate_curve, with_growth
 from tidebook.operators.returns import closed_returns, pair_returns
+from tidebook.plans.risk import _convex, _step, _x, _y
 from tidebook.util import hex_text, latest, materialise, table
 
 #: Stretches of 10,000 blocks and of one day.
@@ -272,15 +273,21 @@ def lifetime_risk(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("operation_id", "pool_address", "entry_sec", "exit_sec", "entry_price_second", "exit_price_second", "swaps", F.col("initial").alias("initial_wealth_usdt"), "liquidity", *[c.alias(n) for n, c in cells.items()])
 
 
+#: Measures by the scale to which they are exact: inventories and path sums cancel at the size of the liquidity.
+_BY_LIQUIDITY = ("theoretical", "entry_inventory", "exit_inventory", "lvr", "pl_")
+
+
 def position_risk(spark: SparkSession, d: str) -> DataFrame:
-    """The lifetime measures; amounts of money are rounded to a billionth of the initial wealth."""
+    """The lifetime measures, rounded to a millionth of the liquidity, or of the initial wealth where no path is summed."""
     rows = lifetime_risk(spark, d)
-    initial, out = F.col("initial_wealth_usdt"), []
+    initial, size, out = F.col("initial_wealth_usdt"), F.col("liquidity"), []
     for c in rows.columns[9:]:
-        plain = c.startswith("pool_price") or c.endswith("_on_initial") or c == "il_signed_vs_hodl"
-        scale = F.lit(1.0) if plain else F.col("liquidity") if c.startswith("theoretical") else initial
-        out.append((F.round(F.col(c) / scale, 7) * scale).alias(c) if not plain else F.round(c, 7).alias(c))
-    return rows.select("operation_id", "swaps", F.round("initial_wealth_usdt", 4).alias("initial_wealth_usdt"), *out)
+        if c.startswith(_BY_LIQUIDITY):
+            part = (F.round(F.col(c) * initial / size, 6) * size / initial) if c.endswith("_on_initial") else F.round(F.col(c) / size, 6) * size
+        else:
+            part = F.round(F.col(c) / initial, 7) * initial if c == "il_loss_usdt" else F.round(c, 7)
+        out.append(part.alias(c))
+    return rows.select("operation_id", "swaps", F.round(initial, 4).alias("initial_wealth_usdt"), *out)
 
 
 def risk_days(spark: SparkSession, d: str) -> DataFrame:
@@ -301,29 +308,155 @@ def risk_days(spark: SparkSession, d: str) -> DataFrame:
     hold = F.col("d0") * F.col("outside") + F.col("d1")
     total, event_total = F.exp("growth") * F.col("block_discounted"), F.exp("growth") * F.col("event_discounted")
     cells = {"il_loss_usdt": hold - value, "lvr_rebalancing_usdt": F.col("lvr"), "pl_convexity_cost_usdt": F.col("block"), "pl_opportunity_cost_usdt": total - F.col("block"), "pl_loss_usdt": total, "pl_swap_event_convexity_cost_usdt": F.col("event"), "pl_swap_event_opportunity_cost_usdt": event_total - F.col("event"), "pl_swap_event_loss_usdt": event_total}
-    return rows.select("operation_id", "day", "is_terminal", "swaps", F.col("outside").alias("external_price_usdt"), value.alias("lp_value_usdt"), hold.alias("hodl_value_usdt"), F.col("initial").alias("initial_capital_usdt"), *[c.alias(n) for n, c in cells.items()])
+    return rows.select("operation_id", "day", "is_terminal", "swaps", F.col("outside").alias("external_price_usdt"), value.alias("lp_value_usdt"), hold.alias("hodl_value_usdt"), F.col("initial").alias("initial_capital_usdt"), "liquidity", *[c.alias(n) for n, c in cells.items()])
 
 
 DAILY = ("il_loss_usdt", "lvr_rebalancing_usdt", "pl_convexity_cost_usdt", "pl_opportunity_cost_usdt", "pl_loss_usdt", "pl_swap_event_convexity_cost_usdt", "pl_swap_event_opportunity_cost_usdt", "pl_swap_event_loss_usdt")
 
 
 def position_day_panel(spark: SparkSession, d: str) -> DataFrame:
-    """The panel of positions and days; amounts of money are rounded to a ten-millionth of the initial capital."""
-    rows, capital = risk_days(spark, d), F.col("initial_capital_usdt")
+    """The panel of positions and days, rounded to a millionth of the liquidity, or of the capital where no path is summed."""
+    rows, capital, size = risk_days(spark, d), F.col("initial_capital_usdt"), F.col("liquidity")
+    scale = {c: size for c in DAILY} | {c: F.when(F.col("is_terminal"), capital).otherwise(size) for c in ("lp_value_usdt", "il_loss_usdt")} | {"hodl_value_usdt": capital}
     money = ("lp_value_usdt", "hodl_value_usdt", *DAILY)
-    return rows.select("operation_id", "day", "is_terminal", "swaps", r6("external_price_usdt").alias("external_price_usdt"), F.round(capital, 4).alias("initial_capital_usdt"), *[F.round(F.col(c) / capital, 7).alias(c.replace("_usdt", "_on_capital")) for c in money])
+    return rows.select("operation_id", "day", "is_terminal", "swaps", r6("external_price_usdt").alias("external_price_usdt"), F.round(capital, 4).alias("initial_capital_usdt"), *[(F.round(F.col(c) / scale[c], 6) * scale[c]).alias(c) for c in money])
 
 
 def portfolio_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Open positions by day: count, nine sums and eight ratios weighted by capital, the day's close and rate."""
-    sums = risk_days(spark, d).groupBy("day").agg(F.count("*").alias("position_day_count"), F.sum("initial_capital_usdt").alias("initial_capital_usdt"), *[F.sum(c).alias(c) for c in DAILY])
+    """Open positions by day: count, capital, eight sums and eight ratios weighted by capital, the day's close and rate.
+
+    Sums are told per unit of the day's liquidity, to whose size they are exact.
+    """
+    sums = risk_days(spark, d).groupBy("day").agg(F.count("*").alias("position_day_count"), F.sum("initial_capital_usdt").alias("capital"), F.sum("liquidity").alias("liquidity"), *[F.sum(c).alias(c) for c in DAILY])
     # the close is the last price before the next day
     sums = asof_join(sums.withColumn("next", (F.col("day") + 1) * DAY), market(spark, d), "next", "second", ["outside"], SECONDS_WIDTH).withColumnRenamed("outside", "ethusdt_close")
     rates = pool_curve(spark, d).select(F.col("day_number").alias("day"), (F.expm1("log_rate") * 36_000).alias("sofr_percent"))
-    capital = F.col("initial_capital_usdt")
+    each, weight = {c: F.round(F.col(c) / F.col("liquidity"), 6) for c in DAILY}, F.round(F.col("liquidity") / F.col("capital"), 3)
     ratio = {c: "capital_weighted_" + c.replace("_rebalancing_usdt", "_loss_pct").replace("_usdt", "_pct") for c in DAILY}
-    return sums.join(rates, "day", "left").select("day", "position_day_count", F.round(capital, 2).alias("initial_capital_usdt"), *[(F.round(F.col(c) / capital, 7) * F.round(capital, 2)).alias(c) for c in DAILY], *[F.round(100 * F.col(c) / capital, 5).alias(n) for c, n in ratio.items()], r6("ethusdt_close").alias("ethusdt_close"), r6("sofr_percent").alias("sofr_percent"))
+    return sums.join(rates, "day", "left").select("day", "position_day_count", F.round("capital", 2).alias("initial_capital_usdt"), *[v.alias(c.replace("_usdt", "_per_liquidity")) for c, v in each.items()], *[(100 * each[c] * weight).alias(n) for c, n in ratio.items()], r6("ethusdt_close").alias("ethusdt_close"), r6("sofr_percent").alias("sofr_percent"))
 
 
 QUERIES = {f.__name__: f for f in (decoded_events, pair_fees, position_returns, closed_position_returns, position_risk, position_day_panel, portfolio_panel)}
-SQL = {}
+
+
+def _int(c: str) -> str:
+    return f"CASE WHEN regexp_full_match(regexp_replace({c}, '\\s+', '', 'g'), '[+-]?0*[0-9]{{1,38}}') THEN replace(regexp_replace({c}, '\\s+', '', 'g'), '+', '')::HUGEINT END AS {c}"
+
+
+_KEYED = "{0}block_number * 10000000000 + {0}transaction_index * 100000 + {0}log_index"
+_LOGS = f"""logs AS (SELECT *, {_KEYED.format('')} AS k FROM (
+  SELECT block_number, lower(trim(transaction_hash)) AS transaction_hash, log_index, transaction_index, floor(epoch(block_timestamp))::BIGINT AS sec, lower(trim(address)) AS address, lower(trim(event_type)) AS kind,
+    lower(trim(sender)) AS sender, lower(trim(owner)) AS owner, lower(trim(recipient)) AS recipient, tick_lower, tick_upper, tick, {', '.join(_int(c) for c in ('liquidity_delta_raw', 'amount0_raw', 'amount1_raw', 'sqrt_price_x96', 'active_liquidity_raw'))}, coalesce(removed, false) AS gone, ingested_at
+  FROM pool_events) QUALIFY row_number() OVER (PARTITION BY block_number, transaction_hash, log_index ORDER BY ingested_at DESC NULLS LAST, gone DESC, {', '.join(f'{c} DESC NULLS LAST' for c in ('sec', 'transaction_index', 'address', 'kind', 'sender', 'owner', 'recipient', 'tick_lower', 'tick_upper', 'tick', 'liquidity_delta_raw', 'amount0_raw', 'amount1_raw', 'sqrt_price_x96', 'active_liquidity_raw'))}) = 1)"""
+_PAIRS = f"""pp AS (SELECT *, {_KEYED.format('entry_')} AS entry_key, {_KEYED.format('exit_')} AS exit_key FROM (
+  SELECT lower(trim(operation_id)) AS operation_id, lower(trim(pool_address)) AS pool, lower(trim(manager_address)) AS manager, lower(trim(lp_wallet)) AS wallet, tick_lower, tick_upper, {_int('liquidity_raw')}, trim(nfpm_token_id) AS token_id, nfpm_token_id_consistent AS told,
+    {', '.join(f'{s}_{c}' for s in ('entry', 'exit') for c in ('block_number', 'transaction_index', 'log_index'))}, {', '.join(f'lower(trim({s}_transaction_hash)) AS {s}_hash, floor(epoch({s}_block_timestamp))::BIGINT AS {s}_sec' for s in ('entry', 'exit'))}, {', '.join(_int(f'{s}_amount{i}_raw') for s in ('entry', 'exit') for i in (0, 1))}, holding_seconds
+  FROM operation_pairs QUALIFY row_number() OVER (PARTITION BY lower(trim(operation_id)) ORDER BY built_at DESC NULLS LAST) = 1))"""
+_BASE = f"WITH {_LOGS.replace('logs AS', 'newest AS', 1)}, logs AS (SELECT * FROM newest WHERE NOT gone), {_PAIRS}"  # of messages of one time the greatest values hold
+_OUT = ("sender", "owner", "recipient", "from_address", "to_address", "tick_lower", "tick_upper", "tick", "token_id", "liquidity_delta_raw", "amount0_raw", "amount1_raw", "sqrt_price_x96", "active_liquidity_raw")
+
+
+def _decoded(frame: str, kind: str, table_: str, at: str, cells: dict[str, str]) -> str:
+    """Rows of one kind as they should come out: the columns of the table, text for integers of any size."""
+    text = lambda c: f"({cells[c]})::VARCHAR AS {c}" if c in cells and c in _OUT[8:] else f"{cells[c]} AS {c}" if c in cells else f"NULL AS {c}"
+    where = " AND ".join(f"{c} IS NOT NULL" for c in cells.values())
+    return f"SELECT {at}, '{frame}' AS frame, '{kind}' AS event_type, {', '.join(map(text, _OUT))} FROM {table_} AND {where}"
+
+
+_own = lambda *names: {c: c for c in names}
+_AT = {s: f"{s}_block_number AS block_number, {s}_hash AS transaction_hash, {s}_transaction_index AS transaction_index, {s}_log_index AS log_index" for s in ("entry", "exit")}
+_IN_POOL, _IN_PAIRS = "logs WHERE kind = '{}'", "pp WHERE regexp_full_match(token_id, '[0-9]+')"
+_AMOUNTS = {s: {"amount0_raw": f"{s}_amount0_raw", "amount1_raw": f"{s}_amount1_raw", "token_id": "token_id::HUGEINT"} for s in ("entry", "exit")}
+_PLACE = "block_number, transaction_hash, transaction_index, log_index"
+_NINE = [
+    _decoded("pool", "Initialize", _IN_POOL.format("initialize"), _PLACE, _own("sqrt_price_x96", "tick")),
+    _decoded("pool", "Mint", _IN_POOL.format("mint"), _PLACE, _own("sender", "owner", "tick_lower", "tick_upper", "amount0_raw", "amount1_raw") | {"liquidity_delta_raw": "abs(liquidity_delta_raw)"}),
+    _decoded("pool", "Burn", _IN_POOL.format("burn"), _PLACE, _own("owner", "tick_lower", "tick_upper", "amount0_raw", "amount1_raw") | {"liquidity_delta_raw": "-abs(liquidity_delta_raw)"}),
+    _decoded("pool", "Swap", _IN_POOL.format("swap"), _PLACE, _own("sender", "recipient", "amount0_raw", "amount1_raw", "sqrt_price_x96", "active_liquidity_raw", "tick")),
+    _decoded("pool", "Collect", _IN_POOL.format("collect"), _PLACE, _own("owner", "recipient", "tick_lower", "tick_upper", "amount0_raw", "amount1_raw")),
+    _decoded("manager", "IncreaseLiquidity", _IN_PAIRS, _AT["entry"], _AMOUNTS["entry"] | {"liquidity_delta_raw": "liquidity_raw"}),
+    _decoded("manager", "DecreaseLiquidity", _IN_PAIRS, _AT["exit"], _AMOUNTS["exit"] | {"liquidity_delta_raw": "-liquidity_raw"}),
+    _decoded("manager", "Collect", _IN_PAIRS, _AT["exit"], _AMOUNTS["exit"] | {"recipient": "wallet"}),
+    _decoded("manager", "Transfer", _IN_PAIRS, _AT["entry"], {"from_address": f"'{ZERO}'", "to_address": "wallet", "token_id": "token_id::HUGEINT"}),
+]
+_FEES = _BASE + """, q AS (SELECT * FROM pp WHERE entry_key < exit_key),
+hits AS (SELECT q.operation_id, (c.block_number = q.exit_block_number AND c.transaction_index = q.exit_transaction_index) AS at_exit, c.k AS k, coalesce(c.amount0_raw, 0) AS a0, coalesce(c.amount1_raw, 0) AS a1
+  FROM q LEFT JOIN logs c ON c.kind = 'collect' AND c.address = q.pool AND c.owner = q.manager AND c.tick_lower = q.tick_lower AND c.tick_upper = q.tick_upper AND ((c.k > q.entry_key AND (c.block_number, c.transaction_index) < (q.exit_block_number, q.exit_transaction_index))
+    OR (c.block_number = q.exit_block_number AND c.transaction_index = q.exit_transaction_index AND c.log_index > q.exit_log_index AND c.k > q.exit_key))),
+sums AS (SELECT operation_id, count(k) FILTER (WHERE NOT at_exit) AS interim_count, count(k) FILTER (WHERE at_exit) AS exit_count, coalesce(sum(a0) FILTER (WHERE NOT at_exit), 0) AS i0, coalesce(sum(a1) FILTER (WHERE NOT at_exit), 0) AS i1, coalesce(sum(a0) FILTER (WHERE at_exit), 0) AS e0, coalesce(sum(a1) FILTER (WHERE at_exit), 0) AS e1 FROM hits GROUP BY 1),
+cover AS (SELECT q.*, sums.* EXCLUDE (operation_id), e0 >= coalesce(exit_amount0_raw, 0) AND e1 >= coalesce(exit_amount1_raw, 0) AS covers FROM q JOIN sums USING (operation_id)),
+fees AS (SELECT *, i0 + CASE WHEN covers THEN e0 - coalesce(exit_amount0_raw, 0) ELSE 0 END AS fee0, i1 + CASE WHEN covers THEN e1 - coalesce(exit_amount1_raw, 0) ELSE 0 END AS fee1,
+  NOT EXISTS (SELECT 1 FROM q b WHERE b.pool = cover.pool AND b.manager = cover.manager AND b.tick_lower = cover.tick_lower AND b.tick_upper = cover.tick_upper AND b.operation_id <> cover.operation_id AND b.entry_key < cover.exit_key AND cover.entry_key < b.exit_key) AS included FROM cover)"""
+_MARKET = """, prices AS (SELECT *, (sqrt_price_x96::DOUBLE / 79228162514264337593543950336.0::DOUBLE) * (sqrt_price_x96::DOUBLE / 79228162514264337593543950336.0::DOUBLE) * 1e12::DOUBLE AS price FROM logs WHERE kind IN ('swap', 'initialize') AND sqrt_price_x96 > 0 AND sec IS NOT NULL),
+market AS (SELECT sec, arg_max(price, (k, price)) AS outside FROM prices WHERE kind = 'swap' GROUP BY 1)"""
+
+
+def _asof_prices(source: str) -> str:
+    return f""", pe AS (SELECT t.*, m.outside AS entry_price FROM {source} t ASOF LEFT JOIN market m ON t.entry_sec > m.sec), priced AS (SELECT pe.*, m.outside AS exit_price FROM pe ASOF LEFT JOIN market m ON pe.exit_sec > m.sec)"""
+
+
+def _values(fees: tuple[str, str]) -> str:
+    d0, d1, w0, w1 = "entry_amount0_raw::DOUBLE / 1e18", "entry_amount1_raw::DOUBLE / 1e6", "exit_amount0_raw::DOUBLE / 1e18", "exit_amount1_raw::DOUBLE / 1e6"
+    return f", v AS (SELECT *, {d0} AS d0, {d1} AS d1, {w0} AS w0, {w1} AS w1, {fees[0]}::DOUBLE / 1e18 AS f0, {fees[1]}::DOUBLE / 1e6 AS f1, d0 * entry_price + d1 AS initial, w0 * exit_price + w1 AS principal, f0 * exit_price + f1 AS fee, d0 * exit_price + d1 AS hold, principal + fee AS lp FROM priced)"
+
+
+_B = ("low", "high", "liquidity")
+_CURVE = """, span AS (SELECT (min(block_timestamp)::DATE - DATE '1970-01-01') - 1 AS a, (max(block_timestamp)::DATE - DATE '1970-01-01') + 2 AS z FROM pool_events), cal AS (SELECT unnest(generate_series(a, z)) AS n FROM span),
+rates AS (SELECT date - DATE '1970-01-01' AS n, max(sofr_percent) AS percent FROM portfolio_daily WHERE date IS NOT NULL GROUP BY 1),
+filled AS (SELECT cal.n, coalesce(last_value(percent IGNORE NULLS) OVER (ORDER BY cal.n), first_value(percent IGNORE NULLS) OVER (ORDER BY cal.n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS percent FROM cal LEFT JOIN rates ON rates.n = cal.n),
+curve AS (SELECT n, percent, ln(1 + percent / 100 / 360) AS log_rate, coalesce(sum(ln(1 + percent / 100 / 360)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM filled)"""
+_WALK = """, w0 AS (SELECT address AS pool, k, block_number, sec, price, CASE WHEN kind = 'swap' THEN lag(price) OVER (PARTITION BY address ORDER BY k) END AS before FROM prices WHERE k IS NOT NULL),
+w1 AS (SELECT w0.*, coalesce(m.outside, before, price) AS outside FROM w0 ASOF LEFT JOIN market m ON w0.sec > m.sec),
+walk AS (SELECT w1.*, start + log_rate * (sec % 86400) / 86400 AS growth FROM w1 LEFT JOIN curve ON n = sec // 86400)"""
+_RISK = _BASE + _MARKET + _asof_prices("pp") + _values(("0", "0")) + """, risk AS (SELECT operation_id, pool, entry_key, exit_key, entry_sec, exit_sec, pow(1.0001::DOUBLE, tick_lower) * 1e12::DOUBLE AS low, pow(1.0001::DOUBLE, tick_upper) * 1e12::DOUBLE AS high, liquidity_raw::DOUBLE * 1e-12::DOUBLE AS liquidity, d0, d1, w0, w1, entry_price, exit_price, initial, principal, hold
+  FROM v WHERE entry_block_number < exit_block_number AND entry_sec < exit_sec AND liquidity_raw > 0 AND tick_lower < tick_upper AND pool IS NOT NULL AND initial > 0 AND hold > 0 AND principal IS NOT NULL)""" + _CURVE + _WALK
+
+
+def _life_sql(lives: str, key: str, until: str) -> str:
+    """Costs of each life by meeting it with every price in it."""
+    on = f"s.pool = v.pool AND s.k > v.entry_key AND s.k < v.{until}"
+    by = ", ".join(f"v.{c.strip()}" for c in key.split(","))
+    return f""", a0 AS (SELECT v.*, w.price AS p0 FROM {lives} v ASOF LEFT JOIN walk w ON v.pool = w.pool AND v.entry_key > w.k), a1 AS (SELECT v.*, w.price AS p1 FROM a0 v ASOF LEFT JOIN walk w ON v.pool = w.pool AND v.{until} > w.k),
+swapped AS (SELECT {by}, count(*) AS swaps, sum({_step('s.before', 's.price', 's.outside', *_B)}) AS lvr, sum({_convex('s.before', 's.price', *_B)}) AS event, sum({_convex('s.before', 's.price', *_B)} * exp(-growth)) AS event_discounted FROM {lives} v JOIN walk s ON {on} GROUP BY {by}),
+scope AS (SELECT {by}, any_value(v.p0) AS p0, any_value(low) AS low, any_value(high) AS high, any_value(liquidity) AS liquidity, s.block_number, arg_max(s.price, s.k) AS fin, max(s.k) AS k, any_value(s.growth) AS growth FROM a0 v JOIN walk s ON {on} GROUP BY {by}, s.block_number),
+mesh AS (SELECT *, coalesce(lag(fin) OVER (PARTITION BY {key} ORDER BY k), p0) AS prev FROM scope),
+blocked AS (SELECT {key}, sum({_convex('prev', 'fin', *_B)}) AS block, sum({_convex('prev', 'fin', *_B)} * exp(-growth)) AS block_discounted FROM mesh GROUP BY {key}),
+lived AS (SELECT a1.*, coalesce(swaps, 0) AS swaps, coalesce(lvr, 0) AS lvr, coalesce(event, 0) AS event, coalesce(event_discounted, 0) AS event_discounted, coalesce(block, 0) AS block, coalesce(block_discounted, 0) AS block_discounted FROM a1 LEFT JOIN swapped USING ({key}) LEFT JOIN blocked USING ({key}) WHERE p0 IS NOT NULL)"""
+
+
+def _grown(sec: str) -> str:
+    return f"exp((SELECT start + log_rate * ({sec} % 86400) / 86400 FROM curve WHERE n = {sec} // 86400))"
+
+
+_LIFE = _RISK + _life_sql("risk", "operation_id", "exit_key") + f""", total AS (SELECT *, {_grown('exit_sec')} * block_discounted AS pl0, {_grown('exit_sec')} * event_discounted AS ev0 FROM lived),
+held AS (SELECT *, pl0 - block AS op0, ev0 - event AS eo0, op0 < 0 AND abs(op0) <= 1e-10 * greatest(block, 1) AS small, eo0 < 0 AND abs(eo0) <= 1e-10 * greatest(event, 1) AS small_event, CASE WHEN small THEN 0 ELSE op0 END AS opportunity, CASE WHEN small THEN block ELSE pl0 END AS loss, CASE WHEN small_event THEN 0 ELSE eo0 END AS event_opportunity, CASE WHEN small_event THEN event ELSE ev0 END AS event_loss FROM total)"""
+_IL = "(hold - principal)"
+_MEASURES = {
+    "theoretical_entry_weth": (_x("p0", *_B), "liquidity"), "theoretical_entry_usdt": (_y("p0", *_B), "liquidity"), "theoretical_exit_weth": (_x("p1", *_B), "liquidity"), "theoretical_exit_usdt": (_y("p1", *_B), "liquidity"),
+    "entry_inventory_reconciliation_usdt": (f"({_x('p0', *_B)} - d0) * entry_price + {_y('p0', *_B)} - d1", "liquidity"), "exit_inventory_reconciliation_usdt": (f"({_x('p1', *_B)} - w0) * exit_price + {_y('p1', *_B)} - w1", "liquidity"),
+    "il_signed_vs_hodl": (f"-{_IL} / hold", ""), "il_loss_usdt": (_IL, "initial"), "il_loss_on_initial": (f"{_IL} / initial", ""), "lvr_rebalancing_usdt": ("lvr", "liquidity"), "lvr_rebalancing_on_initial": ("lvr", "ratio"),
+    "pl_convexity_cost_usdt": ("block", "liquidity"), "pl_opportunity_cost_usdt": ("opportunity", "liquidity"), "pl_loss_usdt": ("loss", "liquidity"), "pl_signed_usdt": ("-loss", "liquidity"), "pl_loss_on_initial": ("loss", "ratio"),
+    "pl_swap_event_convexity_cost_usdt": ("event", "liquidity"), "pl_swap_event_opportunity_cost_usdt": ("event_opportunity", "liquidity"), "pl_swap_event_loss_usdt": ("event_loss", "liquidity"), "pl_swap_event_loss_on_initial": ("event_loss", "ratio"),
+    "pl_signed_on_initial": ("-loss", "ratio"), "pl_convexity_cost_on_initial": ("block", "ratio"), "pl_opportunity_cost_on_initial": ("opportunity", "ratio"), "pl_swap_event_convexity_cost_on_initial": ("event", "ratio"), "pl_swap_event_opportunity_cost_on_initial": ("event_opportunity", "ratio"),
+    "pool_price_entry_usdt": ("p0", ""), "pool_price_exit_usdt": ("p1", ""),
+}
+_DAYS = _RISK + """, dd AS (SELECT risk.*, unnest(generate_series(entry_sec // 86400, (exit_sec - 1) // 86400)) AS day FROM risk), d1 AS (SELECT *, least(exit_sec, (day + 1) * 86400) AS snapshot FROM dd),
+marks AS (SELECT pool, sec, max(k) AS last_k FROM walk GROUP BY 1, 2), d2 AS (SELECT d1.*, m.last_k FROM d1 ASOF LEFT JOIN marks m ON d1.pool = m.pool AND d1.snapshot > m.sec),
+d3 AS (SELECT d2.*, m.outside FROM d2 ASOF LEFT JOIN market m ON d2.snapshot > m.sec), days AS (SELECT *, snapshot = exit_sec AS is_terminal, CASE WHEN snapshot = exit_sec THEN exit_key ELSE greatest(last_k + 1, entry_key) END AS until FROM d3)""" + _life_sql("days", "operation_id, day", "until") + f""",
+panel0 AS (SELECT operation_id, day, is_terminal, swaps, outside AS external_price_usdt, initial AS initial_capital_usdt, liquidity, CASE WHEN is_terminal THEN w0 * outside + w1 ELSE {_x('coalesce(p1, p0)', *_B)} * outside + {_y('coalesce(p1, p0)', *_B)} END AS lp_value_usdt, d0 * outside + d1 AS hodl_value_usdt, hodl_value_usdt - lp_value_usdt AS il_loss_usdt, lvr AS lvr_rebalancing_usdt, block AS pl_convexity_cost_usdt,
+  {_grown('snapshot')} * block_discounted AS pl_loss_usdt, event AS pl_swap_event_convexity_cost_usdt, {_grown('snapshot')} * event_discounted AS pl_swap_event_loss_usdt FROM lived),
+panel AS (SELECT *, pl_loss_usdt - pl_convexity_cost_usdt AS pl_opportunity_cost_usdt, pl_swap_event_loss_usdt - pl_swap_event_convexity_cost_usdt AS pl_swap_event_opportunity_cost_usdt FROM panel0)"""
+SQL = {
+    "decoded_events": _BASE + " " + " UNION ALL ".join(_NINE),
+    "pair_fees": _FEES + " SELECT operation_id, interim_count, exit_count, covers AS exit_covers_principal, fee0::VARCHAR AS realized_fee0_raw, fee1::VARCHAR AS realized_fee1_raw, included FROM fees",
+    "position_returns": _FEES + _MARKET + _asof_prices("fees") + _values(("fee0", "fee1")) + """, r AS (SELECT *, included AND initial > 0 AND hold > 0 AS good, (lp - initial) / nullif(initial, 0) AS total, holding_seconds / 86400 AS days, CASE WHEN total > -1 AND days > 0 THEN ln(1 + total) / days END AS daily FROM v)
+SELECT operation_id, included, CASE WHEN good THEN round(initial, 4) END AS initial_wealth_usdt, CASE WHEN good THEN round(principal, 4) END AS principal_exit_value_usdt, CASE WHEN good THEN round(fee, 4) END AS realized_fee_value_usdt, CASE WHEN good THEN round(lp, 4) END AS lp_exit_value_realized_fee_usdt, CASE WHEN good THEN round(hold, 4) END AS hodl_exit_value_usdt,
+  CASE WHEN good THEN round(total, 9) END AS lp_total_return_realized_fee, CASE WHEN good THEN round((lp - hold) / hold, 9) END AS lp_excess_return_vs_hodl_realized_fee, CASE WHEN good THEN round(fee / initial, 9) END AS fee_return_on_initial_wealth, CASE WHEN good THEN round(daily, 9) END AS realized_daily_log_return, CASE WHEN good AND days > 0 THEN round(total / days, 9) END AS realized_daily_return_simple, round(days, 9) AS holding_days,
+  CASE WHEN good THEN daily > 0 END AS daily_growth_above_0 FROM r""",
+    "closed_position_returns": _FEES + _MARKET + ", whole AS (SELECT token_id, min(entry_sec) AS entry_sec, max(exit_sec) AS exit_sec, sum(entry_amount0_raw) AS entry_amount0_raw, sum(entry_amount1_raw) AS entry_amount1_raw, sum(exit_amount0_raw) AS exit_amount0_raw, sum(exit_amount1_raw) AS exit_amount1_raw, sum(fee0) AS fee0, sum(fee1) AS fee1 FROM fees WHERE included AND told AND token_id IS NOT NULL GROUP BY 1)" + _asof_prices("whole") + _values(("fee0", "fee1")) + """
+SELECT token_id, round(d0, 6) AS deposit_token0, round(d1, 6) AS deposit_token1, round(w0, 6) AS withdraw_principal_token0, round(w1, 6) AS withdraw_principal_token1, round(f0, 6) AS fee_token0, round(f1, 6) AS fee_token1, round(initial, 4) AS initial_wealth_usdt, round(principal, 4) AS principal_exit_value_usdt, round(fee, 4) AS fee_exit_value_usdt, round(lp, 4) AS lp_exit_value_usdt, round(hold, 4) AS hodl_exit_value_usdt,
+  CASE WHEN initial > 0 AND hold > 0 THEN round((lp - initial) / initial, 9) END AS lp_total_return_close_marked, CASE WHEN initial > 0 AND hold > 0 THEN round((lp - hold) / hold, 9) END AS lp_excess_return_vs_hodl_close, CASE WHEN initial > 0 AND hold > 0 THEN round(fee / initial, 9) END AS fee_return_on_initial_wealth, CASE WHEN initial > 0 AND hold > 0 THEN round((principal - hold) / hold, 9) END AS il_return_vs_hodl_fee_exclusive FROM v""",
+    "position_risk": _LIFE + " SELECT operation_id, swaps, round(initial, 4) AS initial_wealth_usdt, " + ", ".join(f"round(({c}) / liquidity, 6) * liquidity / initial AS {n}" if scale == "ratio" else f"round(({c}) / {scale}, {6 if scale == 'liquidity' else 7}) * {scale} AS {n}" if scale else f"round({c}, 7) AS {n}" for n, (c, scale) in _MEASURES.items()) + " FROM held",
+    "position_day_panel": _DAYS + ", sized AS (SELECT *, CASE WHEN is_terminal THEN initial_capital_usdt ELSE liquidity END AS own FROM panel) SELECT operation_id, day, is_terminal, swaps, round(external_price_usdt, 6) AS external_price_usdt, round(initial_capital_usdt, 4) AS initial_capital_usdt, round(lp_value_usdt / own, 6) * own AS lp_value_usdt, round(hodl_value_usdt / initial_capital_usdt, 6) * initial_capital_usdt AS hodl_value_usdt, round(il_loss_usdt / own, 6) * own AS il_loss_usdt, " + ", ".join(f"round({c} / liquidity, 6) * liquidity AS {c}" for c in DAILY[1:]) + " FROM sized",
+    "portfolio_panel": _DAYS + ", g AS (SELECT day, count(*) AS position_day_count, sum(initial_capital_usdt) AS c, sum(liquidity) AS q, " + ", ".join(f"sum({x}) AS {x}" for x in DAILY) + " FROM panel GROUP BY 1), h AS (SELECT g.*, round(q / c, 3) AS weight, m.outside FROM g ASOF LEFT JOIN market m ON (g.day + 1) * 86400 > m.sec) SELECT day, position_day_count, round(c, 2) AS initial_capital_usdt, " + ", ".join(f"round({x} / q, 6) AS {x.replace('_usdt', '_per_liquidity')}" for x in DAILY) + ", 100 * round(il_loss_usdt / q, 6) * weight AS capital_weighted_il_loss_pct, 100 * round(lvr_rebalancing_usdt / q, 6) * weight AS capital_weighted_lvr_loss_pct, " + ", ".join(f"100 * round({x} / q, 6) * weight AS capital_weighted_{x.replace('_usdt', '_pct')}" for x in DAILY[2:]) + ", round(outside, 6) AS ethusdt_close, round(percent, 6) AS sofr_percent FROM h LEFT JOIN curve ON n = day",
+}

@@ -204,12 +204,13 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
     """Combine the sketches of equal e, as from separate partitions, days or files.
 
     The merge is a tree of two levels, so no task takes more than a 64th of a group's sketches first.
+    Sketches meet in an order of their own content, so the outcome does not depend on arrival.
     """
     parts = sketches if "part" in sketches.columns else sketches.withColumn("part", F.abs(F.xxhash64("sketch") % 1_000_000).cast("int"))
     schema = "e string, part int, sketch binary"
     near = parts.select("e", (F.col("part") % FAN_IN).alias("part"), "sketch")
-    near = near.repartition("e", "part").sortWithinPartitions("e", "part").mapInArrow(_merger, schema)
-    whole = near.select("e", F.lit(0).alias("part"), "sketch").repartition("e").sortWithinPartitions("e").mapInArrow(_merger, schema)
+    near = near.repartition("e", "part").sortWithinPartitions("e", "part", F.xxhash64("sketch")).mapInArrow(_merger, schema)
+    whole = near.select("e", F.lit(0).alias("part"), "sketch").repartition("e").sortWithinPartitions("e", F.xxhash64("sketch")).mapInArrow(_merger, schema)
     return whole.select("e", "sketch")
 
 

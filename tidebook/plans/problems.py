@@ -12,7 +12,7 @@ from tidebook.operators.intervals import periods_and_gaps
 from tidebook.operators.quantiles import merge_sketches, quantile_sketches, sketch_quantiles
 from tidebook.operators.regular_grid import regular_grid
 from tidebook.operators.rolling import rolling_totals
-from tidebook.util import entity_columns, hex_text, latest, table
+from tidebook.util import entity_columns, entity_key, hex_text, latest, table
 
 LOG_KEY = ["block_number", "transaction_hash", "log_index"]
 WINDOWS = [7, 30]
@@ -118,6 +118,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(case).select("metric", "pool_address", "entry_year")
 
 
+def p4_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups far larger than a buffer, combined from monthly sketches: whether every percentile keeps the bound its sketch states, and the bound 1 %."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.date_trunc("month", "l_shipdate").alias("month"), F.col("l_extendedprice").alias("v"))
+    group = ["l_returnflag", "l_linestatus"]
+    monthly = quantile_sketches(rows, [*group, "month"], "v")
+    whole = monthly.select(*entity_columns("e", [*group, "month"], rows.schema), "sketch").select(entity_key(group).alias("e"), "sketch")
+    found = sketch_quantiles(merge_sketches(whole), PROBABILITIES).select(*entity_columns("e", group, rows.schema), F.col("n").alias("n"), "rank_error", "quantiles")
+    ranks = [F.count_if(F.col("v") < F.col("quantiles")[i]).alias(f"below{i}") for i in range(len(PROBABILITIES))] + [F.count_if(F.col("v") <= F.col("quantiles")[i]).alias(f"upto{i}") for i in range(len(PROBABILITIES))]
+    told = rows.join(found, group).groupBy(*group, "n", "rank_error").agg(*ranks)
+    kept = F.lit(True)
+    for i, p in enumerate(PROBABILITIES):
+        off = F.col("rank_error") * F.col("n") + 1
+        kept &= (F.col(f"below{i}") <= p * (F.col("n") - 1) + off) & (F.col(f"upto{i}") >= p * (F.col("n") - 1) - off)
+    return told.select(*group, "n", kept.alias("within_stated_bound"), (F.col("rank_error") <= 0.01).alias("stated_bound_within_1_percent"))
+
+
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regular_grid(table(spark, sf_dir, "oracle"), table(spark, sf_dir, "oracle_feeds"), "feed_id", "timestamp", "price", "volume", "ingested_at", "step_seconds")
 
@@ -126,7 +142,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).filter("is_missing").select("feed_id", "slot_epoch")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_log_state, p2_found, p2_rolling, p3_found, p4_found, p4_percentiles, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_log_state, p2_found, p2_rolling, p3_found, p4_found, p4_percentiles, p4_large_groups, p5_found, p5_grid)}
 
 _LOGS = r"""
 WITH held AS (
@@ -192,6 +208,7 @@ WITH held AS (
 long AS (SELECT 'lp_total_return_realized_fee' AS metric, pool_address, entry_year, r AS v FROM held UNION ALL SELECT 'initial_wealth_usdt', pool_address, entry_year, w FROM held),
 q AS (SELECT metric, pool_address, entry_year, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.9) AS p FROM long WHERE v IS NOT NULL AND isfinite(v) GROUP BY ALL HAVING count(*) >= 20)
 SELECT metric, pool_address, entry_year FROM q WHERE CASE WHEN metric = 'initial_wealth_usdt' THEN p > 10 * m ELSE m < 0 END""",
+    "p4_large_groups": "SELECT l_returnflag, l_linestatus, count(*) AS n, true AS within_stated_bound, true AS stated_bound_within_1_percent FROM lineitem WHERE isfinite(l_extendedprice) GROUP BY 1, 2",
     "p5_found": """
 WITH slots AS (
   SELECT o.feed_id, step_seconds::BIGINT AS step, epoch_us(timestamp) // 1000000 // step_seconds AS slot, price IS NOT NULL AND isfinite(price) AND price > 0 AS usable

@@ -23,3 +23,15 @@ def test_a_source_that_can_give_nothing_leaves_the_others_their_mix(spark, empty
     assert {r["source"] for r in m.uses.select("source").distinct().collect()} == {"a", "b"}
     none = mix(sizes, targets.filter("repeats <> 1"), *ARGS)
     assert none.uses.count() == 0 and none.report.first()["mix_tokens"] == 0
+
+
+def test_a_mix_as_large_as_the_corpus_tells_its_shortfall(spark):
+    """a is scarce (20 tokens, used twice at most, of 60 wanted), ghost has nothing, b gives its own budget and no more."""
+    sizes = spark.createDataFrame([(i, "a", 1) for i in range(20)] + [(100 + i, "b", 1) for i in range(180)], "doc int, source string, tokens int")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.6, 1), ("ghost", 0.1, 3)], "source string, share double, repeats int")
+    out = mix(sizes, targets, "doc", "source", "tokens", "source", "share", "repeats", total="corpus")
+    got = {r["source"]: r for r in out.report.collect()}
+    assert {s: r["mix_tokens"] for s, r in got.items()} == {"a": 200, "b": 200, "ghost": 200}
+    assert got["a"]["reached_tokens"] == 40 and got["ghost"]["reached_tokens"] == 0 and abs(got["b"]["reached_tokens"] - 120) <= 1
+    assert abs(got["a"]["reached_share"] - 40 / 160) < 0.01 and {s for s, r in got.items() if not r["reachable"]} == {"a", "ghost"}
+    assert {r["uses"] for r in out.uses.filter("source = 'a'").collect()} == {2}

@@ -42,13 +42,15 @@ def hash_histogram(rows: DataFrame, level: int) -> DataFrame:
     return rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, tokens: str, target_source: str, share: str, repeats: str, total: int | None = None) -> Mix:
+def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, tokens: str, target_source: str, share: str, repeats: str, total: int | str | None = None) -> Mix:
     """Choose how often each document is used so that sources have their target shares of the tokens.
 
     sizes: ``key`` (identifies the document, and is hashed), ``source``, ``tokens``. targets:
     ``target_source``, ``share``, ``repeats`` (most uses of a document; null counts as 1).
     total: tokens of the mix; by default the most, up to the size of the corpus, at which every
-    source that can give anything reaches its share.
+    source that can give anything reaches its share. With "corpus" every source has a budget of its
+    share of the whole corpus, clipped at what its repeats give: nothing is rescaled, a scarce
+    source gives all it has, and ``reached_tokens`` falls short of its share of ``mix_tokens``.
 
     The report has for each target source: source (as spelt in targets), target_share, max_repeats, documents,
     source_tokens, corpus_tokens, reachable (whether it could reach its share of a mix as large as
@@ -80,7 +82,9 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, tokens: str
     # what sources that can give nothing leave open goes to the others in proportion
     giving = [p for p in plan.values() if p["share"] > 0 and p["held"] * p["repeats"] > 0]
     scale = sum(p["share"] for p in plan.values()) / sum(p["share"] for p in giving) if len(giving) < sum(p["share"] > 0 for p in plan.values()) and giving else 1.0
-    if total is None:
+    if total == "corpus":
+        total, scale = corpus, 1.0
+    elif total is None:
         total = min([corpus, *(int(p["held"] * p["repeats"] / (p["share"] * scale)) for p in giving)]) if giving else 0
     for p in plan.values():
         budget = min(p["share"] * scale * total, p["held"] * p["repeats"])

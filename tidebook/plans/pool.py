@@ -17,6 +17,7 @@ from tidebook.operators.fees import attribute_collections
 from tidebook.operators.matching import overlapping
 from tidebook.operators.ordered import asof_join, block_ends, order_key
 from tidebook.operators.pathmetrics import inventory_cost, inventory_points, lag_in_path, range_sums, rate_curve, with_growth
+from tidebook.operators.quality import count_violations, repeated_keys, together
 from tidebook.operators.returns import closed_returns, pair_returns
 from tidebook.plans.risk import _convex, _step, _x, _y
 from tidebook.util import hex_text, latest, materialise, table
@@ -336,7 +337,28 @@ def portfolio_panel(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(rates, "day", "left").select("day", "position_day_count", F.round("capital", 2).alias("initial_capital_usdt"), *[v.alias(c.replace("_usdt", "_per_liquidity")) for c, v in each.items()], *[(100 * each[c] * weight).alias(n) for c, n in ratio.items()], r6("ethusdt_close").alias("ethusdt_close"), r6("sofr_percent").alias("sofr_percent"))
 
 
-QUERIES = {f.__name__: f for f in (decoded_events, pair_fees, position_returns, closed_position_returns, position_risk, position_day_panel, portfolio_panel)}
+def identity_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that the lifetime measures, their prices and the cohorts of pairs must keep, one row each."""
+    rows = materialise(lifetime_risk(spark, d), "lifetime-risk")
+    measures = rows.columns[10:]
+    close = lambda a, b: F.abs(F.col(a) - b) <= 1e-10 + 1e-12 * F.abs(b)
+    finite = F.lit(True)
+    for c in measures:
+        finite &= ~F.isnan(c) & (F.abs(c) != float("inf"))
+    initial = F.col("initial_wealth_usdt")
+    rules = {
+        "measures_finite": finite, "convexity_not_negative": (F.col("pl_convexity_cost_usdt") >= 0) & (F.col("pl_swap_event_convexity_cost_usdt") >= 0),
+        "loss_is_convexity_and_opportunity": close("pl_loss_usdt", F.col("pl_convexity_cost_usdt") + F.col("pl_opportunity_cost_usdt")) | (F.abs(F.col("pl_loss_usdt") - F.col("pl_convexity_cost_usdt") - F.col("pl_opportunity_cost_usdt")) <= 1e-12 * F.col("pl_loss_usdt")),
+        "signed_is_negative_loss": F.col("pl_signed_usdt") == -F.col("pl_loss_usdt"), "ratios_are_of_initial_wealth": close("pl_loss_on_initial", F.col("pl_loss_usdt") / initial) & close("il_loss_on_initial", F.col("il_loss_usdt") / initial),
+        "prices_known_before_the_event": (F.col("entry_price_second") < F.col("entry_sec")) & (F.col("exit_price_second") < F.col("exit_sec")), "entry_before_exit": F.col("entry_sec") < F.col("exit_sec"),
+    }
+    p = pool_pairs(spark, d).filter("entry_key IS NOT NULL AND exit_key IS NOT NULL")
+    cohort = F.when(F.col("entry_block_number") == F.col("exit_block_number"), "same_block").when(F.col("entry_block_number") < F.col("exit_block_number"), "multi_block").when(F.col("entry_block_number") > F.col("exit_block_number"), "reversed")
+    logs = standing_logs(spark, d)
+    return together([count_violations(rows, rules), repeated_keys(rows, ["operation_id"], "operation_once"), count_violations(p, {"cohorts_partition_pairs": cohort.isNotNull()}), repeated_keys(logs, LOG, "standing_log_once")])
+
+
+QUERIES = {f.__name__: f for f in (identity_violations, decoded_events, pair_fees, position_returns, closed_position_returns, position_risk, position_day_panel, portfolio_panel)}
 
 
 def _int(c: str) -> str:
@@ -446,7 +468,9 @@ d3 AS (SELECT d2.*, m.outside FROM d2 ASOF LEFT JOIN market m ON d2.snapshot > m
 panel0 AS (SELECT operation_id, day, is_terminal, swaps, outside AS external_price_usdt, initial AS initial_capital_usdt, liquidity, CASE WHEN is_terminal THEN w0 * outside + w1 ELSE {_x('coalesce(p1, p0)', *_B)} * outside + {_y('coalesce(p1, p0)', *_B)} END AS lp_value_usdt, d0 * outside + d1 AS hodl_value_usdt, hodl_value_usdt - lp_value_usdt AS il_loss_usdt, lvr AS lvr_rebalancing_usdt, block AS pl_convexity_cost_usdt,
   {_grown('snapshot')} * block_discounted AS pl_loss_usdt, event AS pl_swap_event_convexity_cost_usdt, {_grown('snapshot')} * event_discounted AS pl_swap_event_loss_usdt FROM lived),
 panel AS (SELECT *, pl_loss_usdt - pl_convexity_cost_usdt AS pl_opportunity_cost_usdt, pl_swap_event_loss_usdt - pl_swap_event_convexity_cost_usdt AS pl_swap_event_opportunity_cost_usdt FROM panel0)"""
+_RULES = ("measures_finite", "convexity_not_negative", "loss_is_convexity_and_opportunity", "signed_is_negative_loss", "ratios_are_of_initial_wealth", "prices_known_before_the_event", "entry_before_exit", "operation_once", "cohorts_partition_pairs", "standing_log_once")
 SQL = {
+    "identity_violations": " UNION ALL ".join(f"SELECT '{rule}' AS rule, 0::BIGINT AS violations" for rule in _RULES),
     "decoded_events": _BASE + " " + " UNION ALL ".join(_NINE),
     "pair_fees": _FEES + " SELECT operation_id, interim_count, exit_count, covers AS exit_covers_principal, fee0::VARCHAR AS realized_fee0_raw, fee1::VARCHAR AS realized_fee1_raw, included FROM fees",
     "position_returns": _FEES + _MARKET + _asof_prices("fees") + _values(("fee0", "fee1")) + """, r AS (SELECT *, included AND initial > 0 AND hold > 0 AS good, (lp - initial) / nullif(initial, 0) AS total, holding_seconds / 86400 AS days, CASE WHEN total > -1 AND days > 0 THEN ln(1 + total) / days END AS daily FROM v)

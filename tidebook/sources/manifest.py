@@ -10,7 +10,8 @@ import pyarrow.parquet as pq
 
 from tidebook.sources.files import sha256_file, write_json
 
-FIELDS = {"path": str, "row_count": int, "size_bytes": int, "sha256": str}
+#: Version and fields of the file format.
+VERSION, FIELDS = 1, {"path": str, "row_count": int, "size_bytes": int, "sha256": str}
 
 
 class ManifestError(ValueError):
@@ -31,7 +32,7 @@ def totals(artifacts: list[dict]) -> dict:
 
 def validated(manifest: dict) -> dict:
     """The manifest, if its version, fields, paths and totals are right."""
-    if manifest.get("schema_version") != 1 or not isinstance(manifest.get("artifacts"), list) or not manifest.get("dataset_id"):
+    if manifest.get("schema_version") != VERSION or not isinstance(manifest.get("artifacts"), list) or not manifest.get("dataset_id"):
         raise ManifestError("not a manifest of version 1")
     for a in manifest["artifacts"]:
         if any(not isinstance(a.get(k), kind) for k, kind in FIELDS.items()) or a["size_bytes"] < 0 or a["row_count"] < 0:
@@ -51,7 +52,7 @@ def register(manifest: dict, root: Path, kind: str, files: list[Path]) -> dict:
     """Replace the artifacts of one kind and count again."""
     kept = [a for a in manifest.get("artifacts", []) if a.get("kind") != kind]
     artifacts = sorted([*kept, *(described(root, f, kind) for f in files)], key=lambda a: a["path"])
-    return validated({"schema_version": 1, "dataset_id": manifest.get("dataset_id", root.name), "artifacts": artifacts, "totals": totals(artifacts)})
+    return validated({"schema_version": VERSION, "dataset_id": manifest.get("dataset_id", root.name), "artifacts": artifacts, "totals": totals(artifacts)})
 
 
 def faults(root: Path, manifest: dict, deep: bool = True) -> list[str]:
@@ -63,11 +64,21 @@ def faults(root: Path, manifest: dict, deep: bool = True) -> list[str]:
             out.append(f"missing {a['path']}")
         elif path.stat().st_size != a["size_bytes"] or deep and sha256_file(path) != a["sha256"]:
             out.append(f"changed {a['path']}")
+        elif path.suffix == ".parquet" and pq.read_metadata(path).num_rows != a["row_count"]:
+            out.append(f"wrong row count {a['path']}")
     return out + [f"unfinished {p.relative_to(root)}" for p in sorted(root.rglob("*.partial"))]
 
 
 def copy_dataset(source: Path, target: Path, manifest: dict) -> dict:
-    """Copy what the target lacks; files that are there and whole are skipped, others are errors. Counts of both."""
+    """Copy what the target lacks; files that are there and whole are skipped, others are errors. Counts of both.
+
+    The target must be another folder, and empty or of the same data set.
+    """
+    if source.resolve() == target.resolve():
+        raise ManifestError("source and target are the same")
+    held = target / "manifest.json"
+    if held.exists() and load(held)["dataset_id"] != manifest.get("dataset_id"):
+        raise ManifestError("the target holds another data set")
     done = {"copied": 0, "skipped": 0}
     for a in validated(manifest)["artifacts"]:
         old, new = inside(source, a["path"]), inside(target, a["path"])

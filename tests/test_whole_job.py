@@ -162,3 +162,11 @@ def test_regressions_keep_every_finite_row(spark, tmp_path):
         assert got[name]["n"] == len(kept) and got[name]["slope"] == pytest.approx(slope, abs=1e-6) and got[name]["intercept"] == pytest.approx(my - slope * mx, abs=1e-6)
         assert got[name]["r_squared"] == pytest.approx(r2[name], abs=1e-6) and got[name]["rmse"] == pytest.approx(math.sqrt(rest / len(kept)), abs=1e-6)
     assert [r["metric"] for r in statistics.best_tracker(spark, str(tmp_path)).collect()] == [max(names, key=r2.get)]
+
+
+def test_formula_grid_keeps_trades_of_no_cents(spark, tmp_path):
+    values = [0.0, 30.5, 0.004, 0.0, 0.01]
+    d = events(spark, tmp_path, [(60 * i, 1, "click", v, 1) for i, v in enumerate(values)])
+    got = risk.formula_grid(spark, d).orderBy("order_key").collect()
+    assert [r["liquidity"] for r in got] == [0.0, 30.5, 0.0, 0.0, 0.01]
+    assert [r["sqrt_price"] for r in got] == [0.01, 30.5, 0.01, 0.01, 0.01]

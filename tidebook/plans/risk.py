@@ -39,7 +39,9 @@ def formula_grid(spark: SparkSession, d: str) -> DataFrame:
     p, q, low, high, liquidity = F.col("before"), F.col("price"), F.lit(20.0), F.lit(90.0), F.lit(3.0)
     x, y = inventory(q, low, high, liquidity)
     tick = (F.col("cents") % 2000 - 1000).cast("int")
-    return path(spark, d).select("order_key", r6(tick_price(tick, 1.0)).alias("tick_price"), r6(sqrt_price(F.sqrt(q) * 2.0**96, 1.0)).alias("sqrt_price"), r6(human_liquidity(F.col("cents").cast("double"), 0.01)).alias("liquidity"), r6(x).alias("amount0"), r6(y).alias("amount1"), r6(position_value(q, low, high, liquidity)).alias("position_value"), r6(rebalancing_step(p, q, F.col("outside"), low, high, liquidity)).alias("step"), r6(convexity_cost(p, q, low, high, liquidity)).alias("convexity"))
+    # a trade of no cents is no liquidity that a position may have, but its amount is told as it is
+    traded = F.when(F.col("cents") > 0, human_liquidity(F.col("cents").cast("double"), 0.01)).otherwise(F.col("cents") * F.lit(0.01))
+    return path(spark, d).select("order_key", r6(tick_price(tick, 1.0)).alias("tick_price"), r6(sqrt_price(F.sqrt(q) * 2.0**96, 1.0)).alias("sqrt_price"), r6(traded).alias("liquidity"), r6(x).alias("amount0"), r6(y).alias("amount1"), r6(position_value(q, low, high, liquidity)).alias("position_value"), r6(rebalancing_step(p, q, F.col("outside"), low, high, liquidity)).alias("step"), r6(convexity_cost(p, q, low, high, liquidity)).alias("convexity"))
 
 
 def growth_factors(spark: SparkSession, d: str) -> DataFrame:

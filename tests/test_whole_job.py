@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import pathmetrics
 from tidebook.operators.densify import gap_runs
-from tidebook.operators.ordered import exact_prior
+from tidebook.operators.ordered import exact_prior, interval_extremes
 from tidebook.plans import matching, risk, statistics, timeseries
 
 DAY0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -170,3 +170,23 @@ def test_formula_grid_keeps_trades_of_no_cents(spark, tmp_path):
     got = risk.formula_grid(spark, d).orderBy("order_key").collect()
     assert [r["liquidity"] for r in got] == [0.0, 30.5, 0.0, 0.0, 0.01]
     assert [r["sqrt_price"] for r in got] == [0.01, 30.5, 0.01, 0.01, 0.01]
+
+
+@pytest.mark.parametrize("fan", [2, 3, 256])
+def test_extremes_of_intervals_against_a_scan(spark, fan):
+    rng = random.Random(fan)
+    points = [(rng.randrange(300), float(rng.randrange(50))) for _ in range(200)] + [(None, 99.0)]
+    ranges = [(5.0, 20.0), (10.0, 45.0), (60.0, 70.0)]
+    intervals = [(i, a := rng.randrange(-5, 310), a + rng.choice([0, 1, 2, 40, 310]), *rng.choice(ranges)) for i in range(150)] + [(150, None, 5, *ranges[0])]
+    want = {}
+    for i, a, z, low, high in intervals:
+        if a is not None and (held := [v for k, v in points if k is not None and a < k < z]):
+            want[i] = (len(held), max(held), min(held), sum(low <= v <= high for v in held))
+    df = spark.createDataFrame(intervals, "i long, a long, z long, low double, high double")
+    out = interval_extremes(df, ["i"], spark.createDataFrame(points, "k long, v double"), "a", "z", "k", "v", "low", "high", 25, fan).collect()
+    assert len(out) == len(want) and {r["i"]: tuple(r)[1:] for r in out} == want
+
+
+def test_extremes_without_points(spark):
+    df = spark.createDataFrame([(1, 0, 9, 1.0, 2.0)], "i long, a long, z long, low double, high double")
+    assert interval_extremes(df, ["i"], spark.createDataFrame([], "k long, v double"), "a", "z", "k", "v", "low", "high", 25).count() == 0

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebook.util import materialise
+
 #: Bounds of the packed order key: block * 10**10 + transaction * 10**5 + log. What exceeds them takes ``block_position_key``.
 PER_BLOCK, PER_TRANSACTION = 10**10, 10**5
 
@@ -123,6 +125,63 @@ def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str,
     return spread.join(placed, "__w").filter(after & before).drop("__w")
 
 
+def interval_extremes(intervals: DataFrame, key: list[str], points: DataFrame, start: str, end: str, at: str, value: str, low: str, high: str, width: int, fan: int = 256) -> DataFrame:
+    """Of each interval with points strictly inside: their number, greatest and least value, and how many lie in [low, high].
+
+    No interval meets its points: the points are numbered, ``fan`` of them make a block, ``fan``
+    blocks one of the next level. An interval looks into two blocks of each level, so it costs two
+    lookups a level whatever its length. What lies in a range before a block is a running sum, of a row
+    for each block and distinct (low, high), so there should be few distinct ranges. Gives the key,
+    ``trades``, ``highest``, ``lowest`` and ``in_range``. Null places match nothing.
+    """
+    place = points.filter(F.col(at).isNotNull()).select(F.col(at).alias("__k"), F.col(value).alias("__v"))
+    numbered = materialise(running_sums(place, "__k", [], {"__n": F.lit(1)}, width), "numbered-points")
+    held = intervals.filter(F.col(start) < F.col(end)).select(*key, start, end, F.col(low).alias("__low"), F.col(high).alias("__high"))
+    for side, place, strict in (("a", start, False), ("b", end, True)):
+        held = asof_join(held, numbered, place, "__k", ["__n"], width, strict=strict).withColumn(f"__{side}", F.coalesce("__n", F.lit(0).cast("bigint"))).drop("__n", "__k_matched", place)
+    # numbers from 0, both ends inside
+    held = materialise(held.filter(F.col("__b") > F.col("__a")).withColumn("__b", F.col("__b") - 1), "numbered-intervals")
+    count = numbered.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
+
+    block = lambda c: F.call_function("div", F.col(c), F.lit(fan).cast("bigint"))
+    within = lambda c: F.pmod(F.col(c), F.lit(fan).cast("bigint"))
+    grouped = lambda rows, *cells: rows.groupBy(block("__i").alias("__node")).agg(F.sort_array(F.collect_list(F.struct("__i", *cells))).alias("__c"))
+    listed = numbered.withColumn("__i", F.col("__n") - 1)
+    ranges = F.broadcast(held.select("__low", "__high").distinct())
+    counts = listed.crossJoin(ranges).groupBy(block("__i").alias("__i"), "__low", "__high").agg(F.count_if(F.col("__v").between(F.col("__low"), F.col("__high"))).alias("__c"))
+    before = running_sums(counts, "__i", [], {"__s": F.col("__c")}, 4_096, by=["__low", "__high"])
+    before = before.groupBy(F.col("__i").alias("__node")).agg(F.collect_list(F.struct("__low", "__high", (F.col("__s") - F.col("__c")).alias("n"))).alias("__before"))
+    leaves = grouped(listed, "__v").select("__node", F.col("__c.__v").alias("__max")).withColumn("__min", F.col("__max")).join(before, "__node", "left")
+    nodes = materialise(leaves, "point-blocks")
+
+    part = lambda values, first, last: F.slice(values, (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
+    below = F.filter(F.col("__before"), lambda x: (x["__low"] == F.col("__low")) & (x["__high"] == F.col("__high")))
+    hits = lambda last: F.get(below, F.lit(0))["n"] + F.size(F.filter(part("__max", F.lit(0), last), lambda v: v.between(F.col("__low"), F.col("__high"))))
+    out, found = held.withColumns({"__l": F.col("__a"), "__r": F.col("__b")}), {"highest": [], "lowest": []}
+    level = 0
+    while True:
+        same = block("__l") == block("__r")
+        # the ends lie inside on the first level; above it, what lies between the blocks of the level below
+        step = 1 if level else 0
+        first = {"l": within("__l") + step, "r": F.when(same, within("__l") + step).otherwise(0)}
+        last = {"l": F.when(same, within("__r") - step).otherwise(fan - 1), "r": within("__r") - step}
+        for side in ("l", "r"):
+            joined = out.withColumn("__node", block(f"__{side}")).join(nodes, "__node")
+            cells = {f"__{name}{side}{level}": best(part(f"__{values}", first[side], last[side])) for name, values, best in (("highest", "max", F.array_max), ("lowest", "min", F.array_min))}
+            if not level:
+                cells[f"__n{side}"] = hits(within("__l") - 1 if side == "l" else within("__r"))
+            out = joined.withColumns(cells).drop("__node", "__max", "__min", "__before")
+            for name in found:
+                found[name].append(f"__{name}{side}{level}")
+        level += 1
+        if fan**level >= count:
+            break
+        summary = nodes.select(F.col("__node").alias("__i"), F.array_max("__max").alias("__max"), F.array_min("__min").alias("__min"))
+        nodes = materialise(grouped(summary, "__max", "__min").select("__node", F.col("__c.__max").alias("__max"), F.col("__c.__min").alias("__min")), "point-blocks")
+        out = out.withColumns({"__l": block("__l"), "__r": block("__r")})
+    return out.select(*key, (F.col("__b") - F.col("__a") + 1).alias("trades"), F.greatest(*found["highest"]).alias("highest"), F.least(*found["lowest"]).alias("lowest"), (F.col("__nr") - F.col("__nl")).alias("in_range"))
+
+
 def block_ends(df: DataFrame, by: list[str], block: str, order: list[str]) -> Column:
     """Whether a row is the last of its block within its series; sorted block by block, however long the series."""
     return F.row_number().over(Window.partitionBy(*by, block).orderBy(*[F.desc(c) for c in order])) == 1

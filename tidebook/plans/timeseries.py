@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidebook.operators.densify import coverage_faults, dense_days, dense_grid, gap_runs, last_by_bin, week_ending_sunday
 from tidebook.operators import ordered
-from tidebook.operators.ordered import asof_join, block_ends, interval_join, keep_last, running_sums, top_per_cell
+from tidebook.operators.ordered import asof_join, block_ends, interval_extremes, keep_last, running_sums, top_per_cell
 from tidebook.plans.ledger import KEY_WIDTH, SECONDS_WIDTH, L, M, ledger, pairs, swaps
 from tidebook.util import table
 
@@ -124,10 +124,9 @@ def interval_trade_sums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_trade_extremes(spark: SparkSession, d: str) -> DataFrame:
-    """The same trades by a join on stretches, for what no running sum gives: extremes within the pair's range."""
+    """The same trades' extremes and those within the pair's range, from blocks of numbered trades; no pair meets its trades."""
     p = pairs(spark, d).select(*PAIR, "entry_order_key", "exit_order_key", "low", "high")
-    hits = interval_join(p, swaps(spark, d).select("order_key", "price"), "entry_order_key", "exit_order_key", "order_key", KEY_WIDTH * 4)
-    return hits.groupBy(*PAIR).agg(F.count("*").alias("trades"), F.max("price").alias("highest"), F.min("price").alias("lowest"), F.count_if(F.col("price").between(F.col("low"), F.col("high"))).alias("in_range"))
+    return interval_extremes(p, PAIR, swaps(spark, d).select("order_key", "price"), "entry_order_key", "exit_order_key", "order_key", "price", "low", "high", KEY_WIDTH)
 
 
 def block_endpoints(spark: SparkSession, d: str) -> DataFrame:

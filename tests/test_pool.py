@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import abi, events, times
 from tidebook.operators.returns import closed_returns, pair_returns
+from tidebook.plans import pool
 from tidebook.sources import manifest
 
 POOL, MANAGER = "0x" + "Aa" * 20, "0x" + "bb" * 20
@@ -130,3 +131,21 @@ def test_manifest_counts_rows_and_keeps_data_sets_apart(tmp_path):
     for target in (a, b):
         with pytest.raises(manifest.ManifestError, match="same|another"):
             manifest.copy_dataset(a, target, manifest.load(a / "manifest.json"))
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_days_of_positions_are_no_lives_of_their_own(spark, monkeypatch, odd):
+    d = "/root/testdata/sf0.001"
+    prices = pool.price_logs(spark, d)
+    if odd:  # the pools' times no longer follow their order
+        prices = prices.withColumn("sec", F.when(F.col("k") % 5 == 0, F.col("sec") - 400_000).otherwise(F.col("sec")))
+        monkeypatch.setattr(pool, "price_logs", lambda *_: prices)
+    outside = pool.market(spark, d, prices)
+    want = pool._panel(pool._days_by_life(pool.risk_positions(spark, d, outside), pool.pool_path(spark, d, prices, outside), outside, pool.pool_curve(spark, d))).orderBy("operation_id", "day").collect()
+    if not odd:
+        monkeypatch.setattr(pool, "life_costs", None)
+    got = pool.risk_days(spark, d).orderBy("operation_id", "day").collect()
+    assert len(got) == len(want) > 100
+    for a, b in zip(got, want):
+        assert tuple(a)[:4] == tuple(b)[:4]
+        assert tuple(a)[4:] == pytest.approx(tuple(b)[4:], rel=1e-9, abs=1e-7 * b["liquidity"])

@@ -15,7 +15,7 @@ from tidebook.functions import abi, events
 from tidebook.functions.formulas import convexity_cost, human_liquidity, inventory, sqrt_price, tick_price
 from tidebook.operators.fees import attribute_collections
 from tidebook.operators.matching import overlapping
-from tidebook.operators.ordered import asof_join, block_ends, order_key
+from tidebook.operators.ordered import asof_join, block_ends, order_key, running_sums
 from tidebook.operators.pathmetrics import inventory_cost, inventory_points, lag_in_path, range_sums, rate_curve, with_growth
 from tidebook.operators.quality import count_violations, repeated_keys, together
 from tidebook.operators.returns import closed_returns, pair_returns
@@ -40,11 +40,16 @@ def integer(column: str) -> Column:
     return F.when(digits != "", F.concat(F.when(bare.startswith("-"), "-").otherwise(""), digits).cast("decimal(38,0)"))
 
 
-def standing_logs(spark: SparkSession, d: str) -> DataFrame:
-    """The log of each block, transaction and number that its latest message tells of, unless withdrawn."""
+def standing_logs(spark: SparkSession, d: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The log of each block, transaction and number that its latest message tells of, unless withdrawn.
+
+    With ``kinds``, messages of other kinds vie as before but bring nothing that is compared after the kind.
+    """
     numbers = ("liquidity_delta_raw", "amount0_raw", "amount1_raw", "sqrt_price_x96", "active_liquidity_raw")
     rows = table(spark, d, "pool_events").select("block_number", hex_text("transaction_hash").alias("transaction_hash"), "log_index", "ingested_at", F.coalesce("removed", F.lit(False)).alias("gone"), F.unix_seconds("block_timestamp").alias("sec"), "transaction_index", hex_text("address").alias("address"), F.lower(F.trim("event_type")).alias("kind"), *[hex_text(c).alias(c) for c in ("sender", "owner", "recipient")], "tick_lower", "tick_upper", "tick", *[integer(c).alias(c) for c in numbers])
     values = [c for c in rows.columns if c not in {*LOG, "ingested_at"}]
+    if kinds:
+        rows = rows.withColumns({c: F.when(F.col("kind").isin(*kinds), F.col(c)) for c in values[values.index("kind") + 1 :]})
     return latest(rows, LOG, "ingested_at", values).filter("NOT gone").drop("ingested_at", "gone")
 
 
@@ -109,16 +114,21 @@ def _with_fees(spark: SparkSession, d: str) -> DataFrame:
     return found.join(clash, "operation_id", "left").withColumn("included", F.col("clash").isNull()).drop("clash", "scope_first", "scope_last")
 
 
-def market(spark: SparkSession, d: str) -> DataFrame:
+def price_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The standing logs that set a price: pool_address, k (order key), block_number, sec, is_swap, price."""
+    rows = standing_logs(spark, d, ("swap", "initialize")).filter("kind IN ('swap', 'initialize') AND sqrt_price_x96 > 0 AND sec IS NOT NULL")
+    return rows.select(F.col("address").alias("pool_address"), order_key("block_number", "transaction_index", "log_index").alias("k"), "block_number", "sec", (F.col("kind") == "swap").alias("is_swap"), sqrt_price(F.col("sqrt_price_x96")).alias("price"))
+
+
+def market(spark: SparkSession, d: str, prices: DataFrame | None = None) -> DataFrame:
     """The last price of each second over all pools: second, outside."""
-    rows = standing_logs(spark, d).filter("kind = 'swap' AND sqrt_price_x96 > 0 AND sec IS NOT NULL")
-    rows = rows.select("sec", order_key("block_number", "transaction_index", "log_index").alias("k"), sqrt_price(F.col("sqrt_price_x96")).alias("p"))
-    return rows.groupBy(F.col("sec").alias("second")).agg(F.max_by("p", F.struct("k", "p")).alias("outside"))
+    rows = (price_logs(spark, d) if prices is None else prices).filter("is_swap")
+    return rows.groupBy(F.col("sec").alias("second")).agg(F.max_by("price", F.struct("k", "price")).alias("outside"))
 
 
-def _priced(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+def _priced(spark: SparkSession, d: str, p: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Pairs with the outside price strictly before entry and exit, and when that price was set."""
-    prices = materialise(market(spark, d), "market")
+    prices = materialise(market(spark, d), "market") if prices is None else prices
     for s in ("entry", "exit"):
         p = asof_join(p, prices, f"{s}_sec", "second", ["outside"], SECONDS_WIDTH).withColumnsRenamed({"outside": f"{s}_price", "second_matched": f"{s}_price_second"})
     return p
@@ -150,7 +160,7 @@ def closed_position_returns(spark: SparkSession, d: str) -> DataFrame:
     return out.select("token_id", *[F.round(c, 6).alias(c) for c in tokens], *[F.round(c, 4).alias(c) for c in money], *[F.round(c, 9).alias(c) for c in ratios])
 
 
-def pool_path(spark: SparkSession, d: str) -> DataFrame:
+def pool_path(spark: SparkSession, d: str, prices: DataFrame | None = None, outside: DataFrame | None = None) -> DataFrame:
     """Every price of every pool in order, with what lookups and sums need.
 
     pool_address, k (order key), sec, price, ``before`` (null for the initial price),
@@ -158,11 +168,10 @@ def pool_path(spark: SparkSession, d: str) -> DataFrame:
     end_before (price at the end of the block before) and ``next_end``: key, price and growth of the
     first block end after this row.
     """
-    rows = standing_logs(spark, d).filter("kind IN ('swap', 'initialize') AND sqrt_price_x96 > 0 AND sec IS NOT NULL")
-    rows = rows.select(F.col("address").alias("pool_address"), order_key("block_number", "transaction_index", "log_index").alias("k"), "block_number", "sec", (F.col("kind") == "swap").alias("is_swap"), sqrt_price(F.col("sqrt_price_x96")).alias("price")).filter("k IS NOT NULL AND pool_address IS NOT NULL")
+    rows = (price_logs(spark, d) if prices is None else prices).filter("k IS NOT NULL AND pool_address IS NOT NULL")
     rows = lag_in_path(rows, "k", {"price": "last"}, KEY_WIDTH, by=["pool_address"])
     rows = rows.withColumn("before", F.when(F.col("is_swap"), F.col("last"))).drop("last", "is_swap")
-    rows = asof_join(rows, market(spark, d), "sec", "second", ["outside"], SECONDS_WIDTH).drop("second_matched")
+    rows = asof_join(rows, market(spark, d) if outside is None else outside, "sec", "second", ["outside"], SECONDS_WIDTH).drop("second_matched")
     rows = rows.withColumn("outside", F.coalesce("outside", "before", "price"))
     rows = materialise(with_growth(rows, pool_curve(spark, d), "sec", "growth").withColumn("is_end", block_ends(rows, ["pool_address"], "block_number", ["k"])), "pool-prices")
     # one row for each pool and block
@@ -232,9 +241,10 @@ def _points_type(measures: list[str]) -> str:
     return f"array<struct<at:double,{','.join(f'{m}:double' for m in measures)}>>"
 
 
-def risk_positions(spark: SparkSession, d: str) -> DataFrame:
+def risk_positions(spark: SparkSession, d: str, prices: DataFrame | None = None) -> DataFrame:
     """Pairs that hold for later blocks and whose ranges, amounts and prices are known, with bounds as prices."""
-    p = _priced(spark, d, pool_pairs(spark, d).filter("entry_block_number < exit_block_number AND entry_sec < exit_sec AND liquidity_raw > 0 AND tick_lower < tick_upper AND pool_address IS NOT NULL"))
+    p = pool_pairs(spark, d).filter("entry_block_number < exit_block_number AND entry_sec < exit_sec AND liquidity_raw > 0 AND tick_lower < tick_upper AND pool_address IS NOT NULL")
+    p = _priced(spark, d, p.select("operation_id", "pool_address", "tick_lower", "tick_upper", "liquidity_raw", *[f"{s}_{c}" for s in ("entry", "exit") for c in ("key", "sec", "amount0_raw", "amount1_raw")]), prices)
     amount = lambda s, i: F.col(f"{s}_amount{i}_raw").cast("double") / F.lit(10.0 ** DECIMALS[i])
     p = p.withColumns({"low": tick_price(F.col("tick_lower")), "high": tick_price(F.col("tick_upper")), "liquidity": human_liquidity(F.col("liquidity_raw")), **{f"{n}{i}": amount(s, i) for s, n in (("entry", "d"), ("exit", "w")) for i in (0, 1)}})
     p = p.withColumns({"initial": F.col("d0") * F.col("entry_price") + F.col("d1"), "principal": F.col("w0") * F.col("exit_price") + F.col("w1"), "hold": F.col("d0") * F.col("exit_price") + F.col("d1")})
@@ -291,25 +301,161 @@ def position_risk(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("operation_id", "swaps", F.round(initial, 4).alias("initial_wealth_usdt"), *out)
 
 
-def risk_days(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each position and day it is open: values and costs up to the day's end or the exit."""
-    path, curve = pool_path(spark, d), pool_curve(spark, d)
-    p = risk_positions(spark, d)
+def _panel(rows: DataFrame) -> DataFrame:
+    """The cells of the panel from the costs and states of positions and days."""
+    x, y = inventory(F.coalesce("p1", "p0"), F.col("low"), F.col("high"), F.col("liquidity"))
+    value = F.when(F.col("is_terminal"), F.col("w0") * F.col("outside") + F.col("w1")).otherwise(x * F.col("outside") + y)
+    hold = F.col("d0") * F.col("outside") + F.col("d1")
+    total, event_total = F.exp("growth") * F.col("block_discounted"), F.exp("growth") * F.col("event_discounted")
+    cells = {"il_loss_usdt": hold - value, "lvr_rebalancing_usdt": F.col("lvr"), "pl_convexity_cost_usdt": F.col("block"), "pl_opportunity_cost_usdt": total - F.col("block"), "pl_loss_usdt": total, "pl_swap_event_convexity_cost_usdt": F.col("event"), "pl_swap_event_opportunity_cost_usdt": event_total - F.col("event"), "pl_swap_event_loss_usdt": event_total}
+    return rows.select("operation_id", "day", "is_terminal", "swaps", F.col("outside").alias("external_price_usdt"), value.alias("lp_value_usdt"), hold.alias("hodl_value_usdt"), F.col("initial").alias("initial_capital_usdt"), "liquidity", *[c.alias(n) for n, c in cells.items()])
+
+
+def _days_by_life(p: DataFrame, path: DataFrame, outside: DataFrame, curve: DataFrame) -> DataFrame:
+    """Costs and states of positions and days with each as a life of its own, whatever the order of the path's times."""
     days = p.withColumn("day", F.explode(F.expr(f"sequence(entry_sec div {DAY}, (exit_sec - 1) div {DAY})")))
     days = days.withColumn("snapshot", F.least(F.col("exit_sec"), (F.col("day") + 1) * DAY)).withColumn("is_terminal", F.col("snapshot") == F.col("exit_sec"))
     # before the exit, a day's swaps are those before its end
     times = path.groupBy("pool_address", "sec").agg(F.max("k").alias("last_k"))
     days = asof_join(days, times, "snapshot", "sec", ["last_k"], SECONDS_WIDTH, by=["pool_address"]).drop("sec_matched")
-    days = asof_join(days, market(spark, d), "snapshot", "second", ["outside"], SECONDS_WIDTH).drop("second_matched")
+    days = asof_join(days, outside, "snapshot", "second", ["outside"], SECONDS_WIDTH).drop("second_matched")
     days = days.withColumn("until", F.when(F.col("is_terminal"), F.col("exit_key")).otherwise(F.greatest(F.col("last_k") + 1, F.col("entry_key"))))
     rows = life_costs(materialise(days, "risk-days"), ["operation_id", "day"], path, "entry_key", "until").filter("p0 IS NOT NULL")
-    rows = with_growth(rows, curve, "snapshot", "growth")
-    x, y = inventory(F.coalesce("p1", "p0"), F.col("low"), F.col("high"), F.col("liquidity"))
-    value = F.when(F.col("is_terminal"), F.col("w0") * F.col("outside") + F.col("w1")).otherwise(x * F.col("outside") + y)
-    hold = F.col("d0") * F.col("outside") + F.col("d1")
-    total, event_total = F.exp("growth") * F.col("block_discounted"), F.exp("growth") * F.col("event_discounted")
-    cells = {"il_loss_usdt": hold - value, "lvr_rebalancing_usdt": F.col("lvr"), "pl_convexity_cost_usdt": F.col("block"), "pl_opportunity_cost_usdt": total - F.col("block"), "pl_loss_usdt": total, "pl_swap_event_convexity_cost_usdt": F.col("event"), "pl_swap_event_opportunity_cost_usdt": event_total - F.col("event"), "pl_swap_event_loss_usdt": event_total}
-    return rows.select("operation_id", "day", "is_terminal", "swaps", F.col("outside").alias("external_price_usdt"), value.alias("lp_value_usdt"), hold.alias("hodl_value_usdt"), F.col("initial").alias("initial_capital_usdt"), "liquidity", *[c.alias(n) for n, c in cells.items()])
+    return with_growth(rows, curve, "snapshot", "growth")
+
+
+#: Days whose running costs are kept in one row a bound; fits the bits of a bigint.
+SPAN = 32
+#: For each cost the column of the price a move starts from, that of its amounts, and whether it is discounted.
+MOVES = {"lvr": ("before", "outside", False), "event": ("before", "price", False), "event_discounted": ("before", "price", True), "block": ("end_before", "price", False), "block_discounted": ("end_before", "price", True)}
+
+
+def _move_cost(c: str) -> Column:
+    """What one move costs a liquidity of 1 between ``low`` and ``high``; nothing where the move has no price before it."""
+    before, at, discounted = MOVES[c]
+    (x0, y0), (x1, y1) = (inventory(F.col(n), F.col("low"), F.col("high"), F.lit(1.0)) for n in (before, "price"))
+    cost = -(F.col(at) * (x1 - x0) + y1 - y0) * (F.exp(-F.col("growth")) if discounted else F.lit(1.0))
+    return F.when(F.col(before).isNotNull() & (F.col("is_end") if before == "end_before" else F.lit(True)), cost)
+
+
+def _bound_days(asked: DataFrame, path: DataFrame) -> DataFrame:
+    """Each asked pool, bound and day with the state of the pool at the day's end and, for each cost, what all moves of the
+    asked days up to it cost below the bound: the cost between two bounds is the difference of theirs."""
+    bare = lambda before: [F.struct(F.col(n).cast("double").alias("at"), F.lit(sign).alias("sign"), F.lit(before == "end_before").alias("end")) for n, sign in (("price", 1.0), (before, -1.0))]
+    steps = F.when(F.col("before").isNotNull(), F.array(*bare("before")))
+    ends = F.when(F.col("is_end") & F.col("end_before").isNotNull(), F.array(*bare("end_before")))
+    none = F.array().cast("array<struct<at:double,sign:double,end:boolean>>")
+    points = path.select("pool", "day", "state", "price", "outside", "growth", F.explode_outer(F.concat(F.coalesce(steps, none), F.coalesce(ends, none))).alias("p")).select("*", "p.*")
+    root, cells = F.sqrt("at"), {}
+    for n, (c, (before, at, discounted)) in enumerate(MOVES.items()):
+        weight = F.when(F.col("end") == (before == "end_before"), F.col("sign") * (F.exp(-F.col("growth")) if discounted else F.lit(1.0)))
+        cells |= {f"u{n}": weight * (F.col(at) / root + root), f"x{n}": weight * F.col(at), f"y{n}": weight}
+    points = points.select("pool", "day", "at", F.lit(1).alias("order"), "state", F.when(F.col("at").isNotNull(), 1).alias("c"), *[v.alias(n) for n, v in cells.items()])
+    rows = points.unionByName(asked.select("pool", "day", F.col("bound").alias("at"), F.lit(0).alias("order")), allowMissingColumns=True)
+    whole = Window.partitionBy("pool", "day")
+    below = whole.orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("pool", "day", "at", "order", F.max("state").over(whole).alias("state"), F.sum("c").over(whole).alias("all"), F.sum("c").over(below).alias("c"), *[F.coalesce(F.sum(n).over(below), F.lit(0.0)).alias(n) for n in cells]).filter("order = 0")
+    # where no price of the day reaches the bound, what rounding leaves must not meet a bound far away
+    reached = F.coalesce(F.col("c") < F.col("all"), F.lit(False))
+    part = lambda n: F.when(reached, F.col(f"x{n}") / F.sqrt("at") + F.col(f"y{n}") * F.sqrt("at")).otherwise(0.0)
+    rows = rows.select("pool", F.col("at").alias("bound"), "day", "state", *[(part(n) - F.col(f"u{n}")).alias(c) for n, c in enumerate(MOVES)])
+    upto = Window.partitionBy("pool", "bound").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("pool", "bound", "day", F.last("state", True).over(upto).alias("state"), *[F.sum(c).over(upto).alias(c) for c in MOVES])
+
+
+def risk_days(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each position and day it is open: values and costs up to the day's end or the exit.
+
+    A position meets the moves of the days of its entry and its exit only. What the days between
+    cost is the difference of running costs by pool, bound and day, which positions of the same
+    bounds share; they are looked up by spans of days, and positions become days at last.
+    """
+    prices = materialise(price_logs(spark, d), "price-logs")
+    outside = materialise(market(spark, d, prices), "market")
+    path, curve = pool_path(spark, d, prices, outside), pool_curve(spark, d)
+    p = materialise(risk_positions(spark, d, outside), "risk-positions")
+    path = running_sums(path, "k", [], {"i": F.lit(1)}, KEY_WIDTH, by=["pool_address"])
+    path = path.withColumn("state", F.struct("k", "price", F.when(F.col("is_end"), F.col("price")).otherwise(F.col("end_before")).alias("last_end"), "growth", "i", F.expr(f"sec div {DAY}").alias("day"), "next_end", "sec"))
+    path = materialise(lag_in_path(path, "k", {"state": "prior"}, KEY_WIDTH, by=["pool_address"]), "pool-states")
+    odd = materialise(path.filter(F.col("sec") < F.col("prior.sec")).select("pool_address").distinct(), "odd-pools")
+    if odd.isEmpty():
+        return _panel(_days_by_bound(p, path, outside, curve))
+    apart = _days_by_life(p.join(odd, "pool_address", "left_semi"), path.join(odd, "pool_address", "left_semi").drop("i", "state", "prior"), outside, curve)
+    rest = _days_by_bound(p.join(odd, "pool_address", "left_anti"), path.join(odd, "pool_address", "left_anti"), outside, curve)
+    return _panel(apart).unionByName(_panel(rest))
+
+
+def _days_by_bound(p: DataFrame, path: DataFrame, outside: DataFrame, curve: DataFrame) -> DataFrame:
+    """Costs and states of positions and days from running costs by bound; each pool's times must follow its order."""
+    pools = path.select("pool_address").distinct().select("pool_address", F.row_number().over(Window.orderBy("pool_address")).alias("pool"))
+    pools = materialise(pools, "pools")
+    states = path.select("pool_address", F.col("k").alias("at"), F.struct("state", "prior").alias("found"))
+    bounds = F.col("low"), F.col("high"), F.lit(1.0)
+    # "a" is the pool's state before the entry, "e" that at it, "z" that before the exit
+    p = asof_join(p.withColumn("at_entry", F.col("entry_key") + 1), states, "at_entry", "at", ["found"], KEY_WIDTH, by=["pool_address"]).drop("at_matched", "at_entry")
+    p = p.withColumns({"a": F.when(F.col("found.state.k") == F.col("entry_key"), F.col("found.prior")).otherwise(F.col("found.state")), "e_i": F.col("found.state.i"), "e_day": F.col("found.state.day")}).drop("found").filter("a.price IS NOT NULL")
+    p = asof_join(p, states, "exit_key", "at", ["found"], KEY_WIDTH, by=["pool_address"]).drop("at_matched").withColumn("z", F.col("found.state")).drop("found")
+    first = F.col("a.next_end")
+    step = convexity_cost(F.col("a.price"), first["price"], *bounds) - F.coalesce(convexity_cost(F.col("a.last_end"), first["price"], *bounds), F.lit(0.0))
+    p = with_growth(p.join(pools, "pool_address"), curve, "exit_sec", "exit_growth")
+    p = p.withColumns({"p0": F.col("a.price"), "first_k": first["k"], "step": step, "step_discounted": step * F.exp(-first["growth"]), "entry_day": F.expr(f"entry_sec div {DAY}"), "exit_day": F.expr(f"(exit_sec - 1) div {DAY}"), "moved": F.col("z.i") > F.col("e_i"), "n": F.monotonically_increasing_id()})
+    z = ["k", "price", "last_end", "growth", "i", "day"]
+    p = p.withColumn("z", F.struct(*[F.col(f"z.{c}").alias(c) for c in z]))
+    p = materialise(p.select("n", "pool", "operation_id", "low", "high", "liquidity", "d0", "d1", "w0", "w1", "initial", "entry_key", "exit_key", "exit_price", "exit_growth", "entry_day", "exit_day", "e_i", "e_day", "p0", "first_k", "step", "step_discounted", "moved", "z"), "risk-states")
+    moves = path.join(pools, "pool_address").select("pool", F.expr(f"sec div {DAY}").alias("day"), "k", "price", "before", "outside", "growth", "is_end", "end_before", F.struct(*[F.col(f"state.{c}").alias(c) for c in z]).alias("state"))
+    moves = materialise(moves, "pool-moves")
+
+    # the days asked of each bound, by spans: a bit for each day
+    both = F.explode(F.array("low", "high")).alias("bound")
+    since, until = F.least("entry_day", "e_day"), F.greatest("exit_day", "z.day")
+    spans = p.select("pool", both, since.alias("since"), until.alias("until"), F.explode(F.sequence(F.call_function("div", since, F.lit(SPAN).cast("bigint")), F.call_function("div", until, F.lit(SPAN).cast("bigint")))).alias("w"))
+    bits = F.expr(f"shiftleft(shiftleft(1L, cast(least(until, w * {SPAN} + {SPAN - 1}) - greatest(since, w * {SPAN}) + 1 AS int)) - 1, cast(greatest(since, w * {SPAN}) - w * {SPAN} AS int))")
+    asked = spans.groupBy("pool", "bound", "w").agg(F.bit_or(bits).alias("bits"))
+    asked = asked.select("pool", "bound", F.explode(F.filter(F.sequence(F.col("w") * SPAN, F.col("w") * SPAN + SPAN - 1), lambda day: F.call_function("shiftright", F.col("bits"), (day - F.col("w") * SPAN).cast("int")).bitwiseAND(F.lit(1)) == 1)).alias("day"))
+    running = materialise(_bound_days(asked, moves), "bound-days")
+
+    # costs of the first and last days, and of all days up to the entry's and up to the exit's
+    sides = [("start", "e_day", "entry_key", F.lit(2**62)), ("end", "z.day", F.when(F.col("z.day") == F.col("e_day"), F.col("entry_key")).otherwise(F.lit(-1).cast("bigint")), "exit_key")]
+    lives = F.explode(F.array(*[F.struct(F.lit(name).alias("part"), F.col(day).alias("day"), (F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b.cast("bigint")).alias("b")) for name, day, a, b in sides])).alias("s")
+    met = p.filter("moved").select("n", "pool", "low", "high", lives).select("n", "pool", "low", "high", "s.*").join(moves, ["pool", "day"]).filter("k > a AND k < b")
+    met = met.select("n", "part", *[_move_cost(c).alias(c) for c in MOVES])
+    # a position without moves up to its exit may have some in the days before
+    probes = [(name, F.col(b), day, sign * s) for name, day, sign in (("start", F.col("e_day"), -1), ("end", F.when(F.col("moved") & (F.col("z.day") > F.col("e_day")), F.col("z.day") - 1), 1)) for b, s in (("high", 1.0), ("low", -1.0))]
+    looks = F.explode(F.array(*[F.struct(F.lit(name).alias("part"), b.alias("bound"), day.alias("day"), F.lit(sign).alias("sign")) for name, b, day, sign in probes])).alias("s")
+    found = p.select("n", "pool", looks).select("n", "pool", "s.*").join(running.drop("state"), ["pool", "bound", "day"]).select("n", "part", *[(F.col("sign") * F.col(c)).alias(c) for c in MOVES])
+    sums = met.unionByName(found).groupBy("n").agg(*[F.coalesce(F.sum(F.when(F.col("part") == part, F.col(c))), F.lit(0.0)).alias(f"{part}_{c}") for part in ("start", "end") for c in MOVES])
+    p = materialise(p.join(sums, "n"), "risk-sums")
+
+    def told(rows: DataFrame, state: str, cost: dict[str, Column]) -> DataFrame:
+        """Costs with the two steps of a life's own mesh of blocks, for its liquidity."""
+        inside = F.coalesce(F.col("first_k") <= F.col(f"{state}.k"), F.lit(False))
+        tail = convexity_cost(F.when(inside, F.col(f"{state}.last_end")).otherwise(F.col("p0")), F.col(f"{state}.price"), *bounds)
+        cost = cost | {"block": F.when(inside, cost["block"] + F.col("step")).otherwise(0.0) + tail, "block_discounted": F.when(inside, cost["block_discounted"] + F.col("step_discounted")).otherwise(0.0) + tail * F.exp(-F.col(f"{state}.growth"))}
+        # differences of sums may miss 0 by rounding; only the rebalancing cost may be negative
+        return rows.withColumns({c: F.col("liquidity") * (v if c == "lvr" else F.greatest(v, F.lit(0.0))) for c, v in cost.items()})
+
+    kept = ["operation_id", "day", "is_terminal", "swaps", "outside", "growth", "p0", "p1", "low", "high", "liquidity", "d0", "d1", "w0", "w1", "initial", *MOVES]
+    none = F.lit(0.0)
+    at_exit = {c: F.when(F.col("moved"), F.when(F.col("z.day") == F.col("e_day"), F.col(f"end_{c}")).otherwise(F.col(f"start_{c}") + F.col(f"end_{c}"))).otherwise(none) for c in MOVES}
+    last = told(p, "z", at_exit).withColumns({"day": F.col("exit_day"), "is_terminal": F.lit(True), "swaps": F.greatest(F.col("z.i") - F.col("e_i"), F.lit(0)).cast("bigint"), "outside": F.col("exit_price"), "growth": F.col("exit_growth"), "p1": F.col("z.price")}).select(*kept)
+
+    # the days before, by spans
+    calendar = p.agg(F.min("entry_day").alias("a"), F.max("exit_day").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day")).withColumn("snapshot", (F.col("day") + 1) * DAY)
+    calendar = with_growth(asof_join(calendar, outside, "snapshot", "second", ["outside"], SECONDS_WIDTH).drop("second_matched"), curve, "snapshot", "growth").select("day", F.struct("outside", "growth").alias("market"))
+    listed = lambda rows, cells: rows.groupBy("pool", "bound", F.call_function("div", F.col("day"), F.lit(SPAN).cast("bigint")).alias("w")).agg(F.sort_array(F.collect_list(F.struct("day", F.struct(*cells).alias("v")))).alias("l"))
+    open_ = p.filter("entry_day < exit_day").select("pool", "operation_id", "low", "high", "liquidity", "d0", "d1", "initial", "entry_key", "entry_day", "exit_day", "e_i", "p0", "first_k", "step", "step_discounted", *[f"start_{c}" for c in MOVES], F.explode(F.sequence(F.call_function("div", F.col("entry_day"), F.lit(SPAN).cast("bigint")), F.call_function("div", F.col("exit_day") - 1, F.lit(SPAN).cast("bigint")))).alias("w"))
+    open_ = open_.withColumns({"since": F.greatest(F.col("entry_day"), F.col("w") * SPAN), "until": F.least(F.col("exit_day") - 1, F.col("w") * SPAN + SPAN - 1)}).drop("entry_day", "exit_day")
+    own = F.slice("l", F.array_position(F.transform("l", lambda x: x["day"]), F.col("since")).cast("int"), (F.col("until") - F.col("since") + 1).cast("int"))
+    lows, highs = (listed(rows, cells).withColumnRenamed("bound", side) for side, rows, cells in (("low", running, list(MOVES)), ("high", running.join(calendar, "day", "left"), [*MOVES, "state", "market"])))
+    open_ = open_.join(lows, ["pool", "low", "w"]).withColumn("lows", F.transform(own, lambda x: x["v"])).drop("l")
+    open_ = open_.join(highs, ["pool", "high", "w"]).withColumn("x", F.explode(F.arrays_zip("lows", own.alias("highs")))).drop("lows", "l")
+    open_ = open_.withColumns({"day": F.col("x.highs.day"), "v": F.col("x.highs.v"), "u": F.col("x.lows")}).withColumns({"seen": F.coalesce(F.col("v.state.k") >= F.col("entry_key"), F.lit(False))})
+    # until the pool moves after the entry, its state is that of the entry
+    open_ = open_.withColumn("s", F.col("v.state"))
+    cost = {c: F.when(F.col("seen"), F.col(f"start_{c}") + F.col(f"v.{c}") - F.col(f"u.{c}")).otherwise(none) for c in MOVES}
+    days = told(open_, "s", cost).withColumns({c: F.when(F.col("seen"), F.col(c)).otherwise(none) for c in MOVES})
+    days = days.withColumns({"is_terminal": F.lit(False), "swaps": F.when(F.col("seen"), F.col("s.i") - F.col("e_i")).otherwise(0).cast("bigint"), "outside": F.col("v.market.outside"), "growth": F.col("v.market.growth"), "p1": F.when(F.col("seen"), F.col("s.price")).otherwise(F.col("p0")), "w0": F.lit(None).cast("double"), "w1": F.lit(None).cast("double")})
+    return days.select(*kept).unionByName(last)
 
 
 DAILY = ("il_loss_usdt", "lvr_rebalancing_usdt", "pl_convexity_cost_usdt", "pl_opportunity_cost_usdt", "pl_loss_usdt", "pl_swap_event_convexity_cost_usdt", "pl_swap_event_opportunity_cost_usdt", "pl_swap_event_loss_usdt")

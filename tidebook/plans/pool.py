@@ -339,8 +339,11 @@ def _move_cost(c: str) -> Column:
 
 
 def _bound_days(asked: DataFrame, path: DataFrame) -> DataFrame:
-    """Each asked pool, bound and day with the state of the pool at the day's end and, for each cost, what all moves of the
-    asked days up to it cost below the bound: the cost between two bounds is the difference of theirs."""
+    """Asked pools, bounds and days with the state of the pool at the day's end and, for each cost, what all moves of the
+    asked days up to it cost below the bound: the cost between two bounds is the difference of theirs.
+
+    Days on which the pool does not move have the row before them, and none of their own unless they are the first of a span.
+    """
     bare = lambda before: [F.struct(F.col(n).cast("double").alias("at"), F.lit(sign).alias("sign"), F.lit(before == "end_before").alias("end")) for n, sign in (("price", 1.0), (before, -1.0))]
     steps = F.when(F.col("before").isNotNull(), F.array(*bare("before")))
     ends = F.when(F.col("is_end") & F.col("end_before").isNotNull(), F.array(*bare("end_before")))
@@ -359,8 +362,11 @@ def _bound_days(asked: DataFrame, path: DataFrame) -> DataFrame:
     reached = F.coalesce(F.col("c") < F.col("all"), F.lit(False))
     part = lambda n: F.when(reached, F.col(f"x{n}") / F.sqrt("at") + F.col(f"y{n}") * F.sqrt("at")).otherwise(0.0)
     rows = rows.select("pool", F.col("at").alias("bound"), "day", "state", *[(part(n) - F.col(f"u{n}")).alias(c) for n, c in enumerate(MOVES)])
-    upto = Window.partitionBy("pool", "bound").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("pool", "bound", "day", F.last("state", True).over(upto).alias("state"), *[F.sum(c).over(upto).alias(c) for c in MOVES])
+    series = Window.partitionBy("pool", "bound").orderBy("day")
+    upto = series.rowsBetween(Window.unboundedPreceding, 0)
+    span = F.call_function("div", F.col("day"), F.lit(SPAN).cast("bigint"))
+    rows = rows.withColumn("kept", F.col("state").isNotNull() | F.coalesce(F.lag(span).over(series) != span, F.lit(True)))
+    return rows.select("pool", "bound", "day", "kept", F.last("state", True).over(upto).alias("state"), *[F.sum(c).over(upto).alias(c) for c in MOVES]).filter("kept").drop("kept")
 
 
 def risk_days(spark: SparkSession, d: str) -> DataFrame:
@@ -402,7 +408,7 @@ def _days_by_bound(p: DataFrame, path: DataFrame, outside: DataFrame, curve: Dat
     z = ["k", "price", "last_end", "growth", "i", "day"]
     p = p.withColumn("z", F.struct(*[F.col(f"z.{c}").alias(c) for c in z]))
     p = materialise(p.select("n", "pool", "operation_id", "low", "high", "liquidity", "d0", "d1", "w0", "w1", "initial", "entry_key", "exit_key", "exit_price", "exit_growth", "entry_day", "exit_day", "e_i", "e_day", "p0", "first_k", "step", "step_discounted", "moved", "z"), "risk-states")
-    moves = path.join(pools, "pool_address").select("pool", F.expr(f"sec div {DAY}").alias("day"), "k", "price", "before", "outside", "growth", "is_end", "end_before", F.struct(*[F.col(f"state.{c}").alias(c) for c in z]).alias("state"))
+    moves = path.join(pools, "pool_address").select("pool", F.expr(f"sec div {DAY}").alias("day"), "k", "price", "before", "outside", "growth", "is_end", "end_before", F.struct(*[F.col(f"state.{c}").alias(c) for c in z[:-1]]).alias("state"))
     moves = materialise(moves, "pool-moves")
 
     # the days asked of each bound, by spans: a bit for each day
@@ -414,13 +420,15 @@ def _days_by_bound(p: DataFrame, path: DataFrame, outside: DataFrame, curve: Dat
     asked = asked.select("pool", "bound", F.explode(F.filter(F.sequence(F.col("w") * SPAN, F.col("w") * SPAN + SPAN - 1), lambda day: F.call_function("shiftright", F.col("bits"), (day - F.col("w") * SPAN).cast("int")).bitwiseAND(F.lit(1)) == 1)).alias("day"))
     running = materialise(_bound_days(asked, moves), "bound-days")
 
-    # costs of the first and last days, and of all days up to the entry's and up to the exit's
-    sides = [("start", "e_day", "entry_key", F.lit(2**62)), ("end", "z.day", F.when(F.col("z.day") == F.col("e_day"), F.col("entry_key")).otherwise(F.lit(-1).cast("bigint")), "exit_key")]
+    # costs of the first day from the entry on, of all days up to the entry's and up to the exit's, and of the last day from the
+    # exit on, which is taken off; within one day, of the moves between
+    one_day = F.col("z.day") == F.col("e_day")
+    sides = [("start", "e_day", "entry_key", F.lit(2**62)), ("end", "z.day", F.when(one_day, F.col("entry_key")).otherwise(F.col("exit_key") - 1), F.when(one_day, F.col("exit_key")).otherwise(F.lit(2**62)))]
     lives = F.explode(F.array(*[F.struct(F.lit(name).alias("part"), F.col(day).alias("day"), (F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b.cast("bigint")).alias("b")) for name, day, a, b in sides])).alias("s")
-    met = p.filter("moved").select("n", "pool", "low", "high", lives).select("n", "pool", "low", "high", "s.*").join(moves, ["pool", "day"]).filter("k > a AND k < b")
-    met = met.select("n", "part", *[_move_cost(c).alias(c) for c in MOVES])
-    # a position without moves up to its exit may have some in the days before
-    probes = [(name, F.col(b), day, sign * s) for name, day, sign in (("start", F.col("e_day"), -1), ("end", F.when(F.col("moved") & (F.col("z.day") > F.col("e_day")), F.col("z.day") - 1), 1)) for b, s in (("high", 1.0), ("low", -1.0))]
+    met = p.filter("moved").select("n", "pool", "low", "high", one_day.alias("one_day"), lives).select("n", "pool", "low", "high", "one_day", "s.*").join(moves, ["pool", "day"]).filter("k > a AND k < b")
+    sign = F.when((F.col("part") == "end") & ~F.col("one_day"), -1.0).otherwise(1.0)
+    met = met.select("n", "part", *[(sign * _move_cost(c)).alias(c) for c in MOVES])
+    probes = [(name, F.col(b), day, sign * s) for name, day, sign in (("start", F.col("e_day"), -1), ("end", F.when(F.col("moved") & ~one_day, F.col("z.day")), 1)) for b, s in (("high", 1.0), ("low", -1.0))]
     looks = F.explode(F.array(*[F.struct(F.lit(name).alias("part"), b.alias("bound"), day.alias("day"), F.lit(sign).alias("sign")) for name, b, day, sign in probes])).alias("s")
     found = p.select("n", "pool", looks).select("n", "pool", "s.*").join(running.drop("state"), ["pool", "bound", "day"]).select("n", "part", *[(F.col("sign") * F.col(c)).alias(c) for c in MOVES])
     sums = met.unionByName(found).groupBy("n").agg(*[F.coalesce(F.sum(F.when(F.col("part") == part, F.col(c))), F.lit(0.0)).alias(f"{part}_{c}") for part in ("start", "end") for c in MOVES])
@@ -441,20 +449,23 @@ def _days_by_bound(p: DataFrame, path: DataFrame, outside: DataFrame, curve: Dat
 
     # the days before, by spans
     calendar = p.agg(F.min("entry_day").alias("a"), F.max("exit_day").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day")).withColumn("snapshot", (F.col("day") + 1) * DAY)
-    calendar = with_growth(asof_join(calendar, outside, "snapshot", "second", ["outside"], SECONDS_WIDTH).drop("second_matched"), curve, "snapshot", "growth").select("day", F.struct("outside", "growth").alias("market"))
+    calendar = with_growth(asof_join(calendar, outside, "snapshot", "second", ["outside"], SECONDS_WIDTH).drop("second_matched"), curve, "snapshot", "growth").select("day", "outside", "growth")
     listed = lambda rows, cells: rows.groupBy("pool", "bound", F.call_function("div", F.col("day"), F.lit(SPAN).cast("bigint")).alias("w")).agg(F.sort_array(F.collect_list(F.struct("day", F.struct(*cells).alias("v")))).alias("l"))
     open_ = p.filter("entry_day < exit_day").select("pool", "operation_id", "low", "high", "liquidity", "d0", "d1", "initial", "entry_key", "entry_day", "exit_day", "e_i", "p0", "first_k", "step", "step_discounted", *[f"start_{c}" for c in MOVES], F.explode(F.sequence(F.call_function("div", F.col("entry_day"), F.lit(SPAN).cast("bigint")), F.call_function("div", F.col("exit_day") - 1, F.lit(SPAN).cast("bigint")))).alias("w"))
     open_ = open_.withColumns({"since": F.greatest(F.col("entry_day"), F.col("w") * SPAN), "until": F.least(F.col("exit_day") - 1, F.col("w") * SPAN + SPAN - 1)}).drop("entry_day", "exit_day")
-    own = F.slice("l", F.array_position(F.transform("l", lambda x: x["day"]), F.col("since")).cast("int"), (F.col("until") - F.col("since") + 1).cast("int"))
-    lows, highs = (listed(rows, cells).withColumnRenamed("bound", side) for side, rows, cells in (("low", running, list(MOVES)), ("high", running.join(calendar, "day", "left"), [*MOVES, "state", "market"])))
-    open_ = open_.join(lows, ["pool", "low", "w"]).withColumn("lows", F.transform(own, lambda x: x["v"])).drop("l")
-    open_ = open_.join(highs, ["pool", "high", "w"]).withColumn("x", F.explode(F.arrays_zip("lows", own.alias("highs")))).drop("lows", "l")
-    open_ = open_.withColumns({"day": F.col("x.highs.day"), "v": F.col("x.highs.v"), "u": F.col("x.lows")}).withColumns({"seen": F.coalesce(F.col("v.state.k") >= F.col("entry_key"), F.lit(False))})
+    # of a span, the rows from the last at or before the first day on
+    own = F.filter("l", lambda x, i: (x["day"] <= F.col("until")) & (F.coalesce(F.get("l", i + 1)["day"], F.col("until") + 1) > F.col("since")))
+    lows, highs = (listed(running, cells).withColumnRenamed("bound", side) for side, cells in (("low", list(MOVES)), ("high", [*MOVES, "state"])))
+    open_ = open_.join(lows, ["pool", "low", "w"]).withColumn("lows", own).drop("l")
+    open_ = open_.join(highs, ["pool", "high", "w"]).withColumn("day", F.explode(F.sequence("since", "until")))
+    upto = lambda rows: F.element_at(F.filter(rows, lambda x: x["day"] <= F.col("day")), -1)["v"]
+    open_ = open_.withColumns({"v": upto("l"), "u": upto("lows")}).drop("l", "lows").join(calendar, "day", "left")
+    open_ = open_.withColumn("seen", F.coalesce(F.col("v.state.k") >= F.col("entry_key"), F.lit(False)))
     # until the pool moves after the entry, its state is that of the entry
     open_ = open_.withColumn("s", F.col("v.state"))
     cost = {c: F.when(F.col("seen"), F.col(f"start_{c}") + F.col(f"v.{c}") - F.col(f"u.{c}")).otherwise(none) for c in MOVES}
     days = told(open_, "s", cost).withColumns({c: F.when(F.col("seen"), F.col(c)).otherwise(none) for c in MOVES})
-    days = days.withColumns({"is_terminal": F.lit(False), "swaps": F.when(F.col("seen"), F.col("s.i") - F.col("e_i")).otherwise(0).cast("bigint"), "outside": F.col("v.market.outside"), "growth": F.col("v.market.growth"), "p1": F.when(F.col("seen"), F.col("s.price")).otherwise(F.col("p0")), "w0": F.lit(None).cast("double"), "w1": F.lit(None).cast("double")})
+    days = days.withColumns({"is_terminal": F.lit(False), "swaps": F.when(F.col("seen"), F.col("s.i") - F.col("e_i")).otherwise(0).cast("bigint"), "p1": F.when(F.col("seen"), F.col("s.price")).otherwise(F.col("p0")), "w0": F.lit(None).cast("double"), "w1": F.lit(None).cast("double")})
     return days.select(*kept).unionByName(last)
 
 
